@@ -45,7 +45,7 @@ def bin_lookup(df: DataFrame, x: str, edges: list[float], clip: bool = True, nam
 def _all_bins(df: DataFrame, keys: list[str], nbins: int, name: str) -> DataFrame:
     """Every bin of every group that occurs."""
     base = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    return base.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).cast("long").alias(name))
+    return base.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nbins - 1).cast("long"))).alias(name))
 
 
 def hist1d(df: DataFrame, keys: list[str], x: Column, lo: float, hi: float, width: float, clip: bool = False) -> DataFrame:
@@ -145,7 +145,7 @@ def smoothed_counts(binned: DataFrame, keys: list[str], half: int) -> DataFrame:
     """From rows (keys, _a, _nb, _k): moving sums of the bin counts, at every bin where they are not zero."""
     counts = binned.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
     return (
-        counts.select(*keys, "_a", "_nb", "_c", (F.col("_k") + F.explode(F.sequence(F.lit(-half), F.lit(half)))).alias("_k"))
+        counts.select(*keys, "_a", "_nb", "_c", F.explode(F.sequence(F.col("_k") - half, F.col("_k") + half)).alias("_k"))
         .where((F.col("_k") >= 0) & (F.col("_k") < F.col("_nb")))
         .groupBy(*keys, "_k").agg(F.sum("_c").alias("_s"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
     )
@@ -193,7 +193,7 @@ def source_peak(df: DataFrame, keys: list[str], nhit: Column, width: int = 10, m
     half = smooth // 2
     sm = (
         counts.join(size, keys)
-        .select(*keys, "_nb", "_c", (F.col("_k") + F.explode(F.sequence(F.lit(-half), F.lit(half)))).alias("_k"))
+        .select(*keys, "_nb", "_c", F.explode(F.sequence(F.col("_k") - half, F.col("_k") + half)).alias("_k"))
         .where((F.col("_k") >= 0) & (F.col("_k") < F.col("_nb")))
         .groupBy(*keys, "_k").agg(F.sum("_c").alias("_s"), F.first("_nb").alias("_nb"))
     )

@@ -135,8 +135,9 @@ def count_within(df: DataFrame, part: list[str], x: str, width: float, name: str
     near = F.col(x) - F.col("_s") * stretch <= width
     d = d.withColumn("_home", F.col("_s")).withColumn(
         "_s", F.explode(F.when(near, F.array(F.col("_s"), F.col("_s") - 1)).otherwise(F.array(F.col("_s")))))
-    w = Window.partitionBy(*part, "_s").orderBy(x).rangeBetween(0, float(width))
-    return d.withColumn(name, F.count(F.lit(1)).over(w)).where("_s = _home").drop("_s", "_home")
+    by = ", ".join(f"`{c}`" for c in [*part, "_s"])
+    n = F.expr(f"count(1) over (partition by {by} order by `{x}` range between current row and {float(width)}D following)")
+    return d.withColumn(name, n).where("_s = _home").drop("_s", "_home")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list, columns: list[str] | None = None) -> DataFrame:

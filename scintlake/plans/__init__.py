@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["correlation"]
+MODULES = ["correlation", "calibration"]
 
 
 def load():

@@ -73,7 +73,9 @@ if __name__ == "__main__":
     args = sys.argv[1:]
     sf = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     qs, sqls = entry.queries(), entry.oracle_sql()
-    names = [n for n in qs if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
+    names = [n for n in qs if not (args and args[0].startswith("@") and qs[n].__module__.rsplit(".", 1)[-1] != args[0][1:])]
+    args = [a for a in args if not a.startswith("@")]
+    names = [n for n in names if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     session, con = local_session(), duck(sf)
     bad = 0
     for n in names:
