@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geometry import path_lengths
 from ..session import stage
-from .hist import argmax_first, grouped_mode, uniform_bin
+from .hist import grouped_mode, uniform_bin
 from .quantile import grouped_median
 
 EVENT = ["run", "event"]
@@ -98,43 +98,51 @@ def attach_event_time(hits: DataFrame, times: DataFrame, keys: list[str] | None
 
 
 # ---- event time (A12, C11) ------------------------------------------------------------------------------------------
-def event_time(tau: DataFrame, keys: list[str] | None = None, window: float = 10.0, x: str = "tau", name: str = "t_event",
-               tails: tuple[float, float] = (0.02, 0.98), passes: int = 2) -> DataFrame:
-    """Mean of ``x`` around its 2 ns mode per event, about the mode and then (``passes=2``) about that mean.
+def with_event_time(hits: DataFrame, keys: list[str] | None = None, window: float = 10.0, x: str = "tau", name: str = "t_event",
+                    tails: tuple[float, float] = (0.02, 0.98), passes: int = 2) -> DataFrame:
+    """Event time per hit: mean of ``x`` around its 2 ns mode, about the mode and then (``passes=2``) about that mean.
 
-    The input has one row per (event, cable), so an event is bounded by the number of sensors and everything below
-    runs inside the hash partitioning by event: one shuffle of the hits.
+    Null where the event has too few hits. The input has one row per (event, cable), so an event is bounded by the
+    number of sensors; all steps are windows over the event and share one shuffle, with no self join. The three-bin
+    sums are differences of running counts, so the cost is linear in the hits.
     """
     keys = keys or EVENT
-    v = tau.select(*keys, F.col(x).alias("_x")).where("_x is not null")
-    n = F.col("_n")
+    cols = hits.columns
+    event = Window.partitionBy(*keys)
+    v = hits.where(F.col(x).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(event)).withColumn(
+        "_rn", F.row_number().over(event.orderBy(x)) - 1)
 
     def at(p: float) -> Column:
-        r = F.lit(p) * (n - 1)
-        k = F.floor(r).cast("int")
-        lo, hi = F.get("_xs", k), F.get("_xs", F.least(k + 1, (n - 1).cast("int")))
-        return lo + (hi - lo) * (r - k)
-
-    q = v.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-    q = q.withColumn("_n", F.size("_xs")).where(n >= 4)
-    q = q.select(*keys, (at(tails[0]) - 4).alias("_a"), (F.ceil((at(tails[1]) + 6 - (at(tails[0]) - 4)) / 2) - 1).alias("_nb"))
-    b = v.join(q, keys).withColumn("_k", uniform_bin(F.col("_x"), F.col("_a"), 2.0, F.col("_nb")))
-    counts = b.where("_k is not null").groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
-    sm = (
-        counts.select(*keys, "_a", "_nb", "_c", F.explode(F.sequence(F.col("_k") - 1, F.col("_k") + 1)).alias("_k"))
-        .where((F.col("_k") >= 0) & (F.col("_k") < F.col("_nb")))
-        .groupBy(*keys, "_k").agg(F.sum("_c").alias("_s"), F.first("_a").alias("_a"))
-    )
-    centre = sm.groupBy(*keys).agg(argmax_first(F.col("_k"), F.col("_s")).alias("_k"), F.first("_a").alias("_a"))
-    centre = centre.select(*keys, (F.col("_a") + 2.0 * F.col("_k") + 1.0).alias("_c0"))
-    near = v.join(centre, keys)
-    first = near.where(F.abs(F.col("_x") - F.col("_c0")) <= window).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_m"), F.avg("_x").alias("_c1"))
-    if passes == 1:
-        return first.select(*keys, F.col("_c1").alias(name))
-    first = first.where("_m >= 4").select(*keys, "_c1")
-    again = v.join(first, keys).where(F.abs(F.col("_x") - F.col("_c1")) <= window)
-    return again.groupBy(*keys).agg(F.avg("_x").alias(name))
+        r = F.lit(p) * (F.col("_n") - 1)
+        pick = lambda k: F.max(F.when(F.col("_rn") == k, F.col(x))).over(event)
+        lo = pick(F.floor(r))
+        return lo + (pick(F.least(F.floor(r) + 1, F.col("_n") - 1)) - lo) * (r - F.floor(r))
+
+    v = v.withColumn("_lo", at(tails[0])).withColumn("_hi", at(tails[1])).withColumn("_a", F.col("_lo") - 4)
+    v = v.withColumn("_nb", F.ceil((F.col("_hi") + 6 - F.col("_a")) / 2) - 1)
+    k = uniform_bin(F.col(x), F.col("_a"), 2.0, F.col("_nb"))
+    v = v.withColumn("_k", F.coalesce(k, F.when(F.col(x) < F.col("_a"), -9).otherwise(F.col("_nb") + 9)))
+    up_to = lambda d: F.count(F.lit(1)).over(event.orderBy("_k").rangeBetween(Window.unboundedPreceding, d))
+    # packed (three-bin sum, lowest bin first) for the own bin and both neighbours
+    packed = []
+    for d in (-1, 0, 1):
+        b = F.col("_k") + d
+        packed.append(F.when((b >= 0) & (b < F.col("_nb")), (up_to(d + 1) - up_to(d - 2)) * 2 ** 32 + (2 ** 31 - b)).otherwise(0))
+    v = v.withColumn("_best", F.max(F.greatest(*packed)).over(event))
+    v = v.withColumn("_c", F.col("_a") + 2.0 * (2 ** 31 - F.col("_best") % 2 ** 32) + 1.0)
+    for i in range(passes):
+        near = F.when(F.abs(F.col(x) - F.col("_c")) <= window, F.col(x))
+        mean = F.avg(near).over(event)
+        ok = (F.col("_n") >= 4) & ((F.count(near).over(event) >= 4) if i == 0 and passes > 1 else F.lit(True))
+        v = v.withColumn("_c", F.when(ok, mean))
+    return v.select(*cols, F.col("_c").alias(name))
+
+
+def event_time(tau: DataFrame, keys: list[str] | None = None, name: str = "t_event", **kw) -> DataFrame:
+    """One row per event that has a time; already partitioned by event, so this adds no shuffle."""
+    keys = keys or EVENT
+    t = with_event_time(tau, keys, name=name, **kw).where(F.col(name).isNotNull())
+    return t.groupBy(*keys).agg(F.first(name).alias(name))
 
 
 # ---- residuals (A16) ------------------------------------------------------------------------------------------------
@@ -154,8 +162,8 @@ def time_of_flight_corrected(hits: DataFrame, sensors: DataFrame, vertex: tuple,
 def residuals_fixed_vertex(hits: DataFrame, sensors: DataFrame, vertex: tuple, v_ls: float, v_bo: float | None = None,
                            min_q: float = 0.3) -> DataFrame:
     """Hit-time residuals ``res`` about the event time with the vertex at a known source position."""
-    tau = time_of_flight_corrected(hits, sensors, vertex, v_ls, v_bo, min_q)
-    return attach_event_time(tau, event_time(tau)).withColumn("res", F.col("tau") - F.col("t_event"))
+    tau = with_event_time(time_of_flight_corrected(hits, sensors, vertex, v_ls, v_bo, min_q))
+    return tau.where(F.col("t_event").isNotNull()).withColumn("res", F.col("tau") - F.col("t_event"))
 
 
 # ---- channel constants --------------------------------------------------------------------------------------------
@@ -225,8 +233,8 @@ def t0_from_run(hits: DataFrame, sensors: DataFrame, vertex: tuple, v_ls: float
                 window: float = 15.0) -> DataFrame:
     """Same with a known vertex (A19): residuals within ``window`` of the refined event peak."""
     tau = time_of_flight_corrected(hits, sensors, vertex, v_ls, min_q=0.0)
-    t = event_time(tau, window=window, tails=(0.01, 0.99), passes=1)
-    r = attach_event_time(tau, t).withColumn("res", F.col("tau") - F.col("t_event")).where(F.abs("res") <= window)
+    tau = with_event_time(tau, window=window, tails=(0.01, 0.99), passes=1)
+    r = tau.withColumn("res", F.col("tau") - F.col("t_event")).where(F.abs("res") <= window)
     return centred(grouped_median(r, CHANNEL, F.col("res"), "t0", min_hits), CHANNEL, "t0")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantile import exact_quantiles
+from .quantile import counted_quantiles, value_counts
 
 
 # ---- bins -------------------------------------------------------------------------------------------------------
@@ -142,23 +142,23 @@ def argmax_first(k: Column, v: Column) -> Column:
 
 # ---- modes ----------------------------------------------------------------------------------------------------------
 def smoothed_counts(binned: DataFrame, keys: list[str], half: int) -> DataFrame:
-    """From rows (keys, _a, _nb, _k): moving sums of the bin counts, at every bin where they are not zero."""
-    counts = binned.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
+    """From rows (keys, _a, _nb, _k, _c): moving sums of the bin counts, at every bin where they are not zero."""
+    counts = binned.groupBy(*keys, "_k").agg(F.sum("_c").alias("_c"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"), F.first("_n").alias("_n"))
     return (
-        counts.select(*keys, "_a", "_nb", "_c", F.explode(F.sequence(F.col("_k") - half, F.col("_k") + half)).alias("_k"))
+        counts.select(*keys, "_n", "_a", "_nb", "_c", F.explode(F.sequence(F.col("_k") - half, F.col("_k") + half)).alias("_k"))
         .where((F.col("_k") >= 0) & (F.col("_k") < F.col("_nb")))
-        .groupBy(*keys, "_k").agg(F.sum("_c").alias("_s"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
+        .groupBy(*keys, "_k").agg(F.sum("_c").alias("_s"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"), F.first("_n").alias("_n"))
     )
 
 
 def _peak_position(sm: DataFrame, keys: list[str], width: float, name: str) -> DataFrame:
     """First largest smoothed bin per group, refined by a parabola through its neighbours."""
     p = sm.groupBy(*keys).agg(
-        argmax_first(F.col("_k"), F.col("_s")).alias("_k"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"),
+        argmax_first(F.col("_k"), F.col("_s")).alias("_k"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"), F.first("_n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("_k", "_s"))).alias("_m"))     # one entry per bin
     at = lambda d: F.coalesce(F.try_element_at("_m", F.col("_k") + d), F.lit(0))
     shift = F.when((F.col("_k") > 0) & (F.col("_k") < F.col("_nb") - 1), parabolic_shift(at(-1), at(0), at(1))).otherwise(0.0)
-    return p.select(*keys, (F.col("_a") + width * (F.col("_k") + 0.5 + shift)).alias(name))
+    return p.select(*keys, "n", (F.col("_a") + width * (F.col("_k") + 0.5 + shift)).alias(name))
 
 
 def grouped_mode(df: DataFrame, keys: list[str], x: Column, width: float = 0.5, smooth: int = 5, min_count: int = 1,
@@ -167,18 +167,18 @@ def grouped_mode(df: DataFrame, keys: list[str], x: Column, width: float = 0.5,
 
     Only bin counts are shuffled; a hot group is pre-counted per bin in every task.
     """
-    v = df.select(*keys, x.cast("double").alias("_x")).where("_x is not null")
+    v = value_counts(df, keys, x)
     if edges is None:
-        q = exact_quantiles(v, keys, F.col("_x"), {"_p01": 0.01, "_p99": 0.99}, count="_n", min_count=min_count)
+        q = counted_quantiles(v, keys, {"_p01": 0.01, "_p99": 0.99}, "_n", min_count)
         a = F.col("_p01") - width
         q = q.select(*keys, "_n", a.alias("_a"), (F.ceil((F.col("_p99") + 2 * width - a) / width) - 1).alias("_nb"))
     else:
         nb = edge_count(edges[0], edges[1], width) - 1
-        q = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
+        q = v.groupBy(*keys).agg(F.sum("_c").alias("_n")).where(F.col("_n") >= min_count)
         q = q.withColumn("_a", F.lit(float(edges[0]))).withColumn("_nb", F.lit(nb).cast("long"))
-    binned = v.join(q.drop("_n"), keys).withColumn("_k", uniform_bin(F.col("_x"), F.col("_a"), width, F.col("_nb")))
+    binned = v.join(q, keys).withColumn("_k", uniform_bin(F.col("_v"), F.col("_a"), width, F.col("_nb")))
     sm = smoothed_counts(binned.where("_k is not null"), keys, smooth // 2)
-    return q.select(*keys, F.col("_n").alias("n")).join(_peak_position(sm, keys, width, name), keys)
+    return _peak_position(sm, keys, width, name)
 
 
 def source_peak(df: DataFrame, keys: list[str], nhit: Column, width: int = 10, min_frac: float = 0.1,

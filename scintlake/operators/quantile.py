@@ -18,14 +18,24 @@ def _bucket(x: Column) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x)) * BUCKETS_PER_E)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: Column, probs: dict[str, float], count: str = "n",
-                    min_count: int = 1) -> DataFrame:
-    """Linear-interpolated quantiles of the non-null ``x`` per group, with the group size in ``count``."""
-    v = (
+def value_counts(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
+    """Rows per (group, value): columns ``_v`` and ``_c``. Combined map-side, so repeated values cost nothing."""
+    return (
         df.select(*keys, x.cast("double").alias("_v")).where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _bucket(F.col("_v")))
     )
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], x: Column, probs: dict[str, float], count: str = "n",
+                    min_count: int = 1) -> DataFrame:
+    """Linear-interpolated quantiles of the non-null ``x`` per group, with the group size in ``count``."""
+    return counted_quantiles(value_counts(df, keys, x), keys, probs, count, min_count)
+
+
+def counted_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float], count: str = "n",
+                      min_count: int = 1) -> DataFrame:
+    """:func:`exact_quantiles` from a table of :func:`value_counts`."""
+    v = counts.withColumn("_b", _bucket(F.col("_v")))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     ordered = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     b = v.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))

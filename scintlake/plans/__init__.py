@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["correlation", "calibration"]
+MODULES = ["correlation", "calibration", "waveforms", "densities"]
 
 
 def load():

@@ -147,7 +147,7 @@ VIEW_SQL = {
   FROM lineitem)""",
     "waves": """waves AS (
   SELECT vec_id AS wf_id, CAST(label AS BIGINT) AS cable, vec_id % 2 AS atwd, vec_id % 4 AS gain, vec_id % 5 - 2 AS launch,
-         list_transform(embedding, v -> 100 * CAST(v AS DOUBLE)) AS samples FROM embeddings)""",
+         [100 * CAST(v AS DOUBLE) for v in embedding] AS samples FROM embeddings)""",
     "calib": """calib AS (
   SELECT p_partkey % 2126 AS cable, CAST(p_size % 2 AS BIGINT) AS atwd, 1.4 + min(p_size) / 200.0 AS bin_ns,
          CAST(10 + max(p_size) AS DOUBLE) AS q1pe, max(p_size) / 8.0 - 3 AS t0
