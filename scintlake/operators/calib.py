@@ -21,7 +21,7 @@ def time_ns(sample: Column, launch: Column, bin_ns: Column, t0: Column) -> Colum
 
 
 def charge_pe(adc: Column, q1pe: Column, factor: Column) -> Column:
-    return adc / q1pe * factor
+    return F.try_divide(adc, q1pe) * factor
 
 
 def charge_adc(q: Column, q1pe: Column, factor: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["correlation", "calibration", "waveforms", "densities"]
+MODULES = ["correlation", "calibration", "waveforms", "densities", "physics", "records"]
 
 
 def load():
