@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["correlation", "calibration", "waveforms", "densities", "physics", "records"]
+MODULES = ["correlation", "calibration", "waveforms", "densities", "physics", "records", "streams"]
 
 
 def load():

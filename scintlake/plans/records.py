@@ -49,13 +49,11 @@ def veto_intervals(spark, sf):
 @query("hit_words", """WITH w AS (SELECT l_orderkey AS event, (l_partkey % 4096) + (l_linenumber % 8) * 4096 AS w FROM lineitem)
 SELECT event, w % 4096 AS cable, (w // 4096) % 8 AS n_waveforms, CAST(sum((w // 4096) % 8) OVER (PARTITION BY event) AS BIGINT) AS total_waveforms FROM w""")
 def hit_words(spark, sf):
-    """Packed words per event, unpacked to rows; the total is one aggregate per event."""
+    """Packed words unpacked to rows, with the announced total per event."""
     li = views.table(spark, sf, "lineitem")
     w = li.select(F.col("l_orderkey").alias("event"), ((F.col("l_partkey") % 4096) + (F.col("l_linenumber") % 8) * 4096).alias("w"))
-    ev = w.groupBy("event").agg(F.collect_list("w").alias("words"))       # a hit header has at most one word per cable
-    ev = ev.withColumn("total_waveforms", F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + T.unpack_n_waveforms(x)))
-    return ev.select("event", F.explode("words").alias("w"), "total_waveforms").select(
-        "event", T.unpack_cable(F.col("w")).alias("cable"), T.unpack_n_waveforms(F.col("w")).alias("n_waveforms"), "total_waveforms")
+    w = w.select("event", T.unpack_cable(F.col("w")).alias("cable"), T.unpack_n_waveforms(F.col("w")).alias("n_waveforms"))
+    return w.join(w.groupBy("event").agg(F.sum("n_waveforms").alias("total_waveforms")), "event")
 
 
 @query("trigger_history", """SELECT event_id AS event, pos, (event_id * 7 + pos) % 4294967296 AS trig, CAST(floor(value) AS BIGINT) + pos AS nsum FROM events, (SELECT unnest(range(0, 4)) AS pos) WHERE pos <= event_id % 4""")

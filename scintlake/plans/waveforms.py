@@ -69,8 +69,8 @@ PED = f"""{views.with_views('waves')}, wi AS (SELECT wf_id, cable, atwd, gain, l
 f AS (SELECT *, list_max(s) - list_min(s) < 50 AND list_max([abs(s[i + 1] - s[i]) for i in range(1, len(s))]) <= 40 AS flat FROM wi)"""
 
 
-def adc_waves(spark, sf):
-    return views.waves(spark, sf).withColumn("samples", F.transform("samples", lambda v: F.round(v / 2)))
+def adc_waves(spark, sf, read=views.table):
+    return views.waves(spark, sf, read).withColumn("samples", F.transform("samples", lambda v: F.round(v / 2)))
 
 
 @query("pedestal_mean", PED + """

@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trig(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def trig(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Trigger records from ``events``: run, event, ts (40 MHz ticks), q17, trigger, nhit."""
-    e = table(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     # one trigger word per kind of event plus three macro bits from the multiplicity
     base = (
@@ -62,9 +68,9 @@ def showers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(li, F.col("l_suppkey") % 8, F.col("l_suppkey"))
 
 
-def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def waves(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Waveforms from ``embeddings``: samples in ADC counts, one channel per label."""
-    e = table(spark, sf_dir, "embeddings")
+    e = read(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("wf_id"),
         F.col("label").cast("long").alias("cable"),
