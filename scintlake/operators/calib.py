@@ -109,16 +109,21 @@ def with_event_time(hits: DataFrame, keys: list[str] | None = None, window: floa
     keys = keys or EVENT
     cols = hits.columns
     event = Window.partitionBy(*keys)
-    v = hits.where(F.col(x).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(event)).withColumn(
-        "_rn", F.row_number().over(event.orderBy(x)) - 1)
+    whole = event.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v = hits.where(F.col(x).isNotNull()).select(
+        "*", F.count(F.lit(1)).over(whole).alias("_n"), (F.row_number().over(event.orderBy(x)) - 1).alias("_rn"))
 
-    def at(p: float) -> Column:
+    def picks(p: float) -> list[Column]:
+        k = F.floor(F.lit(p) * (F.col("_n") - 1))
+        return [F.max(F.when(F.col("_rn") == i, F.col(x))).over(event) for i in (k, F.least(k + 1, F.col("_n") - 1))]
+
+    def at(p: float, lo: str, up: str) -> Column:
         r = F.lit(p) * (F.col("_n") - 1)
-        pick = lambda k: F.max(F.when(F.col("_rn") == k, F.col(x))).over(event)
-        lo = pick(F.floor(r))
-        return lo + (pick(F.least(F.floor(r) + 1, F.col("_n") - 1)) - lo) * (r - F.floor(r))
+        return F.col(lo) + (F.col(up) - F.col(lo)) * (r - F.floor(r))
 
-    v = v.withColumn("_lo", at(tails[0])).withColumn("_hi", at(tails[1])).withColumn("_a", F.col("_lo") - 4)
+    names = ("_l0", "_l1", "_h0", "_h1")
+    v = v.select("*", *[c.alias(n) for c, n in zip(picks(tails[0]) + picks(tails[1]), names)])
+    v = v.withColumn("_a", at(tails[0], *names[:2]) - 4).withColumn("_hi", at(tails[1], *names[2:])).drop("_rn", *names)
     v = v.withColumn("_nb", F.ceil((F.col("_hi") + 6 - F.col("_a")) / 2) - 1)
     k = uniform_bin(F.col(x), F.col("_a"), 2.0, F.col("_nb"))
     v = v.withColumn("_k", F.coalesce(k, F.when(F.col(x) < F.col("_a"), -9).otherwise(F.col("_nb") + 9)))
@@ -185,12 +190,10 @@ def q1pe_per_channel(hits: DataFrame, min_hits: int = 100, edges: tuple = (30.0,
     return grouped_mode(h, CHANNEL, F.col("adc"), 10.0, 5, min_hits, "q1pe", edges)
 
 
-def centred(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Values minus the mean of the measured (non-zero) ones."""
-    one = F.lit(0).alias("_all")
-    mean = values.where(F.col(value) != 0).groupBy(one).agg(F.avg(value).alias("_mean"))      # one row
-    return values.withColumn("_all", F.lit(0)).join(mean, "_all", "left").withColumn(
-        value, F.when(F.col(value) != 0, F.col(value) - F.col("_mean")).otherwise(F.col(value))).drop("_all", "_mean")
+def centred(values: DataFrame, value: str) -> DataFrame:
+    """Values minus the mean of the measured (non-zero) ones; the table has one row per channel of the detector."""
+    mean = F.avg(F.when(F.col(value) != 0, F.col(value))).over(Window.partitionBy(F.lit(0)))
+    return values.withColumn(value, F.when(F.col(value) != 0, F.col(value) - mean).otherwise(F.col(value)))
 
 
 def channel_statistic(res: DataFrame, statistic: str, min_hits: int, name: str) -> DataFrame:
@@ -212,7 +215,7 @@ def t0_fixed_vertex(hits: DataFrame, sensors: DataFrame, v_ls: float = 17.6, ver
             h = h.join(total.select(*CHANNEL, "t0"), CHANNEL, "left").withColumn(
                 "t", F.col("t") - F.coalesce("t0", F.lit(0.0))).drop("t0")
         step = channel_statistic(residuals_fixed_vertex(h, sensors, vertex, v_ls), statistic, min_hits, "_dt0")
-        step = centred(step, CHANNEL, "_dt0").select(*CHANNEL, "n", F.col("_dt0"))
+        step = centred(step, "_dt0").select(*CHANNEL, "n", F.col("_dt0"))
         if total is not None:
             old = total.select(*CHANNEL, F.col("t0").alias("_old"), F.col("n").alias("_n"))
             step = old.join(step, CHANNEL, "full").select(
@@ -226,7 +229,7 @@ def t0_fixed_vertex(hits: DataFrame, sensors: DataFrame, v_ls: float = 17.6, ver
 def t0_from_used(hits: DataFrame, min_hits: int = 20) -> DataFrame:
     """Time offset per channel from the run itself (A19, fitted vertex): median ``tau`` of the hits the fit used."""
     h = hits.where((F.col("cable") < K.N_ID) & F.col("used"))
-    return centred(grouped_median(h, CHANNEL, F.col("tau"), "t0", min_hits), CHANNEL, "t0")
+    return centred(grouped_median(h, CHANNEL, F.col("tau"), "t0", min_hits), "t0")
 
 
 def t0_from_run(hits: DataFrame, sensors: DataFrame, vertex: tuple, v_ls: float = 16.95, min_hits: int = 20,
@@ -235,7 +238,7 @@ def t0_from_run(hits: DataFrame, sensors: DataFrame, vertex: tuple, v_ls: float
     tau = time_of_flight_corrected(hits, sensors, vertex, v_ls, min_q=0.0)
     tau = with_event_time(tau, window=window, tails=(0.01, 0.99), passes=1)
     r = tau.withColumn("res", F.col("tau") - F.col("t_event")).where(F.abs("res") <= window)
-    return centred(grouped_median(r, CHANNEL, F.col("res"), "t0", min_hits), CHANNEL, "t0")
+    return centred(grouped_median(r, CHANNEL, F.col("res"), "t0", min_hits), "t0")
 
 
 def light_yield(res: DataFrame, energy: float = 2.506, window: tuple = (-15.0, 85.0), dark_window: tuple = (-200.0, -40.0),

@@ -19,9 +19,16 @@ def _bucket(x: Column) -> Column:
 
 
 def value_counts(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
-    """Rows per (group, value): columns ``_v`` and ``_c``. Combined map-side, so repeated values cost nothing."""
+    """Rows per (group, value): columns ``_v`` and ``_c``. Combined map-side, so repeated values cost nothing.
+
+    Groups with a null key are left out here, once, so that every later use sees the same plan and Spark reuses the
+    shuffle.
+    """
+    known = F.col("_v").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
     return (
-        df.select(*keys, x.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+        df.select(*keys, x.cast("double").alias("_v")).where(known)
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
 

@@ -34,6 +34,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf) ->
         .config(*QUICK_BUILD)
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
