@@ -116,7 +116,8 @@ def load_calibration(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rows = j.select(F.posexplode(F.arrays_zip("bin_ns", "q1pe", "t0")).alias("cable", "c"))
     ch = rows.select(F.col("cable").cast("long").alias("cable"), F.posexplode(F.arrays_zip("c.bin_ns", "c.q1pe", "c.t0")).alias("atwd", "v"))
     ch = ch.select("cable", F.col("atwd").cast("long").alias("atwd"), "v.bin_ns", "v.q1pe", "v.t0")
-    tube = j.select(F.posexplode(F.arrays_zip("bad", "eta", "eta_q", "dark")).alias("cable", "v"))
+    optional = [F.coalesce(F.col(c), F.array().cast("array<double>")).alias(c) for c in ("eta", "eta_q", "dark")]
+    tube = j.select("bad", *optional).select(F.posexplode(F.arrays_zip("bad", "eta", "eta_q", "dark")).alias("cable", "v"))
     tube = tube.select(F.col("cable").cast("long").alias("cable"), (F.col("v.bad") == 1).alias("bad"), "v.eta", "v.eta_q", "v.dark")
     gain = j.select(F.posexplode("gain_factor").alias("gain", "factor")).withColumn("gain", F.col("gain").cast("long"))
     return {"channel": ch, "tube": tube, "gain": gain, "meta": j.select("meta")}
