@@ -102,7 +102,7 @@ def with_event_time(hits: DataFrame, keys: list[str] | None = None, window: floa
                     tails: tuple[float, float] = (0.02, 0.98), passes: int = 2) -> DataFrame:
     """Event time per hit: mean of ``x`` around its 2 ns mode, about the mode and then (``passes=2``) about that mean.
 
-    Null where the event has too few hits. The input has one row per (event, cable), so an event is bounded by the
+    Null where the event has too few hits; ``head`` is true on one hit of each event. The input has one row per (event, cable), so an event is bounded by the
     number of sensors; all steps are windows over the event and share one shuffle, with no self join. The three-bin
     sums are differences of running counts, so the cost is linear in the hits.
     """
@@ -123,7 +123,7 @@ def with_event_time(hits: DataFrame, keys: list[str] | None = None, window: floa
 
     names = ("_l0", "_l1", "_h0", "_h1")
     v = v.select("*", *[c.alias(n) for c, n in zip(picks(tails[0]) + picks(tails[1]), names)])
-    v = v.withColumn("_a", at(tails[0], *names[:2]) - 4).withColumn("_hi", at(tails[1], *names[2:])).drop("_rn", *names)
+    v = v.withColumn("_a", at(tails[0], *names[:2]) - 4).withColumn("_hi", at(tails[1], *names[2:])).drop(*names)
     v = v.withColumn("_nb", F.ceil((F.col("_hi") + 6 - F.col("_a")) / 2) - 1)
     k = uniform_bin(F.col(x), F.col("_a"), 2.0, F.col("_nb"))
     v = v.withColumn("_k", F.coalesce(k, F.when(F.col(x) < F.col("_a"), -9).otherwise(F.col("_nb") + 9)))
@@ -140,7 +140,7 @@ def with_event_time(hits: DataFrame, keys: list[str] | None = None, window: floa
         mean = F.avg(near).over(event)
         ok = (F.col("_n") >= 4) & ((F.count(near).over(event) >= 4) if i == 0 and passes > 1 else F.lit(True))
         v = v.withColumn("_c", F.when(ok, mean))
-    return v.select(*cols, F.col("_c").alias(name))
+    return v.select(*cols, F.col("_c").alias(name), (F.col("_rn") == 0).alias("head"))
 
 
 def event_time(tau: DataFrame, keys: list[str] | None = None, name: str = "t_event", **kw) -> DataFrame:
@@ -250,12 +250,13 @@ def light_yield(res: DataFrame, energy: float = 2.506, window: tuple = (-15.0, 8
     """
     inside, dark = F.col("res").between(*window), F.col("res").between(*dark_window)
     per = res.groupBy("cable").agg(F.count_if(inside).alias("n_hit"), F.count_if(dark).alias("n_dark"),
-                                   F.coalesce(F.sum(F.when(inside, F.col("q"))), F.lit(0.0)).alias("q_sum"))
-    n_ev = res.select(*EVENT).distinct().groupBy(F.lit(0).alias("_all")).agg(F.count(F.lit(1)).alias("n_events"))
+                                   F.coalesce(F.sum(F.when(inside, F.col("q"))), F.lit(0.0)).alias("q_sum"),
+                                   F.count_if("head").alias("heads"))
+    n_ev = F.sum("heads").over(Window.partitionBy(F.lit(0)))          # over one row per cable
     if n_selected is not None:
-        n_ev = n_ev.withColumn("n_events", F.least("n_events", n_selected))
+        n_ev = F.least(n_ev, n_selected)
     scale = (window[1] - window[0]) / (dark_window[1] - dark_window[0])
-    p = per.withColumn("_all", F.lit(0)).join(n_ev, "_all").drop("_all")
+    p = per.withColumn("n_events", n_ev)
     prob = F.least(F.col("n_hit") / F.col("n_events"), F.lit(0.999))
     p = p.withColumn("dark", F.col("n_dark") / F.col("n_events") * scale).withColumn("mu", -F.log(1 - prob))
     hit = F.col("n_hit") > 0

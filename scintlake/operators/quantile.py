@@ -86,14 +86,13 @@ def grouped_median(df: DataFrame, keys: list[str], x: Column, name: str = "media
 
 
 def robust_sigma(df: DataFrame, keys: list[str], x: Column, name: str = "sigma") -> DataFrame:
-    """Per group: size, median and 1.4826 x the median absolute deviation."""
-    v = df.select(*keys, x.alias("_x"), F.lit(0).alias("_all"))
-    by = keys or ["_all"]
-    med = exact_quantiles(v, by, F.col("_x"), {"median": 0.5})
-    dev = v.join(med.select(*by, "median"), by)
-    mad = exact_quantiles(dev, by, F.abs(F.col("_x") - F.col("median")), {"_mad": 0.5}, count="_m")
-    out = med.join(mad.select(*by, (1.4826 * F.col("_mad")).alias(name)), by)
-    return out.select(*keys, "n", "median", name)
+    """Per group: size, median and 1.4826 x the median absolute deviation. Without keys the median enters as a scalar."""
+    v = df.select(*keys, x.alias("_x"))
+    med = exact_quantiles(v, keys, F.col("_x"), {"median": 0.5})
+    dev = v.join(med.select(*keys, "median"), keys) if keys else v.withColumn("median", med.select("median").scalar())
+    mad = exact_quantiles(dev, keys, F.abs(F.col("_x") - F.col("median")), {"_mad": 0.5}, count="_m")
+    out = mad.select(*keys, (1.4826 * F.col("_mad")).alias(name))
+    return med.join(out, keys).select(*keys, "n", "median", name) if keys else med.select("n", "median", out.scalar().alias(name))
 
 
 def approx_quantiles(df: DataFrame, keys: list[str], x: Column, probs: dict[str, float], accuracy: int = 10000) -> DataFrame:

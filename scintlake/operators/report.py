@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +34,13 @@ def run_summary(events: DataFrame, columns: list[str], keys: list[str] | None =
 def muon_summary(muons: DataFrame) -> DataFrame:
     """Counts and conditional medians of a muon sample (A37): one row."""
     conv, ls = F.col("converged"), F.col("l_ls") > 0
-    m = muons.withColumn("_all", F.lit(0))
-    parts = [
-        m.groupBy("_all").agg(F.count(F.lit(1)).alias("n"), F.count_if(conv).alias("n_converged"), F.count_if(ls).alias("n_ls")),
-        grouped_median(m.where(conv), ["_all"], F.col("sigma_t"), "median_sigma_t").drop("n"),
-        grouped_median(m.where(conv), ["_all"], F.col("frac_used"), "median_frac_used").drop("n"),
-        grouped_median(m.where(conv & ls), ["_all"], F.try_divide("q17", "l_ls"), "q17_per_ls").drop("n"),
-        grouped_median(m.where(conv & ~ls & (F.col("l_bo") > 100)), ["_all"], F.try_divide("q17", "l_bo"), "q17_per_bo").drop("n"),
-        grouped_median(m.where(conv & ls), ["_all"], F.try_divide(F.col("q17") - K.DQDX_BO * F.col("l_bo"), F.col("l_ls")), "ls_only_per_ls").drop("n"),
-    ]
-    return reduce(lambda a, b: a.join(b, "_all", "left"), parts).drop("_all")
+    one = lambda sel, x, name: grouped_median(muons.where(sel), [], x, name).select(name).scalar().alias(name)
+    both = conv & ls
+    return muons.agg(F.count(F.lit(1)).alias("n"), F.count_if(conv).alias("n_converged"), F.count_if(ls).alias("n_ls")).select(
+        "*", one(conv, F.col("sigma_t"), "median_sigma_t"), one(conv, F.col("frac_used"), "median_frac_used"),
+        one(both, F.try_divide("q17", "l_ls"), "q17_per_ls"),
+        one(conv & ~ls & (F.col("l_bo") > 100), F.try_divide("q17", "l_bo"), "q17_per_bo"),
+        one(both, F.try_divide(F.col("q17") - K.DQDX_BO * F.col("l_bo"), F.col("l_ls")), "ls_only_per_ls"))
 
 
 def evaluation(rows: DataFrame, min_events: int = 5) -> DataFrame:
