@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .hist import edge_bin, uniform_bin
 from .quantile import exact_quantiles
-from .scan import block_width, lag_value, last_marker, time_block
+from .scan import lag_value, last_marker, time_blocks, with_block
 
 # ---- dead time ---------------------------------------------------------------------------------------------------
 # A tag counts when it is hard or when the last counted tag is at least ``dead`` ticks old. Who counts depends on who
@@ -90,12 +90,12 @@ def _block_marks(dead: int):
     return marks
 
 
-def real_tags(tags: DataFrame, dead: int, hard: Column, width: int | None = None) -> DataFrame:
+def real_tags(tags: DataFrame, dead: int, hard: Column, width: DataFrame | int | None = None) -> DataFrame:
     """The counting tags among ``tags`` (run, event, ts, ...): those not inside another tag's dead time."""
     t = tags.select("run", "event", "ts", hard.alias("hard"))
     if width is None:
-        width = max(block_width(t, ["run"], "ts"), 8 * dead)
-    t = t.withColumn("block", time_block("ts", width))
+        width = time_blocks(t, ["run"], "ts", at_least=8 * dead)
+    t = with_block(t, ["run"], "ts", width).withColumnRenamed("_block", "block")
     steps = t.groupBy("run", "block").applyInPandas(_block_steps(dead), "run long, block long, up_to long, exit long")
     entry = steps.groupBy("run").applyInPandas(_compose, "run long, block long, until long")
     marked = t.join(entry, ["run", "block"]).groupBy("run", "block").applyInPandas(
@@ -104,14 +104,14 @@ def real_tags(tags: DataFrame, dead: int, hard: Column, width: int | None = None
 
 
 # ---- as-of -------------------------------------------------------------------------------------------------------
-def tag_previous(events: DataFrame, is_tag: Column, hard: Column, dead: int, width: int | None = None) -> DataFrame:
+def tag_previous(events: DataFrame, is_tag: Column, hard: Column, dead: int, width: DataFrame | int | None = None) -> DataFrame:
     """Every event with the last real tag strictly before it.
 
     Adds is_tag, retrigger, prev_event (-1 when there is none), prev_ts and dt (ticks, null when there is none).
     """
     e = events.withColumn("is_tag", F.coalesce(is_tag, F.lit(False))).withColumn("_hard", F.coalesce(hard, F.lit(False)))
     real = real_tags(e.where("is_tag"), dead, F.col("_hard"))
-    width = width or block_width(events, ["run"], "ts")
+    width = time_blocks(events, ["run"], "ts") if width is None else width
     mark = real.select("run", "ts", "event", F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts"))
     out = last_marker(e, mark, ["run"], ["ts", "event"], ["prev_event", "prev_ts"], width)
     dt = F.col("ts") - F.col("prev.prev_ts")
@@ -123,9 +123,9 @@ def tag_previous(events: DataFrame, is_tag: Column, hard: Column, dead: int, wid
     )
 
 
-def dt_prev(events: DataFrame, width: int | None = None) -> DataFrame:
+def dt_prev(events: DataFrame, width: DataFrame | int | None = None) -> DataFrame:
     """Ticks since the event before in the same run."""
-    width = width or block_width(events, ["run"], "ts")
+    width = time_blocks(events, ["run"], "ts") if width is None else width
     return lag_value(events, ["run"], ["ts", "event"], "ts", width, "_prev").withColumn(
         "dt_prev", F.col("ts") - F.col("_prev")).drop("_prev")
 

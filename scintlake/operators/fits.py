@@ -95,6 +95,13 @@ def gauss_flat(n: np.ndarray, first: float, width: float, half_range: float = 30
     return {"mu": mu, "sigma": sg, "n_peak": peak, "bkg_per_bin": bg, "bkg_frac": under / max(under + 0.997 * peak, 1e-9)}
 
 
+def range_of(bins: pd.Index, nb: int) -> np.ndarray:
+    """Occupied bins and their neighbours inside 0..nb-1."""
+    b = bins.to_numpy(int)
+    b = np.unique(np.concatenate([b - 1, b, b + 1]))
+    return b[(b >= 0) & (b < nb)]
+
+
 PEAK = "n long, mu double, sigma double, n_peak double, bkg_per_bin double, bkg_frac double"
 
 
@@ -111,11 +118,15 @@ def peak_fit(df: DataFrame, keys: list[str], x: Column, width: float = 10.0, hal
         F.count(F.lit(1)).alias("n"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(int(pdf["_nb"].iloc[0]))
-        n[pdf["bin"].to_numpy(int)] = pdf["n"]
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": int(n.sum()), "mu": None, "sigma": None, "n_peak": 0.0, "bkg_per_bin": None, "bkg_frac": None}
+        c = pdf.groupby("bin")["n"].sum()
+        row = {k: pdf[k].iloc[0] for k in keys} | {"n": int(c.sum()), "mu": None, "sigma": None, "n_peak": 0.0, "bkg_per_bin": None, "bkg_frac": None}
         if row["n"] >= 10:
-            row |= gauss_flat(n, pdf["_a"].iloc[0], width, half_range)
+            a, nb = pdf["_a"].iloc[0], int(pdf["_nb"].iloc[0])
+            # sparse three-bin sums give the mode; only the bins around it are laid out
+            three = sum(c.rename(lambda k, d=d: k + d).reindex(range_of(c.index, nb), fill_value=0) for d in (-1, 0, 1))
+            mode, reach = int(three.index[three.to_numpy().argmax()]), int(half_range / width) + 1
+            local = np.arange(max(mode - reach, 0), min(mode + reach + 1, nb))
+            row |= gauss_flat(c.reindex(local, fill_value=0).to_numpy(float), a + width * local[0], width, half_range)
         return pd.DataFrame([row])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in h.schema.fields if f.name in keys)

@@ -10,35 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 ROWS_PER_BLOCK = 500_000
 
 
-def block_width(df: DataFrame, part: list[str], ts: str, rows_per_block: int = ROWS_PER_BLOCK) -> int:
-    """Time width for which an average block of the densest sequence has ``rows_per_block`` rows.
+def time_blocks(df: DataFrame, part: list[str], ts: str, rows_per_block: int = ROWS_PER_BLOCK, at_least: int = 1) -> DataFrame:
+    """Start and block width of every sequence: (part, _t0, _w), about ``rows_per_block`` rows per block.
 
-    One pruned scan with map-side aggregation; only the final number reaches the driver.
+    Each sequence has its own width, so a dense one is cut finely without cutting long quiet ones. One pruned scan
+    with map-side aggregation; the result (one row per sequence) is written, so its size is known to the joins.
     """
-    per = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("a"), F.max(ts).alias("b"))
-    w = per.agg(F.min((F.col("b") - F.col("a") + 1).cast("double") * rows_per_block / F.col("n")).alias("w")).first()["w"]
-    return max(int(w or 1), 1)
-
+    per = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("_t0"), F.max(ts).alias("b"))
+    w = F.ceil((F.col("b") - F.col("_t0") + 1).cast("double") * rows_per_block / F.col("n"))
+    return stage(per.select(*part, "_t0", F.greatest(w, F.lit(at_least)).cast("long").alias("_w")), "blocks")
 
-def time_block(ts: str, width: int) -> Column:
-    """Block number in whole ticks (tick counts exceed the exact range of a double)."""
-    return F.expr(f"`{ts}` div {int(width)}L")
 
+def with_block(df: DataFrame, part: list[str], ts: str, blocks: DataFrame | int) -> DataFrame:
+    """Block number per row, in whole ticks (tick counts exceed the exact range of a double).
 
-def with_block(df: DataFrame, ts: str, width: int) -> DataFrame:
-    return df.withColumn("_block", time_block(ts, width))
+    ``blocks`` is a table of :func:`time_blocks` or one width for all sequences.
+    """
+    if isinstance(blocks, int):
+        return df.withColumn("_block", F.expr(f"`{ts}` div {blocks}L"))
+    return df.join(blocks, part).withColumn("_block", F.expr(f"(`{ts}` - _t0) div _w")).drop("_t0", "_w")
 
 
 def _order(order: list[str]) -> Column:
     return F.struct(*order)
 
 
-def lag_value(df: DataFrame, part: list[str], order: list[str], value: str, width: int, name: str) -> DataFrame:
+def lag_value(df: DataFrame, part: list[str], order: list[str], value: str, width: DataFrame | int, name: str) -> DataFrame:
     """Value of the row before, across block borders."""
-    d = with_block(df, order[0], width)
+    d = with_block(df, part, order[0], width)
     keys = [*part, "_block"]
     last = d.groupBy(*keys).agg(F.max_by(value, _order(order)).alias("_last"))
     carry = last.select(*keys, F.lag("_last").over(Window.partitionBy(*part).orderBy("_block")).alias("_carry"))
@@ -51,9 +55,9 @@ def lag_value(df: DataFrame, part: list[str], order: list[str], value: str, widt
     )
 
 
-def running_total(df: DataFrame, part: list[str], order: list[str], x: Column, width: int, name: str) -> DataFrame:
+def running_total(df: DataFrame, part: list[str], order: list[str], x: Column, width: DataFrame | int, name: str) -> DataFrame:
     """Running sum from the start of the sequence, current row included."""
-    d = with_block(df, order[0], width).withColumn("_x", x)
+    d = with_block(df, part, order[0], width).withColumn("_x", x)
     keys = [*part, "_block"]
     tot = d.groupBy(*keys).agg(F.sum("_x").alias("_t"))
     before = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +66,7 @@ def running_total(df: DataFrame, part: list[str], order: list[str], x: Column, w
     return d.withColumn("_s", here).join(carry, keys).withColumn(name, F.col("_s") + F.col("_carry")).drop("_block", "_x", "_s", "_carry")
 
 
-def hard_segments(df: DataFrame, part: list[str], order: list[str], hard: Column, width: int, name: str = "segment") -> DataFrame:
+def hard_segments(df: DataFrame, part: list[str], order: list[str], hard: Column, width: DataFrame | int, name: str = "segment") -> DataFrame:
     """Number of hard resets so far."""
     return running_total(df, part, order, F.when(hard, 1).otherwise(0), width, name)
 
@@ -90,7 +94,7 @@ def group_starts(df: DataFrame, part: list[str], order: list[str], key: str, nam
 
 
 def last_marker(probe: DataFrame, marker: DataFrame, part: list[str], order: list[str], payload: list[str],
-                width: int, name: str = "prev") -> DataFrame:
+                width: DataFrame | int, name: str = "prev") -> DataFrame:
     """As-of join: for every probe row the ``payload`` struct of the last marker strictly before it.
 
     ``marker`` has the columns ``part``, ``order`` and ``payload``. Both sides are cut into the same time blocks;
@@ -98,10 +102,10 @@ def last_marker(probe: DataFrame, marker: DataFrame, part: list[str], order: lis
     so one shuffle on (part, block) answers the join without a non-equi condition and without a run-wide window.
     """
     keys = [*part, "_block"]
-    p, m = with_block(probe, order[0], width), with_block(marker, order[0], width)
+    p, m = with_block(probe, part, order[0], width), with_block(marker, part, order[0], width)
     pay = F.struct(*payload)
     at_end = m.groupBy(*keys).agg(F.max_by(pay, _order(order)).alias(name))
-    ends = probe.groupBy(*part).agg(F.max(time_block(order[0], width)).alias("_end"))
+    ends = p.groupBy(*part).agg(F.max("_block").alias("_end"))
     nxt = F.lead("_block").over(Window.partitionBy(*part).orderBy("_block"))
     carry = (
         at_end.withColumn("_next", nxt).join(ends, part)

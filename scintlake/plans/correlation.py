@@ -9,6 +9,7 @@ from ..functions import trigger as T
 from ..functions import constants as K
 from ..operators import correlate as C
 from ..operators import hits as H
+from ..operators import scan as S
 from .registry import query, rounded
 
 HOUR = 3600 * 40_000_000                     # ticks
@@ -85,9 +86,8 @@ def dt_prev(spark, sf):
 @query("hard_segments", f"""{views.with_views('trig')}
 SELECT run, event, CAST(sum(CASE WHEN q17 >= {HARD} THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts, event) AS BIGINT) AS segment FROM trig""")
 def hard_segments(spark, sf):
-    from ..operators.scan import block_width, hard_segments as seg
     t = views.trig(spark, sf)
-    return seg(t, ["run"], ["ts", "event"], F.col("q17") >= HARD, block_width(t, ["run"], "ts")).select("run", "event", "segment")
+    return S.hard_segments(t, ["run"], ["ts", "event"], F.col("q17") >= HARD, S.time_blocks(t, ["run"], "ts")).select("run", "event", "segment")
 
 
 @query("prev_muon_asof", TAGGED_SQL + "SELECT run, event, is_tag, retrigger, prev_event, dt FROM tagged")

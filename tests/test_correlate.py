@@ -108,3 +108,17 @@ def test_islands_and_running_sum(spark):
     assert got["cumsum"].tolist() == [1, 2, 1, 3, 2, 5, 1, 0, 1]
     starts = S.group_starts(spark.createDataFrame(pdf), [], ["g", "i"], "g").toPandas()
     assert starts.sort_values(["g", "i"])["is_start"].tolist() == [True] + [False] * 5 + [True, False, False]
+
+
+def test_blocks_of_each_run(spark):
+    """Each run has its own block width; a dense run does not shred a long quiet one."""
+    pdf = make(seed=6)
+    quiet = pd.DataFrame({"run": 9, "event": np.arange(10 ** 6, 10 ** 6 + 40), "ts": 10 ** 12 + np.arange(40) * 10 ** 9, "q17": 100.0, "nhit": 1})
+    pdf = pd.concat([pdf, quiet], ignore_index=True)
+    df = spark.createDataFrame(pdf)
+    blocks = S.time_blocks(df, ["run"], "ts", rows_per_block=60)
+    n = S.with_block(df, ["run"], "ts", blocks).groupBy("run").agg(F.countDistinct("_block").alias("n")).toPandas().set_index("run")["n"]
+    assert n[0] > 30 and n[9] == 1
+    want = loop(pdf, 60, 350, 300)
+    got = C.tag_previous(df, F.col("q17") >= 60, F.col("q17") >= 350, 300, blocks).toPandas().sort_values("event").reset_index(drop=True)
+    assert (got["prev_event"].to_numpy() == want["prev_event"].to_numpy()).all() and (got["retrigger"] == want["retrigger"]).all()
