@@ -50,7 +50,7 @@ def _all_bins(df: DataFrame, keys: list[str], nbins: int, name: str) -> DataFram
 
 def hist1d(df: DataFrame, keys: list[str], x: Column, lo: float, hi: float, width: float, clip: bool = False) -> DataFrame:
     """Counts per uniform bin and group with empty bins; ``clip`` moves under- and overflow into the end bins."""
-    nbins = edge_count(lo, hi, width) - 1 if clip is None else round((hi - lo) / width)
+    nbins = round((hi - lo) / width)
     top = lo + nbins * width
     b = uniform_bin(F.greatest(F.least(x, F.lit(top)), F.lit(lo)) if clip else x, lo, width, nbins)
     counts = df.select(*keys, b.alias("bin")).where("bin is not null").groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,6 @@ from ..operators import calib as C
 from ..operators import hist as B
 from ..operators import hits as H
 from ..operators import quantile as Q
-from ..operators import scan as S
 from . import sqlparts as P
 from .registry import query, rounded
 

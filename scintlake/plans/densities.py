@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import constants as K
 from ..functions import geometry as G
 from ..operators import calib as C
 from ..operators import cube as U
-from ..operators import hits as H
 from ..operators.hist import gauss_kernel
 from . import sqlparts as P
 from .calibration import BASE, primary_showers
