@@ -308,3 +308,12 @@ def test_density_levels_and_interpolation(spark):
     x = -40 + 0.5 * (c.tbin.to_numpy() + 0.5)
     assert np.allclose(got.logp, np.interp([0.0, 20.0, 300.0], x, c.logp), atol=1e-4)
     assert got.dlogp[1] < 0
+
+
+def test_t0_from_used_hits(spark):
+    rng = np.random.default_rng(11)
+    off = {0: -3.0, 1: 1.0, 2: 2.0}
+    rows = [(c, 0, float(o + rng.normal(0, 0.1)), True) for c, o in off.items() for _ in range(25)]
+    rows += [(0, 0, 500.0, False)] * 50 + [(7, 0, 1.0, True)] * 3 + [(1900, 0, 9.0, True)] * 30
+    t = C.t0_from_used(spark.createDataFrame(rows, "cable long, atwd long, tau double, used boolean")).toPandas().set_index("cable")["t0"]
+    assert sorted(t.index) == [0, 1, 2] and all(abs(t[c] - o) < 0.1 for c, o in off.items())
