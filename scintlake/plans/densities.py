@@ -61,7 +61,7 @@ def _grad(y):
 _WIN = "WINDOW w AS (PARTITION BY type, qbin, dbin ORDER BY tbin)"
 
 
-@query("density_cube", CUBE_SQL + f""",
+DENSITY_SQL = CUBE_SQL + f""",
 tot AS (SELECT level, type, qbin, dbin, sum(n) AS n FROM cnt GROUP BY ALL),
 cells AS (SELECT t.type, q.qbin, d.dbin FROM (SELECT unnest(range(0, 2)) AS type) t, (SELECT unnest(range(0, 4)) AS qbin) q, (SELECT unnest(range(0, 4)) AS dbin) d),
 ch AS (SELECT c.*, CASE WHEN (SELECT sum(n) FROM tot t WHERE t.level = 0 AND t.type = c.type AND t.qbin = c.qbin AND t.dbin = c.dbin) >= 2000 THEN 0
@@ -73,20 +73,30 @@ s AS (SELECT *, {_conv('n')} AS y FROM f {_WIN}),
 l AS (SELECT *, ln(CASE WHEN max(y) OVER v <= 0 THEN 1.0 / {HI - LO} ELSE greatest(y, 1e-5 * max(y) OVER v) / (sum(y) OVER v * {DT}) END) AS logp
   FROM s WINDOW v AS (PARTITION BY type, qbin, dbin)),
 a AS (SELECT *, {_grad('logp')} AS g1 FROM l {_WIN}), b1 AS (SELECT *, {_conv('g1')} AS dlogp FROM a {_WIN}),
-c1 AS (SELECT *, {_grad('dlogp')} AS g2 FROM b1 {_WIN}), d1 AS (SELECT *, {_conv('g2')} AS d2logp FROM c1 {_WIN})
+c1 AS (SELECT *, {_grad('dlogp')} AS g2 FROM b1 {_WIN}), d1 AS (SELECT *, {_conv('g2')} AS d2logp FROM c1 {_WIN})"""
+
+
+@query("density_cube", DENSITY_SQL + """
 SELECT type, qbin, dbin, level, tbin, n, round(logp, 6) AS logp, round(dlogp, 6) AS dlogp, round(d2logp, 6) AS d2logp FROM d1""")
 def density_cube(spark, sf):
     return rounded(U.density_cube(U.density_counts(centre_residuals(spark, sf), LO, HI, DT), LO, HI, DT))
 
 
-@query("density_lookup")
+@query("density_lookup", DENSITY_SQL + f""",
+lx AS (SELECT run, event, CASE WHEN cable >= 1325 THEN 1 ELSE 0 END AS type, CASE WHEN q < 1.5 THEN 0 WHEN q < 3 THEN 1 WHEN q < 6 THEN 2 ELSE 3 END AS qbin,
+         CASE WHEN d < 400 THEN 0 WHEN d < 650 THEN 1 WHEN d < 900 THEN 2 ELSE 3 END AS dbin,
+         least(greatest((res - ({LO})) / {DT}::DOUBLE - 0.5::DOUBLE, 0), {round((HI - LO) / DT)} - 1.000001::DOUBLE) AS x FROM r)
+SELECT lx.run, lx.event, count(*) AS n, round(sum(a.logp * (1 - (x - floor(x))) + b.logp * (x - floor(x))), 5) AS logp,
+  round(sum(a.dlogp * (1 - (x - floor(x))) + b.dlogp * (x - floor(x))), 5) AS dlogp, round(sum(a.d2logp * (1 - (x - floor(x))) + b.d2logp * (x - floor(x))), 5) AS d2logp
+FROM lx JOIN d1 a ON a.type = lx.type AND a.qbin = lx.qbin AND a.dbin = lx.dbin AND a.tbin = floor(x)
+        JOIN d1 b ON b.type = lx.type AND b.qbin = lx.qbin AND b.dbin = lx.dbin AND b.tbin = floor(x) + 1 GROUP BY lx.run, lx.event""")
 def density_lookup(spark, sf):
     from ..session import stage
     res = centre_residuals(spark, sf)
     cube = stage(U.density_cube(U.density_counts(res, LO, HI, DT), LO, HI, DT), "cube")
     h = U.lookup_density(res, cube, "res", LO, HI, DT, ("logp", "dlogp", "d2logp"))
-    return h.groupBy("run", "event").agg(F.count(F.lit(1)).alias("n"), F.sum("logp").alias("logp"),
-                                         F.sum("dlogp").alias("dlogp"), F.sum("d2logp").alias("d2logp"))
+    return rounded(h.groupBy("run", "event").agg(F.count(F.lit(1)).alias("n"), F.sum("logp").alias("logp"),
+                                                 F.sum("dlogp").alias("dlogp"), F.sum("d2logp").alias("d2logp")), 5)
 
 
 @query("speed_cells", f"""{BASE},
