@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import mixing
+from scintlake.llm import mixing, secrets, url_filter
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -53,3 +53,55 @@ FROM o
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     return mixing.placed(docs, SCHEDULES, budget=1.5, max_repeats=2.0, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda r: F.size(F.filter("strong", lambda x: x["rank"] == r)).cast("long")
+    return out.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+                      F.sha2(secrets.as_text(F.col("strong")), 256).alias("base_sha256"),
+                      secrets.as_text(F.col("spans")).alias("spans"))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def _op4_sql(depth: int = 4, support: int = 8, share: float = 0.02, z: float = 1.96, weight: float = 5.0, reject: float = 0.8) -> str:
+    fits = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
+    out = f"""
+WITH raw AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+page AS (SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) AS path FROM raw),
+rules(rv, rule, rh, rp) AS (VALUES {fits}),
+uniq AS (SELECT host, path, count(*) AS n FROM page GROUP BY ALL),
+fit AS (SELECT host, path, n, arg_max(rule, length(rule)) AS rule, arg_max(rv, length(rule)) AS rv
+        FROM uniq LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
+l0 AS (SELECT host, path, n, CASE WHEN rule IS NULL THEN 0 ELSE n END AS lab, CASE WHEN rv = 'block' THEN n ELSE 0 END AS bad,
+              CASE WHEN path = '' THEN [] ELSE string_split(path, '/')[2:] END AS segs, '' AS template FROM fit)"""
+    for d in range(depth):
+        seg = f"segs[{d + 1}]" if d < depth - 1 else f"CASE WHEN len(segs) > {depth} THEN '**' ELSE segs[{depth}] END"
+        out += f""",
+s{d} AS (SELECT *, {seg} AS seg FROM l{d}),
+c{d} AS (SELECT host, template, seg, sum(n) AS cn, sum(lab) AS cl, sum(bad) AS cb FROM s{d} WHERE seg IS NOT NULL GROUP BY ALL),
+p{d} AS (SELECT host, template, sum(cn) AS pn, sum(cl) AS pl, sum(cb) AS pb FROM c{d} GROUP BY ALL),
+k{d} AS (SELECT host, template, seg, true AS lit FROM c{d} JOIN p{d} USING (host, template)
+         WHERE cn >= {support} AND cn >= {share}::DOUBLE * pn AND cl > 0 AND pl > cl
+           AND pow(cb / cl - (pb - cb) / (pl - cl), 2) > {z}::DOUBLE * {z}::DOUBLE * (pb / pl) * (1 - pb / pl) * (1 / cl + 1 / (pl - cl))),
+l{d + 1} AS (SELECT host, path, n, lab, bad, segs, CASE WHEN seg IS NULL THEN template WHEN lit THEN template || '/' || seg
+                    ELSE template || '/*' END AS template FROM s{d} LEFT JOIN k{d} USING (host, template, seg))"""
+    return out + f""",
+leaf AS (SELECT host, template, sum(lab) AS lab, sum(bad) AS bad FROM l{depth} GROUP BY ALL),
+hosts AS (SELECT host, sum(lab) AS hl, sum(bad) AS hb FROM leaf GROUP BY ALL),
+world AS (SELECT coalesce(sum(hb) / nullif(sum(hl), 0), 0.0) AS g FROM hosts),
+pure AS (SELECT host, template, (bad + {weight}::DOUBLE * ((hb + {weight}::DOUBLE * g) / (hl + {weight}::DOUBLE))) / (lab + {weight}::DOUBLE) AS purity
+         FROM leaf JOIN hosts USING (host), world)
+SELECT page_id, host, path, rule, template, round(purity, 9) AS purity,
+       coalesce(rv, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict
+FROM page JOIN fit USING (host, path) JOIN l{depth} USING (host, path) JOIN pure USING (host, template)"""
+
+
+@query("op4_url_filter", _op4_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (url_filter.judged(read(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+            .withColumn("purity", F.round("purity", 9)))
