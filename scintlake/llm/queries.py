@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import mixing, secrets, url_filter
+from scintlake.llm import minhash, mixing, secrets, url_filter
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -105,3 +105,8 @@ FROM page JOIN fit USING (host, path) JOIN l{depth} USING (host, path) JOIN pure
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (url_filter.judged(read(spark, sf_dir, "pages").select("page_id", "url"), RULES)
             .withColumn("purity", F.round("purity", 9)))
+
+
+@query("op2_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
