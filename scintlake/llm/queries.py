@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import minhash, mixing, secrets, url_filter
+from scintlake.llm import bpe, minhash, mixing, secrets, url_filter
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -110,3 +111,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_minhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    ids = bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return bpe.decoded(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
