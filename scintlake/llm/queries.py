@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import bpe, minhash, mixing, secrets, url_filter
+from scintlake.llm import bpe, minhash, mixing, secrets, toxicity, url_filter
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -123,3 +123,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decoded(ids, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held = (toxicity.held_out_remainder(F.col("doc_id")) == 1).alias("held_out")
+    return toxicity.scored(docs, model, keep=["doc_id"]).select(
+        "doc_id", held, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
