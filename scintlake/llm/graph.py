@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scintlake.session import stage
 
-#: a new member is compared with this many members of each other component of its bucket per round
-PIVOTS = 8
-
 
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step on edges (hi, lo), hi > lo."""
@@ -45,37 +42,43 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """Components of the nodes of ``members`` (key, node) under the links that ``verify`` confirms among bucket mates.
+def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                      close: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Components of the nodes of ``members`` (key, node, mark) under the links that ``verify`` confirms among bucket mates.
 
-    ``verify`` takes distinct candidate pairs (a, b), a < b, and returns those linked. First every member is compared
-    with the least node of its bucket. Only buckets that still hold more than one component go on: in every round
-    ``PIVOTS`` members of each component that have not been pivots are compared with all members of other components
-    and then rest. A bucket is done when at most one of its components has members that are not at rest, so every
+    ``close`` is a cheap necessary condition on the marks of two nodes (marks are functions of the node); ``verify``
+    takes the distinct candidate pairs (a, b), a < b, that satisfy it and returns those linked. First every member is
+    compared with the least node of its bucket. Only buckets that still hold more than one component go on: in every
+    round one member of each component that has not been a pivot is compared with all members of other components and
+    then rests. A bucket is done when at most one of its components has members that are not at rest, so every
     pair of a bucket that lies in two components has been compared in the end, while members of one component need not be.
-    Returns (node, component) for linked nodes, or None without links, and all links.
+    Returns (node, component) for linked nodes, and the links found.
     """
-    members = stage(members.distinct().withColumn("rest", F.lit(False)), "bucket")
-    first = members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
-    pairs = (members.join(first, F.col("key") == F.col("k")).filter("node <> pivot")
-             .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    close = close or (lambda a, b: F.lit(True))
+    first = (members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("pivot"), F.min_by("mark", "node").alias("pm"),
+                                                          F.max("node").alias("last")).filter("pivot < last"))
+    first = stage(first.drop("last"), "pivots")
+    met = members.join(first, F.col("key") == F.col("k"))
+    pairs = met.filter((F.col("node") != F.col("pivot")) & close(F.col("mark"), F.col("pm"))).select(
+        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(verify(pairs), "links")
-    members = members.join(first.select("k", "pivot"), F.col("key") == F.col("k")).withColumn("rest", F.col("node") == F.col("pivot")).select("key", "node", "rest")
+    members = met.select("key", "node", "mark", (F.col("node") == F.col("pivot")).alias("rest"))
     while True:
         comp = components(links)
         named = members.join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-            "key", "node", "rest", F.coalesce("component", "node").alias("comp"))
-        awake = (named.filter("not rest").groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")))
-        whole = named.groupBy(F.col("key").alias("k2")).agg(F.min("comp").alias("d0"), F.max("comp").alias("d1"))
-        # a bucket with one component, or whose members all rest, has nothing left to compare
-        open_keys = awake.join(whole, F.col("k") == F.col("k2")).filter("d0 < d1 and c0 < c1").select("k")
+            "key", "node", "mark", "rest", F.coalesce("component", "node").alias("comp"))
+        state = named.groupBy(F.col("key").alias("k")).agg(
+            F.min("comp").alias("d0"), F.max("comp").alias("d1"),
+            F.min(F.when(~F.col("rest"), F.col("comp"))).alias("c0"), F.max(F.when(~F.col("rest"), F.col("comp"))).alias("c1"))
+        # a bucket with one component, or whose other components rest, has nothing left to compare
+        open_keys = state.filter("d0 < d1 and c0 < c1").select("k")
         members = stage(named.join(open_keys, F.col("key") == F.col("k"), "left_semi"), "bucket")
         if members.isEmpty():
             return comp, links
-        turn = members.filter("not rest").groupBy("key", "comp").agg(F.min("node").alias("p0")).select(
-            F.col("key").alias("k"), F.col("comp").alias("c"), "p0")
-        pairs = stage(members.join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c")))
-                      .select(F.least("node", "p0").alias("a"), F.greatest("node", "p0").alias("b")).distinct(), "pairs")
+        turn = stage(members.filter("not rest").groupBy(F.col("key").alias("k"), F.col("comp").alias("c")).agg(
+            F.min("node").alias("p0"), F.min_by("mark", "node").alias("pm")), "pivots")
+        pairs = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c"))).filter(close(F.col("mark"), F.col("pm")))
+                 .select(F.least("node", "p0").alias("a"), F.greatest("node", "p0").alias("b")).distinct())
         links = stage(links.unionByName(verify(pairs)).distinct(), "links")
         members = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("node") == F.col("p0")), "left")
-                   .select("key", "node", (F.col("rest") | F.col("p0").isNotNull()).alias("rest")))
+                   .select("key", "node", "mark", (F.col("rest") | F.col("p0").isNotNull()).alias("rest")))

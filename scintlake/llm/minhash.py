@@ -86,14 +86,14 @@ def profiles(docs: DataFrame, k: int = 5, m: int = 10, r: int = 3) -> DataFrame:
 
 
 def table_members(bands: DataFrame, m: int) -> DataFrame:
-    """(node, bands) -> (key, node): the tensored table keys of nodes, formed from bands that others have too."""
-    one = bands.select("node", F.posexplode("bands").alias("slot", "h"))
+    """(node, mark, bands) -> (key, node, mark): the tensored table keys of nodes, formed from bands that others have too."""
+    one = bands.select("node", "mark", F.posexplode("bands").alias("slot", "h"))
     shared = one.groupBy(F.col("h").alias("sh"), F.col("slot").alias("ss")).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     kept = one.join(shared, (F.col("h") == F.col("sh")) & (F.col("slot") == F.col("ss")), "left_semi")
-    sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("slot") < m, F.struct("slot", "h"))).alias("left"),
+    sides = kept.groupBy("node", "mark").agg(F.collect_list(F.when(F.col("slot") < m, F.struct("slot", "h"))).alias("left"),
                                      F.collect_list(F.when(F.col("slot") >= m, F.struct("slot", "h"))).alias("right"))
-    return (sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l.slot", "l.h", "r.slot", "r.h").alias("key"), "node"))
+    return (sides.select("node", "mark", F.explode("left").alias("l"), "right").select("node", "mark", "l", F.explode("right").alias("r"))
+            .select(F.xxhash64("l.slot", "l.h", "r.slot", "r.h").alias("key"), "node", "mark"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -101,10 +101,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = sets.select(F.col("node").alias("b_node"), F.col("shingles").alias("b_set"))
     one = sets.select(F.col("node").alias("a_node"), F.col("shingles").alias("a_set"))
     both = pairs.join(other, F.col("b") == F.col("b_node")).join(one, F.col("a") == F.col("a_node"))
-    small, large = F.least(F.size("a_set"), F.size("b_set")), F.greatest(F.size("a_set"), F.size("b_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return (both.filter(100 * small >= percent * large)
-            .filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"))
+    return (both.filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10, r: int = 3) -> DataFrame:
@@ -115,14 +113,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10,
     """
     prof = stage(profiles(docs, k, m, r), "minhash")
     classes = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy("class")
-               .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    members = stage(table_members(classes.select("node", "bands"), m), "tables")
+               .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("mark"), F.first("bands").alias("bands")))
+    members = stage(table_members(classes, m), "tables")
     crowded = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
     members = stage(members.join(crowded, F.col("key") == F.col("k"), "left_semi"), "tables")
     wanted = members.select(F.col("node").alias("w")).distinct()
     sets = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
                  .join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_setter(k), SETS).dropDuplicates(["node"]), "sets")
-    comp, _ = bucket_components(members, lambda pairs: confirmed(pairs, sets, percent))
+    comp, _ = bucket_components(members, lambda pairs: confirmed(pairs, sets, percent),
+                                close=lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b))
     of_class = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("class").alias("cl")).agg(F.min("doc_id").alias("rep")))
     named = (of_class.join(comp, F.col("rep") == F.col("node"), "left")
              .select("cl", F.coalesce("component", "rep").alias("component_id")))
