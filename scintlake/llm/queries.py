@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import bpe, minhash, mixing, secrets, toxicity, url_filter
+from scintlake.llm import bpe, lines, minhash, mixing, secrets, toxicity, url_filter
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -132,3 +132,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = (toxicity.held_out_remainder(F.col("doc_id")) == 1).alias("held_out")
     return toxicity.scored(docs, model, keep=["doc_id"]).select(
         "doc_id", held, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op3_lines")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicated(docs).select("doc_id", "lines_removed", "text")
