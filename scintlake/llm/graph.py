@@ -43,30 +43,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                      close: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Components of the nodes of ``members`` (key, node, mark) under the links that ``verify`` confirms among bucket mates.
+                      close: Callable[[dict[str, Column], dict[str, Column]], Column]) -> tuple[DataFrame, DataFrame]:
+    """Components of the nodes of ``members`` (key, node, marks) under the links that ``verify`` confirms among bucket mates.
 
-    ``close`` is a cheap necessary condition on the marks of two nodes (marks are functions of the node); ``verify``
-    takes the distinct candidate pairs (a, b), a < b, that satisfy it and returns those linked. First every member is
+    All other columns are marks, numbers that are functions of the node. ``close`` is a cheap condition on the marks of
+    two nodes, part of the join; ``verify`` takes the distinct candidate pairs (a, b), a < b, that satisfy it and
+    returns those linked. First every member is
     compared with the least node of its bucket. Only buckets that still hold more than one component go on: in every
     round one member of each component that has not been a pivot is compared with all members of other components and
     then rests. A bucket is done when at most one of its components has members that are not at rest, so every
     pair of a bucket that lies in two components has been compared in the end, while members of one component need not be.
     Returns (node, component) for linked nodes, and the links found.
     """
-    close = close or (lambda a, b: F.lit(True))
-    first = (members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("pivot"), F.min_by("mark", "node").alias("pm"),
-                                                          F.max("node").alias("last")).filter("pivot < last"))
+    marks = [c for c in members.columns if c not in ("key", "node")]
+    of_pivot = [F.min_by(c, "node").alias(f"p_{c}") for c in marks]
+    alike = lambda: close({c: F.col(c) for c in marks}, {c: F.col(f"p_{c}") for c in marks})
+    first = (members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("pivot"), F.max("node").alias("last"), *of_pivot)
+             .filter("pivot < last"))
     first = stage(first.drop("last"), "pivots")
     met = members.join(first, F.col("key") == F.col("k"))
-    pairs = met.filter((F.col("node") != F.col("pivot")) & close(F.col("mark"), F.col("pm"))).select(
+    pairs = met.filter((F.col("node") != F.col("pivot")) & alike()).select(
         F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stage(verify(pairs), "links")
-    members = met.select("key", "node", "mark", (F.col("node") == F.col("pivot")).alias("rest"))
+    members = met.select("key", "node", *marks, (F.col("node") == F.col("pivot")).alias("rest"))
     while True:
         comp = components(links)
         named = members.join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-            "key", "node", "mark", "rest", F.coalesce("component", "node").alias("comp"))
+            "key", "node", *marks, "rest", F.coalesce("component", "node").alias("comp"))
         state = named.groupBy(F.col("key").alias("k")).agg(
             F.min("comp").alias("d0"), F.max("comp").alias("d1"),
             F.min(F.when(~F.col("rest"), F.col("comp"))).alias("c0"), F.max(F.when(~F.col("rest"), F.col("comp"))).alias("c1"))
@@ -76,9 +79,9 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
         if members.isEmpty():
             return comp, links
         turn = stage(members.filter("not rest").groupBy(F.col("key").alias("k"), F.col("comp").alias("c")).agg(
-            F.min("node").alias("p0"), F.min_by("mark", "node").alias("pm")), "pivots")
-        pairs = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c"))).filter(close(F.col("mark"), F.col("pm")))
+            F.min("node").alias("p0"), *of_pivot), "pivots")
+        pairs = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c"))).filter(alike())
                  .select(F.least("node", "p0").alias("a"), F.greatest("node", "p0").alias("b")).distinct())
         links = stage(links.unionByName(verify(pairs)).distinct(), "links")
         members = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("node") == F.col("p0")), "left")
-                   .select("key", "node", "mark", (F.col("rest") | F.col("p0").isNotNull()).alias("rest")))
+                   .select("key", "node", *marks, (F.col("rest") | F.col("p0").isNotNull()).alias("rest")))

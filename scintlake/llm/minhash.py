@@ -3,7 +3,8 @@
 Two small collections of ``m`` band hashes of ``r`` minhashes each are computed per document; the m * m table keys are
 all pairs of one band from either collection. So 2 m r minhashes do the work of m * m * 2 r. A pair of Jaccard
 similarity J meets in some table with probability (1 - (1 - J**r)**m)**2: with r = 3 and m = 10 that is 0.99985 at 0.85,
-0.99986 and more above. This is the only place where a link can be missed.
+0.9999 and more above. Bucket mates whose sketches (4 bits of every minhash) are too unlike are not compared, with a
+chance below 1e-7 for a true pair. These are the only places where a link can be missed.
 
 Steps: equal shingle sets become one class, so copies never multiply pairs. Bands that occur once are dropped, and
 table keys are formed only for classes that keep bands of both collections (a key needs both, so no key shared by two
@@ -19,7 +20,9 @@ is that of any of them; rows without an id link with nothing. Columns other than
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,10 @@ from scintlake.llm import shingles as sh
 from scintlake.llm.graph import bucket_components
 from scintlake.session import stage
 
-PROFILE = "doc_id long, n_shingles long, class binary, bands array<long>"
+#: bits kept of every minhash, one to a sketch word
+PLANES = 4
+SKETCH = [f"s{p}" for p in range(PLANES)]
+PROFILE = "doc_id long, n_shingles long, class binary, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 SETS = "node long, shingles array<long>"
 
 
@@ -48,9 +54,13 @@ def _profiler(k: int, m: int, r: int):
                 starts = ends - n
                 some = np.flatnonzero(n)
                 bands = np.zeros((2 * m, len(some)), dtype=np.uint64)
+                sketch = np.zeros((PLANES, len(n)), dtype=np.uint64)
                 for t in range(2 * m * r if len(some) else 0):
                     least = np.minimum.reduceat(hashes * factors[t], starts[some])
                     bands[t // r] = sh.mix(bands[t // r] + least + np.uint64(t))
+                    bits = sh.mix(least)
+                    for p in range(PLANES):
+                        sketch[p, some] ^= ((bits >> np.uint64(p)) & np.uint64(1)) << np.uint64(t % 64)
                 sizes, names = np.zeros(len(n), dtype=np.int64), [None] * len(n)
                 for j in some:
                     s = np.sort(hashes[starts[j]:ends[j]])
@@ -62,8 +72,8 @@ def _profiler(k: int, m: int, r: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)),
                                                  pa.array(bands.T.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, len(n)).cast(pa.int64()), pa.array(sizes), pa.array(names, pa.binary()), lists],
-                    ["doc_id", "n_shingles", "class", "bands"])
+                    [batch.column("doc_id").slice(i, len(n)).cast(pa.int64()), pa.array(sizes), pa.array(names, pa.binary()), lists,
+                     *(pa.array(x.view(np.int64)) for x in sketch)], ["doc_id", "n_shingles", "class", "bands", *SKETCH])
     return profile
 
 
@@ -86,14 +96,16 @@ def profiles(docs: DataFrame, k: int = 5, m: int = 10, r: int = 3) -> DataFrame:
 
 
 def table_members(bands: DataFrame, m: int) -> DataFrame:
-    """(node, mark, bands) -> (key, node, mark): the tensored table keys of nodes, formed from bands that others have too."""
-    one = bands.select("node", "mark", F.posexplode("bands").alias("slot", "h"))
+    """(node, n_shingles, bands, sketch) -> (key, node, n_shingles, sketch): the tensored table keys of nodes, formed from bands that others have too."""
+    marks = ["node", "n_shingles", *SKETCH]
+    one = bands.select("node", F.posexplode("bands").alias("slot", "h"))
     shared = one.groupBy(F.col("h").alias("sh"), F.col("slot").alias("ss")).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     kept = one.join(shared, (F.col("h") == F.col("sh")) & (F.col("slot") == F.col("ss")), "left_semi")
-    sides = kept.groupBy("node", "mark").agg(F.collect_list(F.when(F.col("slot") < m, F.struct("slot", "h"))).alias("left"),
+    sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("slot") < m, F.struct("slot", "h"))).alias("left"),
                                      F.collect_list(F.when(F.col("slot") >= m, F.struct("slot", "h"))).alias("right"))
-    return (sides.select("node", "mark", F.explode("left").alias("l"), "right").select("node", "mark", "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l.slot", "l.h", "r.slot", "r.h").alias("key"), "node", "mark"))
+    sides = sides.join(bands.select(*[F.col(c).alias("m_node" if c == "node" else c) for c in marks]), F.col("node") == F.col("m_node"))
+    return (sides.select(*marks, F.explode("left").alias("l"), "right").select(*marks, "l", F.explode("right").alias("r"))
+            .select(F.xxhash64("l.slot", "l.h", "r.slot", "r.h").alias("key"), *marks))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -105,6 +117,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (both.filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"))
 
 
+def _close(percent: int, hashes: int):
+    """Sizes allow the similarity, and sketches differ in no more bits than it makes likely.
+
+    A minhash differs with probability 1 - J and then flips each of its bits with 1/2. The bound lies 5.5 standard
+    deviations above the mean at the least similarity, so it hides a true pair with probability below 1e-7.
+    """
+    d = hashes * (1 - percent / 100)
+    bound = math.ceil(PLANES / 2 * d + 5.5 * math.sqrt((PLANES / 2) ** 2 * d * percent / 100 + PLANES / 4 * d)) + 1
+
+    def close(a, b):
+        small, large = F.least(a["n_shingles"], b["n_shingles"]), F.greatest(a["n_shingles"], b["n_shingles"])
+        bits = reduce(lambda x, y: x + y, (F.bit_count(a[s].bitwiseXOR(b[s])) for s in SKETCH))
+        return (100 * small >= percent * large) & (bits <= bound)
+    return close
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10, r: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row per row of ``docs``.
 
@@ -113,15 +141,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10,
     """
     prof = stage(profiles(docs, k, m, r), "minhash")
     classes = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy("class")
-               .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("mark"), F.first("bands").alias("bands")))
+               .agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)]))
     members = stage(table_members(classes, m), "tables")
     crowded = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
     members = stage(members.join(crowded, F.col("key") == F.col("k"), "left_semi"), "tables")
     wanted = members.select(F.col("node").alias("w")).distinct()
     sets = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
                  .join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_setter(k), SETS).dropDuplicates(["node"]), "sets")
-    comp, _ = bucket_components(members, lambda pairs: confirmed(pairs, sets, percent),
-                                close=lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b))
+    comp, _ = bucket_components(members, lambda pairs: confirmed(pairs, sets, percent), _close(percent, 2 * m * r))
     of_class = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("class").alias("cl")).agg(F.min("doc_id").alias("rep")))
     named = (of_class.join(comp, F.col("rep") == F.col("node"), "left")
              .select("cl", F.coalesce("component", "rep").alias("component_id")))
