@@ -32,15 +32,15 @@ from pyspark.sql import types as T
 U = np.uint64
 
 #: bytes of text, or ids, handled at a time
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: longer pieces (bytes) leave the recursive query
 LONG = 96
 #: pieces contracted by one query
-WORDS = 40_000
+WORDS = 10_000
 #: ids of a segment, at most
 SEGMENT = 32
 #: pieces or segments a worker remembers
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 NO_RANK = 2_147_483_647
 
@@ -126,7 +126,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], rk) for t, rk in self.ranks.items() for i in range(1, len(t))
                 if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB"})
         l, r, rk = (pa.array(x, pa.int32()) for x in zip(*rows, strict=True))
         self._table("merges", pa.table({"l": l, "r": r, "rk": rk}))
         self._table("vocab", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}))
@@ -334,17 +334,27 @@ def _cuts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _encoder(path: str, column: str):
+def _id_lists(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _byte_strings(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    bounds = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
+    given = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat))]
+    return pa.Array.from_buffers(pa.large_binary(), len(n), given).cast(pa.binary())
+
+
+def _encoder(path: str, back: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(column).cast(pa.large_string()).fill_null("")
+            text = batch.column(batch.num_columns - 1).cast(pa.large_string()).fill_null("")
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
             raw = np.frombuffer(text.buffers()[2], dtype=np.uint8) if text.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
             for i, j in _cuts(offsets) if len(text) else ():
                 ids, n = codec(path).encode(raw[offsets[i]:offsets[j]], np.diff(offsets[i:j + 1]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], "ids"])
+                more = [_id_lists(ids, n), *([_byte_strings(*codec(path).decode(ids, n))] if back else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], [*part.schema.names[:-1], "ids", "decoded"][:part.num_columns + back])
     return encode
 
 
@@ -356,10 +366,8 @@ def _decoder(path: str):
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for i, j in _cuts(offsets) if len(lists) else ():
                 flat, n = codec(path).decode(values[offsets[i]:offsets[j]], np.diff(offsets[i:j + 1]))
-                bounds = np.concatenate(([0], np.cumsum(n))).astype(np.int64)
-                out = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat))])
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], out.cast(pa.binary())], [*part.schema.names[:-1], "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _byte_strings(flat, n)], [*part.schema.names[:-1], "decoded"])
     return decode
 
 
@@ -367,11 +375,15 @@ def _plus(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.Stru
     return T.StructType([*[df.schema[c] for c in keep], T.StructField(name, kind)])
 
 
-def encoded(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all others than the text by default) and ``ids``, the token ids of the whole text."""
-    keep = [c for c in docs.columns if c not in (text, "ids")] if keep is None else keep
+def encoded(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", back: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all but the text and those added, by default) and ``ids``, the ids of the whole text.
+
+    With ``back`` the ids are decoded in the same pass, into ``decoded``.
+    """
+    keep = [c for c in docs.columns if c not in (text, "ids", "decoded")] if keep is None else keep
     given = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    return given.mapInArrow(_encoder(path, "__text"), _plus(given, keep, "ids", T.ArrayType(T.IntegerType())))
+    schema = _plus(given, keep, "ids", T.ArrayType(T.IntegerType()))
+    return given.mapInArrow(_encoder(path, back), schema.add("decoded", T.BinaryType()) if back else schema)
 
 
 def decoded(df: DataFrame, path: str, keep: list[str] | None = None, ids: str = "ids") -> DataFrame:

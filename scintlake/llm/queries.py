@@ -119,8 +119,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 @query("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    ids = bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return bpe.decoded(ids, path).select(
+    return bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), path, back=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
