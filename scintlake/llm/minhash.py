@@ -10,8 +10,8 @@ Steps: equal shingle sets become one class, so copies never multiply pairs. Band
 table keys are formed only for classes that keep bands of both collections (a key needs both, so no key shared by two
 classes is lost). Buckets are resolved by ``graph.bucket_components``; a candidate's full sets are intersected.
 
-Scale: the first pass emits 2 m hashes a document; texts are shuffled once, to hash the sets of documents that have
-candidates. Hot bands, buckets and pivots meet in aggregates and equi-joins that adaptive execution can split.
+Scale: the first pass emits 2 m hashes a document; only texts of documents that
+have candidates are shuffled, to hash their sets. Hot bands, buckets and pivots meet in aggregates and equi-joins that adaptive execution can split.
 
 Nulls: a null or empty text has no shingles and links with nothing. Rows with one id are one document whose set
 is that of any of them; rows without an id link with nothing. Columns other than id and text do not matter.
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scintlake.llm import shingles as sh
+from scintlake.llm.bitmaps import bitmap, held_rows
 from scintlake.llm.graph import bucket_components
 from scintlake.session import stage
 
@@ -145,8 +146,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10,
     members = stage(table_members(classes, m), "tables")
     crowded = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
     members = stage(members.join(crowded, F.col("key") == F.col("k"), "left_semi"), "tables")
-    wanted = members.select(F.col("node").alias("w")).distinct()
-    sets = stage(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    wanted = stage(members.select(F.col("node").alias("w")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = stage(held_rows(texts, bitmap(wanted, F.col("w")), F.col("doc_id"))
                  .join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_setter(k), SETS).dropDuplicates(["node"]), "sets")
     comp, _ = bucket_components(members, lambda pairs: confirmed(pairs, sets, percent), _close(percent, 2 * m * r))
     of_class = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("class").alias("cl")).agg(F.min("doc_id").alias("rep")))
