@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import bpe, lines, minhash, mixing, secrets, toxicity, url_filter, vectors
+from scintlake.llm import bpe, lines, minhash, mixing, passages, secrets, toxicity, url_filter, vectors
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -158,3 +158,8 @@ SELECT * FROM r WHERE rank <= 5
 @query("op9_top_k", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50)
+
+
+@query("op5_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
