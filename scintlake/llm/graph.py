@@ -42,34 +42,41 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                      close: Callable[[dict[str, Column], dict[str, Column]], Column]) -> tuple[DataFrame, DataFrame]:
-    """Components of the nodes of ``members`` (key, node, marks) under the links that ``verify`` confirms among bucket mates.
-
-    All other columns are marks, numbers that are functions of the node. ``close`` is a cheap condition on the marks of
-    two nodes, part of the join; ``verify`` takes the distinct candidate pairs (a, b), a < b, that satisfy it and
-    returns those linked. First every member is
-    compared with the least node of its bucket. Only buckets that still hold more than one component go on: in every
-    round one member of each component that has not been a pivot is compared with all members of other components and
-    then rests. A bucket is done when at most one of its components has members that are not at rest, so every
-    pair of a bucket that lies in two components has been compared in the end, while members of one component need not be.
-    Returns (node, component) for linked nodes, and the links found.
+#: rounds in which an open bucket has one pivot, before every component has one
+STARS = 5
+
+
+def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                      close: Callable[[dict[str, Column], dict[str, Column], Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Components of the nodes of ``members`` (key, slot, node) under the links that ``verify`` confirms among bucket mates.
+
+    ``marks`` has a row of numbers per node. ``close`` takes the marks of two bucket mates and the bucket's slot and is part of the
+    join: a cheap condition for a link that may also say in which of their common buckets two nodes are compared, so that no pair
+    is made twice. ``verify`` takes candidate pairs (a, b), a < b, and returns those linked.
+
+    First every member is compared with the least node of its bucket. Only buckets that still hold more than one component go on.
+    For ``STARS`` rounds a bucket has one more pivot, drawn by hash; from then on each of its components has one. A pivot is compared with
+    all members of other components (with other pivots once) and then rests. A bucket is done when at most one of its components has
+    members that are not at rest, so every pair of a bucket that lies in two components has been compared in the end, while
+    members of one component need not be. Returns (node, component) for linked nodes, and the links found.
     """
-    marks = [c for c in members.columns if c not in ("key", "node")]
-    of_pivot = [F.min_by(c, "node").alias(f"p_{c}") for c in marks]
-    alike = lambda: close({c: F.col(c) for c in marks}, {c: F.col(f"p_{c}") for c in marks})
-    first = (members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("pivot"), F.max("node").alias("last"), *of_pivot)
-             .filter("pivot < last"))
-    first = stage(first.drop("last"), "pivots")
-    met = members.join(first, F.col("key") == F.col("k"))
-    pairs = met.filter((F.col("node") != F.col("pivot")) & alike()).select(
-        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    names = [c for c in marks.columns if c != "node"]
+    of = lambda prefix: marks.select(*[F.col(c).alias(f"{prefix}{c}") for c in marks.columns])
+    alike = close({c: F.col(f"m_{c}") for c in names}, {c: F.col(f"p_{c}") for c in names}, F.col("slot"))
+    first = members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
+    first = stage(first.drop("last").join(of("p_"), F.col("pivot") == F.col("p_node")).drop("p_node"), "pivots")
+    full = members.join(of("m_"), F.col("node") == F.col("m_node")).drop("m_node")
+    pairs = (full.join(first, (F.col("key") == F.col("k")) & (F.col("node") != F.col("pivot")) & alike)
+             .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stage(verify(pairs), "links")
-    members = met.select("key", "node", *marks, (F.col("node") == F.col("pivot")).alias("rest"))
+    members = members.join(first.select("k", "pivot"), F.col("key") == F.col("k")).select(
+        "key", "slot", "node", (F.col("node") == F.col("pivot")).alias("rest"))
+    turns = 0
     while True:
+        turns += 1
         comp = components(links)
         named = members.join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-            "key", "node", *marks, "rest", F.coalesce("component", "node").alias("comp"))
+            "key", "slot", "node", "rest", F.coalesce("component", "node").alias("comp"))
         state = named.groupBy(F.col("key").alias("k")).agg(
             F.min("comp").alias("d0"), F.max("comp").alias("d1"),
             F.min(F.when(~F.col("rest"), F.col("comp"))).alias("c0"), F.max(F.when(~F.col("rest"), F.col("comp"))).alias("c1"))
@@ -78,10 +85,17 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
         members = stage(named.join(open_keys, F.col("key") == F.col("k"), "left_semi"), "bucket")
         if members.isEmpty():
             return comp, links
-        turn = stage(members.filter("not rest").groupBy(F.col("key").alias("k"), F.col("comp").alias("c")).agg(
-            F.min("node").alias("p0"), *of_pivot), "pivots")
-        pairs = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c"))).filter(alike())
+        # the same nodes are drawn in all their buckets
+        drawn = F.struct(F.xxhash64("node", F.lit(turns)).alias("h"), F.col("node").alias("p0"), F.col("comp").alias("c"))
+        group = [F.col("key").alias("k")] + ([F.col("comp").alias("by")] if turns > STARS else [])
+        turn = stage(members.filter("not rest").groupBy(*group).agg(F.min(drawn).alias("d")).select("k", "d.p0", "d.c")
+                     .join(of("p_"), F.col("p0") == F.col("p_node")).drop("p_node"), "pivots")
+        mine = turn.select(F.col("k").alias("tk"), F.col("p0").alias("t0"))
+        now = members.join(mine, (F.col("key") == F.col("tk")) & (F.col("node") == F.col("t0")), "left").select(
+            "key", "slot", "node", "rest", "comp", F.col("t0").isNotNull().alias("turn"))
+        now = stage(now, "bucket")
+        pairs = (now.join(of("m_"), F.col("node") == F.col("m_node"))
+                 .join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c")) & (~F.col("turn") | (F.col("node") < F.col("p0"))) & alike)
                  .select(F.least("node", "p0").alias("a"), F.greatest("node", "p0").alias("b")).distinct())
         links = stage(links.unionByName(verify(pairs)).distinct(), "links")
-        members = (members.join(turn, (F.col("key") == F.col("k")) & (F.col("node") == F.col("p0")), "left")
-                   .select("key", "node", *marks, (F.col("rest") | F.col("p0").isNotNull()).alias("rest")))
+        members = now.select("key", "slot", "node", (F.col("rest") | F.col("turn")).alias("rest"))

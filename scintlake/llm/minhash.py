@@ -97,16 +97,14 @@ def profiles(docs: DataFrame, k: int = 5, m: int = 10, r: int = 3) -> DataFrame:
 
 
 def table_members(bands: DataFrame, m: int) -> DataFrame:
-    """(node, n_shingles, bands, sketch) -> (key, node, n_shingles, sketch): the tensored table keys of nodes, formed from bands that others have too."""
-    marks = ["node", "n_shingles", *SKETCH]
-    one = bands.select("node", F.posexplode("bands").alias("slot", "h"))
-    shared = one.groupBy(F.col("h").alias("sh"), F.col("slot").alias("ss")).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    kept = one.join(shared, (F.col("h") == F.col("sh")) & (F.col("slot") == F.col("ss")), "left_semi")
-    sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("slot") < m, F.struct("slot", "h"))).alias("left"),
-                                     F.collect_list(F.when(F.col("slot") >= m, F.struct("slot", "h"))).alias("right"))
-    sides = sides.join(bands.select(*[F.col(c).alias("m_node" if c == "node" else c) for c in marks]), F.col("node") == F.col("m_node"))
-    return (sides.select(*marks, F.explode("left").alias("l"), "right").select(*marks, "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l.slot", "l.h", "r.slot", "r.h").alias("key"), *marks))
+    """(node, bands) -> (key, slot, node): the tensored table keys of nodes, formed from bands that others have too."""
+    one = bands.select("node", F.posexplode("bands").alias("at", "h"))
+    shared = one.groupBy(F.col("h").alias("sh"), F.col("at").alias("ss")).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    kept = one.join(shared, (F.col("h") == F.col("sh")) & (F.col("at") == F.col("ss")), "left_semi")
+    sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("at") < m, F.struct("at", "h"))).alias("left"),
+                                     F.collect_list(F.when(F.col("at") >= m, F.struct("at", "h"))).alias("right"))
+    return (sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r"))
+            .select(F.xxhash64("l.at", "l.h", "r.at", "r.h").alias("key"), (F.col("l.at") * (2 * m) + F.col("r.at")).alias("slot"), "node"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,19 +116,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (both.filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"))
 
 
-def _close(percent: int, hashes: int):
-    """Sizes allow the similarity, and sketches differ in no more bits than it makes likely.
+def _close(percent: int, m: int, r: int):
+    """Sizes allow the similarity, sketches differ in no more bits than it makes likely, and the table is the first that both share.
 
     A minhash differs with probability 1 - J and then flips each of its bits with 1/2. The bound lies 5.5 standard
     deviations above the mean at the least similarity, so it hides a true pair with probability below 1e-7.
     """
-    d = hashes * (1 - percent / 100)
+    d = 2 * m * r * (1 - percent / 100)
     bound = math.ceil(PLANES / 2 * d + 5.5 * math.sqrt((PLANES / 2) ** 2 * d * percent / 100 + PLANES / 4 * d)) + 1
 
-    def close(a, b):
+    def close(a, b, slot):
         small, large = F.least(a["n_shingles"], b["n_shingles"]), F.greatest(a["n_shingles"], b["n_shingles"])
         bits = reduce(lambda x, y: x + y, (F.bit_count(a[s].bitwiseXOR(b[s])) for s in SKETCH))
-        return (100 * small >= percent * large) & (bits <= bound)
+        same = F.zip_with(a["bands"], b["bands"], lambda x, y: x == y)
+        left, right = F.array_position(F.slice(same, 1, m), F.lit(True)) - 1, F.array_position(F.slice(same, m + 1, m), F.lit(True)) - 1 + m
+        return (100 * small >= percent * large) & (bits <= bound) & (left * (2 * m) + right == slot)
     return close
 
 
@@ -143,6 +143,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10,
     prof = stage(profiles(docs, k, m, r), "minhash")
     classes = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy("class")
                .agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH)]))
+    classes = stage(classes, "classes")
     members = stage(table_members(classes, m), "tables")
     crowded = members.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).filter("c > 1")
     members = stage(members.join(crowded, F.col("key") == F.col("k"), "left_semi"), "tables")
@@ -150,7 +151,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stage(held_rows(texts, bitmap(wanted, F.col("w")), F.col("doc_id"))
                  .join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_setter(k), SETS).dropDuplicates(["node"]), "sets")
-    comp, _ = bucket_components(members, lambda pairs: confirmed(pairs, sets, percent), _close(percent, 2 * m * r))
+    marks = stage(classes.drop("class").join(wanted, F.col("node") == F.col("w"), "left_semi"), "marks")
+    comp, _ = bucket_components(members, marks, lambda pairs: confirmed(pairs, sets, percent), _close(percent, m, r))
     of_class = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("class").alias("cl")).agg(F.min("doc_id").alias("rep")))
     named = (of_class.join(comp, F.col("rep") == F.col("node"), "left")
              .select("cl", F.coalesce("component", "rep").alias("component_id")))
