@@ -38,9 +38,9 @@ from scintlake.session import stage
 #: coordinates of a block
 BLOCK = 8
 #: vectors on each side of a tile, about
-TILE = 6144
+TILE = 16384
 #: rows of a distance matrix held at once
-STRIP = 512
+STRIP = 128
 SLACK = 1e-12
 
 
@@ -130,13 +130,16 @@ def _tiler(distance: float, cosine: float):
         if own:
             right = left
         cut = slice(at[block], at[block] + BLOCK)
-        square = (z[:, cut] ** 2).sum(axis=1)
+        half = ((z[:, cut] ** 2).sum(axis=1) / 2)[:, None]
+        one = np.ones_like(half)
+        # one product of rows (x, -|x|^2 / 2, -1) and (y, 1, |y|^2 / 2) is minus half the squared distance
+        lhs, rhs = (np.hstack(x).astype(np.float32) for x in ((z[left, cut], -half[left], -one[left]), (z[right, cut], one[right], half[right])))
+        rhs = np.ascontiguousarray(rhs.T)
         pairs = [np.empty((2, 0), dtype=np.int64)]
         near = [np.empty(0)]
         for s in range(0, len(left), STRIP):
             a = left[s:s + STRIP]
-            d = square[a][:, None] + square[right] - 2 * (z[a][:, cut] @ z[right][:, cut].T)
-            i, j = np.nonzero(d <= shares[block] + 1e-9)
+            i, j = np.divmod(np.flatnonzero(lhs[s:s + STRIP] @ rhs >= -shares[block] / 2 - 1e-5), max(len(right), 1))
             if own:
                 i, j = i[s + i < j], j[s + i < j]
             for k in range(0, len(i), 1 << 17):
