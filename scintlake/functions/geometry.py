@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
 from . import constants as K
 
 
@@ -37,13 +36,13 @@ def sphere_point(i: Column, n: int, radius: float) -> tuple[Column, Column, Colu
 def sensors(spark: SparkSession, n: int = K.N_CABLES) -> DataFrame:
     """Generated geometry: inner sensors on the 850 cm sphere, outer ones at 900 cm; one row per cable.
 
-    Used where no geometry file is given. ``n`` rows by construction, so the broadcast hint is safe.
+    Used where no geometry file is given. It has ``n`` rows; the planner knows its size.
     """
     df = spark.range(n).select(F.col("id").alias("cable"))
     inner = F.col("cable") < K.N_ID
     pi, po = sphere_point(F.col("cable"), K.N_ID, K.R_PMT), sphere_point(F.col("cable") - K.N_ID, max(n - K.N_ID, 1), 900.0)
     cols = [F.when(inner, a).otherwise(b).alias(c) for a, b, c in zip(pi, po, ("px", "py", "pz"))]
-    return bounded_broadcast(df.select("cable", *cols), n)
+    return df.select("cable", *cols)
 
 
 def norm(x: Column, y: Column, z: Column) -> Column:

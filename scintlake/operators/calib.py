@@ -48,7 +48,7 @@ def with_calib(hits: DataFrame, channel_calib: DataFrame, factors: list[float] |
         bin_ns = F.coalesce("run_bin_ns", "bin_ns", F.lit(K.DEFAULT_BIN_NS))
     factor = gain_factors(factors)[F.col("gain").cast("int")]
     out = h.withColumn("t_ns", time_ns(F.col(sample), launch if launch is not None else F.lit(0), bin_ns, F.coalesce("t0", F.lit(0.0))))
-    out = out.withColumn("q_pe", charge_pe(F.col("adc"), F.coalesce("q1pe", F.lit(1.0)), factor))
+    out = out.withColumn("q_pe", charge_pe(F.col("adc"), F.coalesce("q1pe", F.lit(K.DEFAULT_Q1PE)), factor))
     return out.drop("bin_ns", "q1pe", "t0", "run_bin_ns")
 
 
@@ -241,12 +241,13 @@ def t0_from_run(hits: DataFrame, sensors: DataFrame, vertex: tuple, v_ls: float
     return centred(grouped_median(r, CHANNEL, F.col("res"), "t0", min_hits), "t0")
 
 
-def light_yield(res: DataFrame, energy: float = 2.506, window: tuple = (-15.0, 85.0), dark_window: tuple = (-200.0, -40.0),
-                n_selected: Column | None = None) -> DataFrame:
-    """Per-sensor light yield and dark hits from hit probabilities.
+def light_yield(res: DataFrame, sensors: DataFrame, energy: float = 2.506, window: tuple = (-15.0, 85.0),
+                dark_window: tuple = (-200.0, -40.0), n_selected: Column | None = None, min_events: int = 200) -> DataFrame:
+    """Light yield and dark hits of every inner sensor from hit probabilities.
 
     ``res`` are the residuals with the source at the centre and no charge cut; the number of events is counted over
-    those with an event time (``n_selected`` can lower it).
+    those with an event time (``n_selected`` can lower it). Sensors without any residual are ``bad`` with yield 0. Below
+    ``min_events`` events there is no result.
     """
     inside, dark = F.col("res").between(*window), F.col("res").between(*dark_window)
     per = res.groupBy("cable").agg(F.count_if(inside).alias("n_hit"), F.count_if(dark).alias("n_dark"),
@@ -256,7 +257,11 @@ def light_yield(res: DataFrame, energy: float = 2.506, window: tuple = (-15.0, 8
     if n_selected is not None:
         n_ev = F.least(n_ev, n_selected)
     scale = (window[1] - window[0]) / (dark_window[1] - dark_window[0])
-    p = per.withColumn("n_events", n_ev)
+    # the events are counted over one row per cable with residuals, then every inner sensor gets a row
+    total = per.select(n_ev.alias("n_events")).agg(F.max("n_events").alias("n_events")).where(F.col("n_events") >= min_events)
+    p = (sensors.where(F.col("cable") < K.N_ID).select(F.col("cable").cast("long").alias("cable"))
+         .join(per.withColumn("cable", F.col("cable").cast("long")), "cable", "left")
+         .na.fill(0, ["n_hit", "n_dark"]).na.fill(0.0, ["q_sum"]).crossJoin(F.broadcast(total)))      # one row
     prob = F.least(F.col("n_hit") / F.col("n_events"), F.lit(0.999))
     p = p.withColumn("dark", F.col("n_dark") / F.col("n_events") * scale).withColumn("mu", -F.log(1 - prob))
     hit = F.col("n_hit") > 0

@@ -164,7 +164,7 @@ GF = "CASE gain WHEN 0 THEN 1.0 WHEN 1 THEN 4.86 WHEN 2 THEN 41.86 ELSE 1.0 END"
 
 @query("calibrated_hits", f"""{views.with_views('hits', 'calib')}
 SELECT h.run, h.event, h.cable, h.atwd, h.gain, round(t * coalesce(bin_ns, 1.49) - atwd_l * 25.0 - coalesce(t0, 0), 9) AS t_ns,
-       round(adc / coalesce(q1pe, 1.0) * {GF}, 6) AS q_pe
+       round(adc / coalesce(q1pe, 200.0) * {GF}, 6) AS q_pe
 FROM (SELECT *, gain - 1 AS atwd_l FROM hits) h LEFT JOIN calib c ON h.cable = c.cable AND h.atwd = c.atwd""")
 def calibrated_hits(spark, sf):
     h = C.with_calib(views.hits(spark, sf), views.calibration(spark, sf), launch=F.col("gain") - 1)
@@ -174,14 +174,14 @@ def calibrated_hits(spark, sf):
 @query("calibrated_hits_run_bins", f"""{views.with_views('hits', 'calib')},
 rb AS (SELECT run, cable, atwd, 1.5 + avg(q) / 1000 AS run_bin_ns FROM hits GROUP BY run, cable, atwd HAVING count(*) >= 3)
 SELECT h.run, h.cable, count(*) AS n, round(sum(t * coalesce(run_bin_ns, bin_ns, 1.49) - coalesce(t0, 0)) + 1.37e-5::DOUBLE, 2) AS t_sum,
-       round(sum(q * coalesce(q1pe, 1.0) / {GF}) + 1.37e-5::DOUBLE, 2) AS adc_sum
+       round(sum(q * coalesce(q1pe, 200.0) / {GF}) + 1.37e-5::DOUBLE, 2) AS adc_sum
 FROM hits h LEFT JOIN calib c ON h.cable = c.cable AND h.atwd = c.atwd
 LEFT JOIN rb ON rb.run = h.run AND rb.cable = h.cable AND rb.atwd = h.atwd GROUP BY h.run, h.cable""")
 def calibrated_hits_run_bins(spark, sf):
     h, c = views.hits(spark, sf), views.calibration(spark, sf)
     rb = h.groupBy("run", "cable", "atwd").agg((1.5 + F.avg("q") / 1000).alias("run_bin_ns"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
     x = C.with_calib(h, c, run_bins=rb).join(c.select("cable", "atwd", "q1pe"), ["cable", "atwd"], "left")
-    back = C.charge_adc(F.col("q"), F.coalesce("q1pe", F.lit(1.0)), C.gain_factors()[F.col("gain").cast("int")])
+    back = C.charge_adc(F.col("q"), F.coalesce("q1pe", F.lit(K.DEFAULT_Q1PE)), C.gain_factors()[F.col("gain").cast("int")])
     return rounded(x.groupBy("run", "cable").agg(F.count(F.lit(1)).alias("n"), F.sum("t_ns").alias("t_sum"), F.sum(back).alias("adc_sum")), 2, 1.37e-5)
 
 
@@ -371,12 +371,14 @@ def q1pe_calib(spark, sf):
 
 @query("light_yield", f"""{BASE}, {P.residuals('r', 'prim', min_q=0.0)},
 ne AS (SELECT count(*) AS n FROM (SELECT DISTINCT run, event FROM r)),
-s AS (SELECT cable, count(*) FILTER (res BETWEEN -15 AND 85) AS n_hit, count(*) FILTER (res BETWEEN -200 AND -40) AS n_dark,
+h AS (SELECT cable, count(*) FILTER (res BETWEEN -15 AND 85) AS n_hit, count(*) FILTER (res BETWEEN -200 AND -40) AS n_dark,
   coalesce(sum(q) FILTER (res BETWEEN -15 AND 85), 0) AS q_sum FROM r GROUP BY cable),
+s AS (SELECT i.cable, coalesce(n_hit, 0) AS n_hit, coalesce(n_dark, 0) AS n_dark, coalesce(q_sum, 0) AS q_sum
+  FROM (SELECT unnest(range(1879)) AS cable) i LEFT JOIN h ON h.cable = i.cable),
 d AS (SELECT s.*, n AS n_events, n_dark / n * (100.0 / 160.0) AS dark, -ln(1 - least(n_hit / n, 0.999)) AS mu FROM s, ne)
 SELECT cable, n_events, n_hit, n_dark, round(dark, 6) AS dark, round(mu, 6) AS mu,
   round(CASE WHEN n_hit > 0 THEN greatest(mu - dark, 0) / 2.506 ELSE 0 END, 6) AS eta,
-  round(CASE WHEN n_hit > 0 THEN greatest((q_sum / n_events - dark * q_sum / n_hit) / 2.506, 0) ELSE 0 END, 6) AS eta_q, n_hit = 0 AS bad FROM d""")
+  round(CASE WHEN n_hit > 0 THEN greatest((q_sum / n_events - dark * q_sum / n_hit) / 2.506, 0) ELSE 0 END, 6) AS eta_q, n_hit = 0 AS bad FROM d WHERE n_events >= 20""")
 def light_yield(spark, sf):
     r = C.residuals_fixed_vertex(primary_showers(spark, sf), G.sensors(spark), (0.0, 0.0, 0.0), V, min_q=0.0)
-    return rounded(C.light_yield(r))
+    return rounded(C.light_yield(r, G.sensors(spark), min_events=20))

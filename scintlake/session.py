@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: a table handed to broadcast() may never exceed this many rows
-BROADCAST_ROWS = 100_000
 
 #: without call-site capture for every column expression, wide plans are built several times faster
 QUICK_BUILD = ("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -40,7 +36,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf) ->
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("WARN")
     return spark
 
 
@@ -69,8 +65,3 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a generated table whose row count is known and small; otherwise no hint."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

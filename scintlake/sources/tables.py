@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
 from ..functions.text import file_number
 
 # ---- frames (S1, S2, S3) ---------------------------------------------------------------------------------------------
@@ -124,8 +125,18 @@ def load_calibration(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def save_calibration(channel: DataFrame, tube: DataFrame, gain: DataFrame, meta: dict[str, str], path: str) -> None:
-    """The same tables back into one JSON object. Bounded by the channels of the detector (2 per cable)."""
+    """The same tables back into one JSON object. Bounded by the channels of the detector (2 per cable).
+
+    Cables and samplers are positions in the file, so every number up to the greatest gets an entry: channels that are
+    missing have the defaults, tubes that are missing are not bad. An optional array without any value is written as null.
+    """
     one = F.lit(0).alias("_all")
+    last = channel.select("cable").unionByName(tube.select("cable")).agg(F.max("cable").alias("last"))
+    cables = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("cable"))
+    channel = (cables.select("cable", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("atwd"))
+               .join(channel, ["cable", "atwd"], "left")
+               .na.fill({"bin_ns": K.DEFAULT_BIN_NS, "q1pe": K.DEFAULT_Q1PE, "t0": 0.0}))
+    tube = cables.join(tube, "cable", "left").na.fill({"bad": False})
     per_cable = channel.groupBy("cable").agg(F.sort_array(F.collect_list(F.struct("atwd", "bin_ns", "q1pe", "t0"))).alias("a"))
     c = per_cable.groupBy(one).agg(F.sort_array(F.collect_list(F.struct("cable", "a"))).alias("c"))
     t = tube.groupBy(one).agg(F.sort_array(F.collect_list(F.struct("cable", "bad", "eta", "eta_q", "dark"))).alias("t"))
@@ -134,8 +145,8 @@ def save_calibration(channel: DataFrame, tube: DataFrame, gain: DataFrame, meta:
     row = c.join(t, "_all").join(g, "_all").select(
         *[F.transform("c", _field(n)).alias(n) for n in ("bin_ns", "q1pe", "t0")],
         F.col("g.factor").alias("gain_factor"), F.transform("t", lambda r: r["bad"].cast("long")).alias("bad"),
-        F.col("t.eta").alias("eta"), F.col("t.eta_q").alias("eta_q"), F.col("t.dark").alias("dark"), m.alias("meta"))
-    row.coalesce(1).write.mode("overwrite").json(path)
+        *[F.when(F.exists(F.col("t")[n], lambda v: v.isNotNull()), F.col("t")[n]).alias(n) for n in ("eta", "eta_q", "dark")], m.alias("meta"))
+    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def _field(name: str):

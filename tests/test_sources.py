@@ -111,6 +111,12 @@ def test_calibration_file(spark, tmp_path):
     for k in ("channel", "tube", "gain"):
         assert sorted(map(str, u[k].collect())) == sorted(map(str, t[k].collect()))
     assert u["meta"].first().meta == {"a": "1"}
+    # cables are positions: gaps are filled, not closed up
+    TB.save_calibration(t["channel"].where("cable = 1 and atwd = 1").withColumn("cable", F.lit(2).cast("long")), t["tube"].where("cable = 0"), t["gain"], {}, str(tmp_path / "gap"))
+    g = TB.load_calibration(spark, str(tmp_path / "gap"))
+    assert {(r.cable, r.atwd): (r.q1pe, r.t0) for r in g["channel"].collect()} == {(2, 1): (95.0, 2.0)} | {
+        (c, a): (200.0, 0.0) for c in range(3) for a in range(2) if (c, a) != (2, 1)}
+    assert [r.eta for r in g["tube"].orderBy("cable").collect()] == [0.2, None, None]
 
 
 def test_cube_file_and_merge(spark, tmp_path):
