@@ -9,12 +9,12 @@ them from their suffix array. Longest common prefixes are computed at run heads
 every position are streamed in text order (a position whose suffix isn't a run head matches one byte less than the position before it).
 Positions that match ``LENGTH`` bytes, and those they match, are marked. Repetitive bins have few runs.
 
-Equal texts are one class beforehand: all copies of a text of ``LENGTH`` bytes or more lose everything. Anchors with more than
-``HOT`` occurrences would not fit a bin; their windows are hashed one by one and counted by an aggregate with map-side
+Equal texts are one class beforehand: all copies of a text of ``LENGTH`` bytes or more lose everything. Equal ranges (by two
+64-bit hashes) repeat in all their windows, so one of each goes on. Anchors with more than ``HOT`` unlike ranges would not fit a bin; their windows are hashed one by one and counted by an aggregate with map-side
 combination, which is exact at any multiplicity (hashes of 64 bits within one anchor).
 
-Scale: narrow anchor rows are counted; texts with repeated anchors are shuffled to meet their ranges and again to be
-cut. Nothing is gathered but a text's own ranges and a bin.
+Scale: narrow anchor rows are counted; texts with repeated anchors of unlike ranges are shuffled to meet their ranges, and texts that
+lose something to be cut. Nothing is gathered but a text's own ranges and a bin.
 
 Nulls: a null text counts as empty; null ids and rows that repeat an id are fine, as every row is judged by its text, and a row that
 repeats a text makes it repeat. Texts under ``LENGTH`` bytes lose nothing. Other columns do not matter.
@@ -41,7 +41,7 @@ K = 32
 CHUNK = (1 << 20) - 1024
 #: bytes of a bin, about
 BIN = 2_000_000
-#: occurrences of an anchor that still go to a bin
+#: unlike ranges of an anchor that still go to a bin
 HOT = 2048
 
 U = np.uint64
@@ -60,6 +60,14 @@ def _powers() -> list[np.ndarray]:
     return _tables
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the strings raw[start:end]."""
+    p, q = _powers()
+    total = np.zeros(len(raw) + 1, dtype=U)
+    np.cumsum(_VALUE[raw] * p[:len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * q[starts])
+
+
 def run_hashes(raw: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings of ``raw``."""
     if len(raw) < k:
@@ -82,8 +90,9 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def ranges(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, first window, number of windows and of anchors of each range in texts that lie on end (``ends``) in ``raw``."""
-    none = (np.empty(0, dtype=U), *(np.empty(0, dtype=np.int64) for _ in range(3)))
+    """Anchor hash, first window, number of windows, of anchors, and hash of all bytes of each range in texts that lie on end
+    (``ends``) in ``raw``."""
+    none = (np.empty(0, dtype=U), *(np.empty(0, dtype=np.int64) for _ in range(3)), np.empty(0, dtype=U))
     h = run_hashes(raw, K)
     w = length - K + 1
     if len(h) < w:
@@ -103,11 +112,12 @@ def ranges(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     moved = valid & np.concatenate(([True], at[1:] != at[:-1]))
     moved[starts] = True
     total = np.concatenate(([0], np.cumsum(moved)))
-    return h[at[starts]], starts, widths, total[np.append(starts[1:], len(at))] - total[starts]
+    return (h[at[starts]], starts, widths, total[np.append(starts[1:], len(at))] - total[starts],
+            span_hashes(raw, starts, starts + widths + length - 1))
 
 
-PROFILE = "doc_id long, n_bytes long, class string, ranges array<struct<h:long,s:long,w:long,m:long>>"
-_RANGE = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("w", pa.int64()), ("m", pa.int64())]))
+PROFILE = "doc_id long, n_bytes long, class string, ranges array<struct<h:long,s:long,w:long,m:long,v:long>>"
+_RANGE = pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("w", pa.int64()), ("m", pa.int64()), ("v", pa.int64())]))
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +135,17 @@ def _profiler(length: int):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
                 part, ends = raw[offsets[i]:offsets[j]], offsets[i + 1:j + 1] - offsets[i]
                 if len(part) <= CHUNK:
-                    h, s, w, m = ranges(part, ends, length)
+                    h, s, w, m, v = ranges(part, ends, length)
                 else:       # one long text, in pieces that share length - 1 bytes
                     pieces = [(a, *ranges(part[a:a + CHUNK], np.array([min(CHUNK, len(part) - a)]), length))
                               for a in range(0, len(part), CHUNK - length + 1)]
-                    h, s, w, m = (np.concatenate(x) for x in ([p[1] for p in pieces], [p[2] + p[0] for p in pieces], [p[3] for p in pieces],
-                                                              [p[4] for p in pieces]))
+                    h, s, w, m, v = (np.concatenate(x) for x in ([p[1] for p in pieces], [p[2] + p[0] for p in pieces],
+                                                                 *([p[k] for p in pieces] for k in (3, 4, 5))))
                 text = np.searchsorted(ends, s, side="right")
                 counts = np.bincount(text, minlength=j - i)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.StructArray.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(s - (ends - np.diff(offsets[i:j + 1]))[text]), pa.array(w), pa.array(m)],
-                    ["h", "s", "w", "m"]))
+                    [pa.array(h.view(np.int64)), pa.array(s - (ends - np.diff(offsets[i:j + 1]))[text]), pa.array(w), pa.array(m),
+                     pa.array(v.view(np.int64))], ["h", "s", "w", "m", "v"]))
                 names = [hashlib.sha256(raw[offsets[r]:offsets[r + 1]]).hexdigest() for r in range(i, j)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets[i:j + 1])), pa.array(names), lists.cast(_RANGE)],
                                                  ["doc_id", "n_bytes", "class", "ranges"])
@@ -321,44 +331,60 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([r[3] for r in rows], pa.string())], ["class", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _fetched(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(class, text) of the classes ``names`` (c, rep), rep being the least id with that text. Rows that repeat an id come more than once."""
+    given = docs.filter(F.octet_length("text") >= K).select(F.sha2("text", 256).alias("name"), "doc_id", "text")
+    return (held_rows(given, bitmap(names, F.col("c"), F.col("rep")), F.col("name"), F.col("doc_id"))
+            .join(names, (F.col("name") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("c").alias("class"), "text"))
+
+
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles, spans, texts): a row per row of ``docs`` with its class; (class, lo, hi) of removed bytes, possibly overlapping,
-    for classes with repeats in part; (class, text) of the classes that were searched. Classes with copies go whole and have no span."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prof = stage(given.mapInArrow(_profiler(length), PROFILE), "passages")
+    """(profiles, classes, spans): a row per row of ``docs`` with its class; (class, copies, rep) of texts of ``length`` bytes or more;
+    (class, lo, hi) of repeated bytes, possibly overlapping. Of texts with copies all bytes are repeated, whatever their spans.
+
+    Ranges that are equal as a whole repeat in every window; one of each stays to be compared with the others of its anchor.
+    """
+    prof = stage(docs.mapInArrow(_profiler(length), PROFILE), "passages")
     classes = stage(prof.filter(F.col("n_bytes") >= length).groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "passage-classes")
     once = prof.join(classes.select(F.col("class").alias("c"), F.col("rep").alias("r")), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
-    # rows that repeat id and text stand here once more; (class, s) tells them from true repeats
     at = once.dropDuplicates(["class"]).select("class", F.explode("ranges").alias("x")).select("class", "x.*")
-    counts = stage(at.groupBy(F.col("h").alias("ch")).agg(F.sum("m").alias("n")).filter("n > 1"), "anchors")
-    held = held_rows(at, bitmap(counts, F.col("ch")), F.col("h"))
-    wanted = stage(held.join(counts, F.col("h") == F.col("ch")).select("class", F.struct("h", "s", "w", (F.col("n") > HOT).alias("hot")).alias("x"))
+    again = stage(at.groupBy(F.col("h").alias("ch")).agg(F.sum("m").alias("n")).filter("n > 1").select("ch"), "anchors")
+    held = stage(held_rows(at, bitmap(again, F.col("ch")), F.col("h")).join(again, F.col("h") == F.col("ch"), "left_semi"), "ranges")
+    equal = stage(held.groupBy("h", "w", "v").agg(F.count("*").alias("n"), F.min(F.struct("class", "s")).alias("one"), F.first("m").alias("m")), "equal-ranges")
+    e = equal.filter("n > 1").select(F.col("h").alias("eh"), F.col("w").alias("ew"), F.col("v").alias("ev"))
+    whole = (held.join(e, (F.col("h") == F.col("eh")) & (F.col("w") == F.col("ew")) & (F.col("v") == F.col("ev")))
+             .select("class", F.col("s").alias("lo"), (F.col("s") + F.col("w") + length - 1).alias("hi")))
+    kinds = equal.groupBy(F.col("h").alias("kh")).agg(F.sum("m").alias("kinds")).filter("kinds > 1")
+    wanted = stage(equal.join(kinds, F.col("h") == F.col("kh"))
+                   .select("one.class", F.struct("h", "one.s", "w", (F.col("kinds") > HOT).alias("hot")).alias("x"))
                    .groupBy("class").agg(F.collect_list("x").alias("ranges")), "passage-ranges")
     size = wanted.select(F.sum(F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + F.when(x["hot"], 0).otherwise(x["w"] + length))).alias("size"),
                          F.sum(F.exists("ranges", lambda x: x["hot"]).cast("int")).alias("hot")).first()
-    named = given.filter(F.octet_length("text") >= length).select(F.sha2("text", 256).alias("name"), "doc_id", "text")
-    who = stage(wanted.select(F.col("class").alias("c")).join(classes, F.col("c") == F.col("class")).select("c", "rep"), "passage-names")
-    texts = stage(held_rows(named, bitmap(who, F.col("c"), F.col("rep")), F.col("name"), F.col("doc_id"))
-                  .join(who, (F.col("name") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("c").alias("class"), "text"), "passage-texts")
-    both = texts.join(wanted.withColumnRenamed("class", "c"), F.col("class") == F.col("c")).select("class", "text", "ranges")
+    names = stage(wanted.select(F.col("class").alias("c")).join(classes, F.col("c") == F.col("class")).select("c", "rep"), "passage-names")
+    both = _fetched(docs, names).join(wanted.withColumnRenamed("class", "c"), F.col("class") == F.col("c")).select("class", "text", "ranges")
     bins = int((size["size"] or 0) // BIN + 1)
-    found = both.mapInArrow(_segmenter(length, bins), SEGMENT).groupBy("bin").applyInArrow(_indexer(length), SPAN)
+    if size["hot"]:
+        both = stage(both, "passage-texts")
+    found = both.mapInArrow(_segmenter(length, bins), SEGMENT).groupBy("bin").applyInArrow(_indexer(length), SPAN).unionAll(whole)
     if size["hot"]:
         windows = stage(both.mapInArrow(_windower(length), WINDOW).distinct(), "passage-windows")
         twice = windows.groupBy(F.col("h").alias("wh"), F.col("v").alias("wv")).agg(F.count("*").alias("n")).filter("n > 1")
         found = found.unionAll(windows.join(twice, (F.col("h") == F.col("wh")) & (F.col("v") == F.col("wv")))
                                .select("class", F.col("s").alias("lo"), (F.col("s") + length).alias("hi")))
-    return prof.drop("ranges"), stage(found, "passage-spans"), texts
+    return prof.drop("ranges"), classes, stage(found, "passage-spans")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per row of ``docs``."""
-    prof, found, texts = spans(docs, length)
-    copied = prof.filter(F.col("n_bytes") >= length).groupBy(F.col("class").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    partly = (found.join(copied, F.col("class") == F.col("k"), "left_anti").groupBy(F.col("class").alias("c")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    cut = (texts.join(partly, F.col("class") == F.col("c")).select("class", "text", "spans").mapInArrow(_cutter, RESULT).dropDuplicates(["class"]))
-    whole = copied.select(F.col("k").alias("class"), F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-                          F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    prof, classes, found = spans(given, length)
+    alone = classes.filter("copies = 1").select(F.col("class").alias("k"), "rep")
+    partly = stage(found.groupBy("class").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).join(alone, F.col("class") == F.col("k"))
+                   .select(F.col("k").alias("c"), "rep", "spans"), "passage-cuts")
+    cut = (_fetched(given, partly.select("c", "rep")).join(partly.drop("rep"), F.col("class") == F.col("c")).select("class", "text", "spans")
+           .mapInArrow(_cutter, RESULT).dropDuplicates(["class"]))
+    whole = classes.filter("copies > 1").select("class", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
+                                                F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     result = cut.unionAll(whole).withColumnRenamed("class", "c")
     return (prof.join(result, F.col("class") == F.col("c"), "left")
             .select("doc_id", "n_bytes", F.when(F.col("c").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes")).cast("long").alias("n_removed"),
