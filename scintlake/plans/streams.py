@@ -12,23 +12,33 @@ from .registry import query, rounded
 from .waveforms import PED, adc_waves
 
 
+DELAY, DELAY_MS = "1 hour", 3_600_000
+
+#: a row is out once the watermark, the latest time less the delay, has passed its millisecond
+DUE = f"(SELECT max(ts // 40000) - {DELAY_MS} FROM tagged)"
+
+
 def trig_stream(spark, sf):
-    return views.trig(spark, sf, views.table_stream)
+    t = views.trig(spark, sf, views.table_stream)
+    return t.withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long")))
 
 
-@query("stream_tagger", TAGGED_SQL + """SELECT run, event, ts, nhit, is_tag, retrigger, prev_event, dt, ts - lag(ts) OVER (PARTITION BY run ORDER BY ts, event) AS dt_prev FROM tagged""")
+@query("stream_tagger", TAGGED_SQL + f"""SELECT run, event, ts, nhit, is_tag, retrigger, prev_event, dt, ts - lag(ts) OVER (PARTITION BY run ORDER BY ts, event) AS dt_prev
+FROM tagged WHERE ts // 40000 < {DUE}""")
 def stream_tagger(spark, sf):
-    return M.drain(G.stream_tagger(trig_stream(spark, sf), SOFT, HARD, DEAD), "tagger")
+    return M.drain(G.stream_tagger(trig_stream(spark, sf), "time", DELAY, SOFT, HARD, DEAD), "tagger")
 
 
-@query("stream_followups", TAGGED_SQL + f"""SELECT run, 'cand' AS kind, event, prev_event, dt AS value FROM tagged WHERE NOT is_tag AND dt <= {WINDOW} AND nhit >= {MIN_MULT}
-UNION ALL SELECT r.run, 'n_after', r.event, -1, count(c.event) FROM (SELECT * FROM realt QUALIFY row_number() OVER (PARTITION BY run ORDER BY ts DESC) > 1) r
-LEFT JOIN (SELECT run, event, prev_event FROM tagged WHERE NOT is_tag AND dt <= {WINDOW}) c ON c.run = r.run AND c.prev_event = r.event GROUP BY r.run, r.event""")
+@query("stream_followups", TAGGED_SQL + f"""SELECT run, 'cand' AS kind, event, prev_event, dt AS value FROM tagged
+WHERE NOT is_tag AND dt <= {WINDOW} AND nhit >= {MIN_MULT} AND ts // 40000 < {DUE}
+UNION ALL SELECT r.run, 'n_after', r.event, -1, count(c.event)
+FROM (SELECT *, lead(ts) OVER (PARTITION BY run ORDER BY ts, event) AS later FROM realt WHERE ts // 40000 < {DUE}
+      QUALIFY later IS NOT NULL OR (ts + {WINDOW}) // 40000 < {DUE}) r
+LEFT JOIN (SELECT run, event, prev_event FROM tagged WHERE NOT is_tag AND dt <= {WINDOW} AND ts // 40000 < {DUE}) c
+  ON c.run = r.run AND c.prev_event = r.event GROUP BY r.run, r.event""")
 def stream_followups(spark, sf):
-    """The last tag of a run stays open until the watermark passes its window, so its count is not in the result."""
-    t = trig_stream(spark, sf).withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long")))
-    s = G.stream_followups(t, "time", "36500 days", SOFT, HARD, DEAD, WINDOW, MIN_MULT)
-    return M.drain(s, "followups")
+    """Every window that the next tag or the watermark has closed has its count."""
+    return M.drain(G.stream_followups(trig_stream(spark, sf), "time", DELAY, SOFT, HARD, DEAD, WINDOW, MIN_MULT), "followups")
 
 
 @query("stream_channel_stats", PED + """
@@ -39,15 +49,17 @@ def stream_channel_stats(spark, sf):
 
 
 @query("stream_rate", f"""SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS start, count(*) FILTER (value >= {HARD}) AS n_tags, count(*) AS n_events,
-  round(count(*) FILTER (value >= {HARD}) / 21600.0, 9) AS rate FROM events GROUP BY 1""")
+  round(count(*) FILTER (value >= {HARD}) / 21600.0, 9) AS rate FROM events GROUP BY 1
+  HAVING (start + 21600) * 1000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
 def stream_rate(spark, sf):
     e = views.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    r = M.drain(M.stream_rate(e, "ts", "6 hours", "1 hour", F.col("value") >= HARD), "rate", "complete")
+    r = M.drain(M.stream_rate(e, "ts", "6 hours", "1 hour", F.col("value") >= HARD), "rate")
     return rounded(r.withColumn("start", F.unix_seconds("start")), 9)
 
 
-@query("stream_occupancy", """SELECT CAST(floor(epoch(l_shipdate) / 8640000) AS BIGINT) * 8640000 AS start, l_partkey % 2126 AS cable, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+@query("stream_occupancy", """SELECT CAST(floor(epoch(l_shipdate) / 8640000) AS BIGINT) * 8640000 AS start, l_partkey % 2126 AS cable, count(*) AS n FROM lineitem GROUP BY 1, 2
+  HAVING start + 8640000 <= (SELECT epoch(max(l_shipdate)) - 86400 FROM lineitem)""")
 def stream_occupancy(spark, sf):
     h = views.table_stream(spark, sf, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_partkey") % 2126).alias("cable"))
-    o = M.drain(M.stream_occupancy(h, "ts", "100 days", "1 day"), "occupancy", "complete")
+    o = M.drain(M.stream_occupancy(h, "ts", "100 days", "1 day"), "occupancy")
     return o.withColumn("start", F.unix_seconds("start"))

@@ -20,7 +20,7 @@ def stream_channel_stats(waves: DataFrame, samples: str = "samples") -> DataFram
 
 
 def stream_rate(events: DataFrame, time: str, width: str, delay: str, is_tag: Column) -> DataFrame:
-    """Tags per tumbling window (ST4); late rows beyond the watermark drop out."""
+    """Tags per tumbling window (ST4), for append mode: a window comes once, when the watermark has passed it."""
     w = F.window(time, width)
     return events.withWatermark(time, delay).groupBy(w.alias("w")).agg(F.count_if(is_tag).alias("n_tags"), F.count(F.lit(1)).alias("n_events")).select(
         F.col("w.start").alias("start"), "n_tags", "n_events",
@@ -28,7 +28,7 @@ def stream_rate(events: DataFrame, time: str, width: str, delay: str, is_tag: Co
 
 
 def stream_occupancy(hits: DataFrame, time: str, width: str, delay: str) -> DataFrame:
-    """Hits per cable and tumbling window (ST5)."""
+    """Hits per cable and tumbling window (ST5), for append mode like ``stream_rate``."""
     w = F.window(time, width)
     return hits.withWatermark(time, delay).groupBy(w.alias("w"), "cable").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("start"), "cable", "n")

@@ -1,7 +1,9 @@
 """Stateful tagging of an event stream and follow-up windows (ST1, ST2).
 
-State is kept per run. A run's rows are sorted inside each micro-batch; rows older than what the run has already
-passed are late and are dropped. Micro-batches are bounded by the source's rate options.
+Rows may come late and out of order within the watermark's delay. State per run holds them until the watermark has passed
+their time; then they are tagged in time order, so the result doesn't depend on how the stream was cut. Only rows older
+than the watermark are dropped. A run's held rows span about the delay plus one micro-batch, which the source's rate
+options bound.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ TAGGED = "run long, event long, ts long, nhit long, is_tag boolean, retrigger bo
 def advance(pdf: pd.DataFrame, state: tuple[int, int, int], dead: int) -> tuple[pd.DataFrame, tuple[int, int, int]]:
     """Tag the rows of one run that follow ``state`` (last event, last real tag); returns rows and the new state."""
     prev_ts, mu_ts, mu_event = state
-    pdf = pdf[pdf["ts"] >= prev_ts] if prev_ts != NONE else pdf
     pdf = pdf.sort_values(["ts", "event"], kind="stable").reset_index(drop=True)
     if pdf.empty:
         return pdf, state
@@ -53,76 +54,107 @@ def advance(pdf: pd.DataFrame, state: tuple[int, int, int], dead: int) -> tuple[
     return out, (int(ts[-1]), int(r_ts[-1]), int(r_ev[-1]))
 
 
-class Tagger(StatefulProcessor):
-    """Per run: last event time and last real tag (ST1)."""
+HELD = ["event", "ts", "nhit", "tag", "hard"]
 
-    def __init__(self, dead: int):
-        self.dead = dead
+
+class _Ordered(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then hands them on in one piece."""
+
+    def __init__(self, dead: int, ticks_per_ms: int = 40_000):
+        self.dead, self.per_ms = dead, ticks_per_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", STATE)
+        self.held = handle.getListState("held", "event long, ts long, nhit long, tag boolean, hard boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def wake(self, *times: int) -> None:
+        """One timer, at the earliest of the given milliseconds."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        if times:
+            self.handle.registerTimer(min(times))
+
+    def released(self, run, rows, watermark: int) -> tuple[pd.DataFrame, tuple, tuple, list[int]]:
+        """Tagged rows that have become due, the state before and after them, and when the next held row is due."""
         state = tuple(self.last.get()) if self.last.exists() else (NONE, NONE, NONE)
-        out, state = advance(pd.concat(list(rows), ignore_index=True), state, self.dead)
-        self.last.update(state)
-        if len(out):
-            yield out
+        waiting = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=HELD)
+        waiting = pd.concat([waiting, *(r[HELD] for r in rows)], ignore_index=True).astype(
+            {"event": "int64", "ts": "int64", "nhit": "int64", "tag": bool, "hard": bool})
+        due = waiting["ts"] // self.per_ms < watermark
+        rest = waiting[~due]
+        if len(rest):
+            self.held.put([(int(r.event), int(r.ts), int(r.nhit), bool(r.tag), bool(r.hard)) for r in rest.itertuples()])
+        else:
+            self.held.clear()
+        # rows before the last released one are older than the watermark was then
+        ready = waiting[due & (waiting["ts"] >= state[0])].assign(run=run)
+        out, new = advance(ready, state, self.dead) if len(ready) else (ready, state)
+        if new != state:
+            self.last.update(new)
+        return out, state, new, [int(rest["ts"].min()) // self.per_ms] if len(rest) else []
+
+    def step(self, run, rows, watermark: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self.step(key[0], list(rows), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.step(key[0], [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-class Followups(StatefulProcessor):
-    """Per run: the open window of the last real tag (ST2).
+class Tagger(_Ordered):
+    """Per run: rows not yet due, last event time and last real tag (ST1)."""
+
+    def step(self, run, rows, watermark: int) -> Iterator[pd.DataFrame]:
+        out, _, _, times = self.released(run, rows, watermark)
+        self.wake(*times)
+        if len(out):
+            yield out
+
+
+class Followups(_Ordered):
+    """Per run: rows not yet due and the open window of the last real tag (ST2).
 
-    Emits candidates while they come (kind ``cand``) and the number of events after a tag (kind ``n_after``) when its
-    window closes: at the next real tag, or by an event-time timer when the watermark passes the window.
+    Emits candidates as they are released (kind ``cand``) and the number of events after a tag (kind ``n_after``) when
+    its window closes: at the next real tag, or when the watermark has passed the window.
     """
 
     def __init__(self, dead: int, window: int, min_mult: int, ticks_per_ms: int = 40_000):
-        self.dead, self.window, self.min_mult, self.per_ms = dead, window, min_mult, ticks_per_ms
+        super().__init__(dead, ticks_per_ms)
+        self.window, self.min_mult = window, min_mult
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", STATE)
+        super().init(handle)
         self.count = handle.getValueState("count", "n long")
 
-    def _frame(self, run, rows):
-        return pd.DataFrame(rows, columns=["kind", "event", "prev_event", "value"]).assign(run=run)[["run", "kind", "event", "prev_event", "value"]]
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.last.get()) if self.last.exists() else (NONE, NONE, NONE)
-        open_event = state[2]
-        n_open = self.count.get()[0] if self.count.exists() else 0
-        out, new = advance(pd.concat(list(rows), ignore_index=True), state, self.dead)
-        if out.empty:
-            return
-        inside = out[~out["is_tag"] & (out["dt"].fillna(self.window + 1) <= self.window)]
-        n = inside.groupby("prev_event").size()
-        emitted = [("cand", int(r.event), int(r.prev_event), int(r.dt)) for r in inside[inside["nhit"] >= self.min_mult].itertuples()]
-        real = out[out["is_tag"] & ~out["retrigger"]]["event"].tolist()
-        opened = ([open_event] if open_event != NONE and self.count.exists() else []) + real
-        for ev in opened[:-1]:
-            emitted.append(("n_after", int(ev), NONE, int(n.get(ev, 0)) + (n_open if ev == open_event else 0)))
-        if opened:
-            cur = opened[-1]
-            self.count.update((int(n.get(cur, 0)) + (n_open if cur == open_event else 0),))
-            if new[1] != state[1]:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-                self.handle.registerTimer((new[1] + self.window) // self.per_ms + 1)
-        self.last.update(new)
-        if emitted:
-            yield self._frame(key[0], emitted)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.count.exists():
-            yield self._frame(key[0], [("n_after", int(self.last.get()[2]), NONE, int(self.count.get()[0]))])
+    def step(self, run, rows, watermark: int) -> Iterator[pd.DataFrame]:
+        out, old, new, times = self.released(run, rows, watermark)
+        emitted: list[tuple] = []
+        counts: dict[int, int] = {old[2]: int(self.count.get()[0])} if self.count.exists() else {}
+        if len(out):
+            inside = out[~out["is_tag"] & (out["dt"].fillna(self.window + 1) <= self.window)]
+            emitted += [("cand", int(r.event), int(r.prev_event), int(r.dt)) for r in inside[inside["nhit"] >= self.min_mult].itertuples()]
+            for tag in out[out["is_tag"] & ~out["retrigger"]]["event"]:
+                counts.setdefault(int(tag), 0)
+            for tag, n in inside.groupby("prev_event").size().items():
+                counts[int(tag)] = counts.get(int(tag), 0) + int(n)
+        current, end = new[2], (new[1] + self.window) // self.per_ms
+        for tag in list(counts):
+            if tag != current or end < watermark:
+                emitted.append(("n_after", tag, NONE, counts.pop(tag)))
+        if counts:
+            self.count.update((counts[current],))
+            times.append(end)
+        elif self.count.exists():
             self.count.clear()
-
-    def close(self) -> None:
-        pass
+        self.wake(*times)
+        if emitted:
+            yield pd.DataFrame(emitted, columns=["kind", "event", "prev_event", "value"]).assign(run=run)[["run", "kind", "event", "prev_event", "value"]]
 
 
 def _keyed(events: DataFrame, soft: float, hard: float) -> DataFrame:
@@ -130,13 +162,13 @@ def _keyed(events: DataFrame, soft: float, hard: float) -> DataFrame:
     return events.withColumn("tag", F.col("q17") >= soft).withColumn("hard", F.col("q17") >= hard).groupBy("run")
 
 
-def stream_tagger(events: DataFrame, soft: float, hard: float, dead: int) -> DataFrame:
-    """Events of a stream with their previous real tag (same columns as the batch join) (ST1).
+def stream_tagger(events: DataFrame, time: str, delay: str, soft: float, hard: float, dead: int) -> DataFrame:
+    """Events of a stream with their previous real tag, once the watermark has passed them (same columns as the batch join) (ST1).
 
-    ``events`` has run, event, ts, nhit, q17.
+    ``events`` has run, event, ts, nhit, q17 and the event time ``time`` of the watermark, which is ``ts`` in other units.
     """
-    return _keyed(events, soft, hard).transformWithStateInPandas(
-        statefulProcessor=Tagger(dead), outputStructType=TAGGED, outputMode="Append", timeMode="None")
+    return _keyed(events.withWatermark(time, delay), soft, hard).transformWithStateInPandas(
+        statefulProcessor=Tagger(dead), outputStructType=TAGGED, outputMode="Append", timeMode="EventTime")
 
 
 def stream_followups(events: DataFrame, time: str, delay: str, soft: float, hard: float, dead: int, window: int, min_mult: int) -> DataFrame:

@@ -140,26 +140,41 @@ def test_find_files(spark, tmp_path):
     assert [(r.run, r.file.rsplit("/", 1)[1]) for r in f] == [(5, "run_0005_1.sf"), (6, "run_0006_1.sf")]
 
 
-def pieces(spark, sf, tmp_path, n=4):
-    """The trigger table as several files in time order."""
-    t = views.trig(spark, sf)
-    step = t.count() // n + 1
+HOUR_MS = 3_600_000
+
+
+def pieces(spark, sf, tmp_path, n=6):
+    """The trigger table in ``n`` micro-batches whose rows are out of order by up to half an hour, within the delay of one hour."""
+    t = views.trig(spark, sf).withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long")))
+    late = t.toPandas()
+    late["seen"] = late["ts"] // 40_000 + (late["event"] * 7919) % (HOUR_MS // 2)
+    late = late.sort_values("seen").reset_index(drop=True)
+    assert (late["ts"].diff() < 0).any()
     for i in range(n):
-        t.where((F.col("event") >= i * step) & (F.col("event") < (i + 1) * step)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        part = late.iloc[i * len(late) // n:(i + 1) * len(late) // n].drop(columns="seen")
+        spark.createDataFrame(part, t.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
-    s = M.drain(G.stream_tagger(pieces(spark, sf, tmp_path), SOFT, HARD, DEAD), "t")
-    cols = ["run", "event", "is_tag", "retrigger", "prev_event", "dt"]
-    assert sorted(map(tuple, s.select(*cols).collect())) == sorted(map(tuple, tagged(spark, sf).select(*cols).collect()), key=lambda r: r[:2])
+def watermark(spark, sf):
+    return views.trig(spark, sf).agg(F.max(F.floor(F.col("ts") / 40_000))).first()[0] - HOUR_MS
 
 
-def test_stream_followups_close_by_timer(spark, sf, tmp_path):
-    t = pieces(spark, sf, tmp_path).withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long")))
-    s = M.drain(G.stream_followups(t, "time", "1 hour", SOFT, HARD, DEAD, WINDOW, MIN_MULT), "f").toPandas()
-    b = tagged(spark, sf)
-    assert set(s[s.kind == "cand"].event) == {r.event for r in C.followups(b, WINDOW, MIN_MULT).collect()}
-    want = {r.event: r.n_after for r in C.n_after(b, WINDOW).collect()}
+def test_stream_equals_batch(spark, sf, tmp_path):
+    s = M.drain(G.stream_tagger(pieces(spark, sf, tmp_path), "time", "1 hour", SOFT, HARD, DEAD), "t")
+    cols = ["run", "event", "is_tag", "retrigger", "prev_event", "dt"]
+    due = tagged(spark, sf).where(F.floor(F.col("ts") / 40_000) < watermark(spark, sf))
+    assert sorted(map(tuple, s.select(*cols).collect()), key=lambda r: r[:2]) == sorted(map(tuple, due.select(*cols).collect()), key=lambda r: r[:2])
+
+
+def test_stream_followups_close_every_window(spark, sf, tmp_path):
+    s = M.drain(G.stream_followups(pieces(spark, sf, tmp_path), "time", "1 hour", SOFT, HARD, DEAD, WINDOW, MIN_MULT), "f").toPandas()
+    wm, b = watermark(spark, sf), tagged(spark, sf)
+    due = b.where(F.floor(F.col("ts") / 40_000) < wm)
+    assert set(s[s.kind == "cand"].event) == {r.event for r in C.followups(due, WINDOW, MIN_MULT).collect()}
+    real = due.where("is_tag and not retrigger").toPandas().sort_values(["run", "ts"])
+    last = real.groupby("run")["ts"].transform("max") == real["ts"]
+    closed = real[~last | ((real["ts"] + WINDOW) // 40_000 < wm)]
+    want = {r.event: r.n_after for r in C.n_after(due, WINDOW).collect()}
     got = dict(s[s.kind == "n_after"][["event", "value"]].itertuples(index=False))
-    assert len(got) >= len(want) - 8 and all(want[e] == n for e, n in got.items())
+    assert got == {e: want[e] for e in closed["event"]}
