@@ -248,7 +248,7 @@ def charge_pattern(spark, sf):
 def track_scan(spark, sf):
     h = placed(spark, sf)
     q = h.where(F.col("cable") < K.N_ID17).groupBy(*EV).agg((F.sum("q") * 20).alias("q17"))
-    t = S.track_columns(S.track_scan(h, q, n_points=30))
+    t = S.track_columns(S.track_scan(h, q, n_points=60))
     od = h.where(F.col("cable") >= K.N_ID)
     return S.rerank(S.od_terms(t, od)).select(*EV, "place", "rank", "score", "final", "impact", "od_term", "chimney", "n_hits")
 
