@@ -228,8 +228,11 @@ def _best(ids: np.ndarray, y: np.ndarray, query_ids: np.ndarray, queries: np.nda
     """(query, candidate, score): the k best candidates of each query, ties to the smaller id."""
     n, dim = y.shape
     order = np.argsort(y, axis=0, kind="stable").T                       # a list per coordinate, ascending
-    values = np.take_along_axis(y, order.T, axis=0).T.astype(np.float64)
-    step = max(n // 8, 1)
+    place = np.empty((n, dim), dtype=np.int32)
+    np.put_along_axis(place, order.T, np.arange(n, dtype=np.int32)[:, None], axis=0)
+    values = np.take_along_axis(y.T, order, axis=1).astype(np.float64)
+    lists = np.concatenate((order, order[:, ::-1])).astype(np.int32)     # and the same from the other end
+    values = np.concatenate((values, values[:, ::-1]))
     every = np.arange(dim)
     out = []
     for qid, q in zip(query_ids, queries, strict=True):
@@ -237,26 +240,23 @@ def _best(ids: np.ndarray, y: np.ndarray, query_ids: np.ndarray, queries: np.nda
         if not others.any():
             continue
         used = every[q != 0]
-        qf = q[used].astype(np.float64)
-        down = qf > 0
-        worst = qf * np.where(down, values[used, 0], values[used, -1])
-        met = np.zeros((n, dim), dtype=np.float64)
-        total = np.zeros(n)
-        left = np.flatnonzero(others)
-        for read in range(0, n, step):
-            to = min(read + step, n)
-            part = np.where(down[:, None], order[used, ::-1][:, read:to], order[used, read:to])
-            seen = np.where(down[:, None], values[used, ::-1][:, read:to], values[used, read:to])
-            total += np.bincount(part.ravel(), weights=(seen * qf[:, None]).ravel(), minlength=n)
-            met[part, used[:, None]] = 1.0
-            last = qf * seen[:, -1]
-            bounds = met[:, used] @ np.stack((worst, last), axis=1)
-            low, high = total + worst.sum() - bounds[:, 0], total + last.sum() - bounds[:, 1]
-            reach = low[others]
-            kth = np.partition(reach, len(reach) - k)[len(reach) - k] if len(reach) > k else -np.inf
-            left = np.flatnonzero(others & (high >= kth - 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else others))
-            if len(left) <= max(LEFT, k):
+        down = q[used] > 0
+        rows = used + dim * down
+        given, names = values[rows] * q[used].astype(np.float64)[:, None], lists[rows]
+        worst = given[:, -1].copy()
+        # a candidate's lower bound is the worst of all lists, and what each list that it was met in adds to that
+        low, read, to = np.full(n, worst.sum()), 0, max(3 * n // 4, 1)
+        reached = np.where(down, n - 1 - place[:, used], place[:, used])
+        while True:
+            low += np.bincount(names[:, read:to].ravel(), weights=(given[:, read:to] - worst[:, None]).ravel(), minlength=n)
+            rest = given[:, to - 1] - worst
+            high = low + rest.sum() - (reached < to).astype(np.float64) @ rest
+            bound = low[others]
+            kth = np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) > k else -np.inf
+            left = np.flatnonzero(others & (high >= kth - 1e-9 * (1 + abs(kth)))) if np.isfinite(kth) else np.flatnonzero(others)
+            if len(left) <= max(LEFT, k) or to == n:
                 break
+            read, to = to, n - (n - to) // 2 if n - to > 32 else n
         score = y[left] @ q
         for r in np.lexsort((ids[left], -score))[:k]:
             out.append((int(qid), int(ids[left[r]]), int(score[r])))
