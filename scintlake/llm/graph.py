@@ -42,8 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-#: rounds in which an open bucket has one pivot, before every component has one
+#: rounds in which a large open bucket has one pivot, before every component has one
 STARS = 5
+#: members that aren't at rest in a large bucket, at least
+LARGE = 64
 
 
 def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[DataFrame], DataFrame],
@@ -55,7 +57,7 @@ def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
     is made twice. ``verify`` takes candidate pairs (a, b), a < b, and returns those linked.
 
     First every member is compared with the least node of its bucket. Only buckets that still hold more than one component go on.
-    For ``STARS`` rounds a bucket has one more pivot, drawn by hash; from then on each of its components has one. A pivot is compared with
+    For ``STARS`` rounds a large bucket has one more pivot, drawn by hash; from then on, and at once in others, each component has one. A pivot is compared with
     all members of other components (with other pivots once) and then rests. A bucket is done when at most one of its components has
     members that are not at rest, so every pair of a bucket that lies in two components has been compared in the end, while
     members of one component need not be. Returns (node, component) for linked nodes, and the links found.
@@ -79,15 +81,17 @@ def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
             "key", "slot", "node", "rest", F.coalesce("component", "node").alias("comp"))
         state = named.groupBy(F.col("key").alias("k")).agg(
             F.min("comp").alias("d0"), F.max("comp").alias("d1"),
-            F.min(F.when(~F.col("rest"), F.col("comp"))).alias("c0"), F.max(F.when(~F.col("rest"), F.col("comp"))).alias("c1"))
+            F.min(F.when(~F.col("rest"), F.col("comp"))).alias("c0"), F.max(F.when(~F.col("rest"), F.col("comp"))).alias("c1"),
+            (F.count_if(~F.col("rest")) >= LARGE).alias("large"))
         # a bucket with one component, or whose other components rest, has nothing left to compare
-        open_keys = state.filter("d0 < d1 and c0 < c1").select("k")
-        members = stage(named.join(open_keys, F.col("key") == F.col("k"), "left_semi"), "bucket")
+        open_keys = state.filter("d0 < d1 and c0 < c1").select("k", "large")
+        members = stage(named.join(open_keys, F.col("key") == F.col("k")).drop("k"), "bucket")
         if members.isEmpty():
             return comp, links
         # the same nodes are drawn in all their buckets
         drawn = F.struct(F.xxhash64("node", F.lit(turns)).alias("h"), F.col("node").alias("p0"), F.col("comp").alias("c"))
-        group = [F.col("key").alias("k")] + ([F.col("comp").alias("by")] if turns > STARS else [])
+        by = F.col("comp") if turns > STARS else F.when(~F.col("large"), F.col("comp"))
+        group = [F.col("key").alias("k"), by.alias("by")]
         turn = stage(members.filter("not rest").groupBy(*group).agg(F.min(drawn).alias("d")).select("k", "d.p0", "d.c")
                      .join(of("p_"), F.col("p0") == F.col("p_node")).drop("p_node"), "pivots")
         mine = turn.select(F.col("k").alias("tk"), F.col("p0").alias("t0"))
