@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .hist import edge_bin, uniform_bin
 from .quantile import exact_quantiles
 from .scan import lag_value, last_marker, time_blocks, with_block
@@ -112,7 +113,8 @@ def tag_previous(events: DataFrame, is_tag: Column, hard: Column, dead: int, wid
     e = events.withColumn("is_tag", F.coalesce(is_tag, F.lit(False))).withColumn("_hard", F.coalesce(hard, F.lit(False)))
     real = real_tags(e.where("is_tag"), dead, F.col("_hard"))
     width = time_blocks(events, ["run"], "ts") if width is None else width
-    mark = real.select("run", "ts", "event", F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts"))
+    # few rows that the as-of join reads twice
+    mark = stage(real.select("run", "ts", "event", F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts")), "real-tags")
     out = last_marker(e, mark, ["run"], ["ts", "event"], ["prev_event", "prev_ts"], width)
     dt = F.col("ts") - F.col("prev.prev_ts")
     return (
@@ -167,6 +169,7 @@ def parent_class(q17: Column, converged: Column, l_ls: Column, kind: str) -> Col
 def recovery_table(cands: DataFrame, dt: Column, edges: list, nhit_cut: float = 300) -> DataFrame:
     """Per dt bin: events, median nhit and fraction at or above ``nhit_cut`` (null when empty)."""
     b = cands.select(edge_bin(dt, edges).alias("bin"), F.col("nhit").cast("double").alias("nhit")).where("bin is not null")
+    b = stage(b, "recovery")          # the candidates are found once, for the medians and the fractions
     med = exact_quantiles(b, ["bin"], F.col("nhit"), {"median_nhit": 0.5})
     frac = b.groupBy("bin").agg(F.avg((F.col("nhit") >= nhit_cut).cast("int")).alias("fraction"))
     bins = cands.sparkSession.range(len(edges) - 1).withColumnRenamed("id", "bin")
@@ -179,15 +182,16 @@ def recovery_table(cands: DataFrame, dt: Column, edges: list, nhit_cut: float =
 
 
 def sideband(cands: DataFrame, dt: Column, value: Column, bins: tuple, early: tuple, late: tuple) -> DataFrame:
-    """Early minus scaled late histogram of ``value`` (A30); ``bins = (lo, width, n)``, windows inclusive."""
+    """Early minus scaled late histogram of ``value`` (A30), empty bins included; ``bins = (lo, width, n)``, windows inclusive."""
     w = (early[1] - early[0]) / max(late[1] - late[0], 1e-9)
-    return (
-        cands.select(uniform_bin(value, *bins).alias("bin"), dt.between(*early).alias("e"),
+    every = cands.sparkSession.range(bins[2]).select(F.col("id").alias("bin"))
+    counted = (
+        cands.select(uniform_bin(value, *bins).cast("long").alias("bin"), dt.between(*early).alias("e"),
                      ((dt > late[0]) & (dt <= late[1])).alias("l"))
         .where("bin is not null").groupBy("bin")
         .agg(F.count_if("e").alias("n_early"), F.count_if("l").alias("n_late"))
-        .withColumn("signal", F.col("n_early") - w * F.col("n_late"))
     )
+    return every.join(counted, "bin", "left").na.fill(0, ["n_early", "n_late"]).withColumn("signal", F.col("n_early") - w * F.col("n_late"))
 
 
 def tag_rate(tagged: DataFrame, file_key: Column, seconds: Column) -> DataFrame:

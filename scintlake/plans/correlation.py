@@ -128,10 +128,10 @@ def recovery_table(spark, sf):
 
 
 @query("sideband", TAGGED_SQL + f""",
-c AS (SELECT CAST(floor(q17 / 5.0) AS BIGINT) AS bin, dt / {HOUR}.0 AS h FROM tagged WHERE NOT is_tag AND dt <= {WINDOW} AND nhit >= {MIN_MULT} AND q17 <= 115)
+c AS (SELECT CAST(least(floor(q17 / 5.0), 22) AS BIGINT) AS bin, dt / {HOUR}.0 AS h FROM tagged WHERE NOT is_tag AND dt <= {WINDOW} AND nhit >= {MIN_MULT} AND q17 <= 115)
 SELECT bin, count(*) FILTER (h BETWEEN 0.5 AND 3.5) AS n_early, count(*) FILTER (h > 6 AND h <= 12) AS n_late,
        round(count(*) FILTER (h BETWEEN 0.5 AND 3.5) - (3.5 - 0.5) / (12.0 - 6.0) * count(*) FILTER (h > 6 AND h <= 12), 6) AS signal
-FROM c GROUP BY bin""")
+FROM (SELECT unnest(range(23)) AS bin) b LEFT JOIN c USING (bin) GROUP BY bin""")
 def sideband(spark, sf):
     c = C.followups(tagged(spark, sf), WINDOW, MIN_MULT)
     return rounded(C.sideband(c, F.col("dt") / F.lit(float(HOUR)), F.col("q17"), (0.0, 5.0, 23), (0.5, 3.5), (6.0, 12.0)))
