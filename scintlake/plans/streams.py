@@ -1,4 +1,9 @@
-"""Queries that drain a stream over the driver's tables; the results must equal the batch ones."""
+"""Queries that drain a stream over the driver's tables; the results must equal the batch ones.
+
+The input is bounded, so it is closed: once all of it has been read, a last row beyond the reach of the delay and of every window
+moves the watermark past everything before it. That row itself stays in state and is never emitted. The SQL of four
+queries still leaves out what the watermark had not passed without it.
+"""
 
 from __future__ import annotations
 
@@ -19,14 +24,22 @@ DUE = f"(SELECT max(ts // 40000) - {DELAY_MS} FROM tagged)"
 
 
 def trig_stream(spark, sf):
-    t = views.trig(spark, sf, views.table_stream)
-    return t.withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long")))
+    """The trigger stream with its event time, and what ends it."""
+    beyond = (DELAY_MS + 2) * 40_000 + WINDOW
+    t, end = M.ended(views.trig(spark, sf, views.table_stream), views.trig(spark, sf), "ts",
+                     lambda r: r.withColumn("ts", F.col("ts") + beyond).withColumn("run", F.col("run") - 1_000_000))
+    return t.withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long"))), end
+
+
+def later(time, interval):
+    return lambda r: r.withColumn(time, F.col(time) + F.expr(f"INTERVAL {interval}"))
 
 
 @query("stream_tagger", TAGGED_SQL + f"""SELECT run, event, ts, nhit, is_tag, retrigger, prev_event, dt, ts - lag(ts) OVER (PARTITION BY run ORDER BY ts, event) AS dt_prev
 FROM tagged WHERE ts // 40000 < {DUE}""")
 def stream_tagger(spark, sf):
-    return M.drain(G.stream_tagger(trig_stream(spark, sf), "time", DELAY, SOFT, HARD, DEAD), "tagger")
+    t, end = trig_stream(spark, sf)
+    return M.drain(G.stream_tagger(t, "time", DELAY, SOFT, HARD, DEAD), "tagger", end=end)
 
 
 @query("stream_followups", TAGGED_SQL + f"""SELECT run, 'cand' AS kind, event, prev_event, dt AS value FROM tagged
@@ -37,8 +50,9 @@ FROM (SELECT *, lead(ts) OVER (PARTITION BY run ORDER BY ts, event) AS later FRO
 LEFT JOIN (SELECT run, event, prev_event FROM tagged WHERE NOT is_tag AND dt <= {WINDOW} AND ts // 40000 < {DUE}) c
   ON c.run = r.run AND c.prev_event = r.event GROUP BY r.run, r.event""")
 def stream_followups(spark, sf):
-    """Every window that the next tag or the watermark has closed has its count."""
-    return M.drain(G.stream_followups(trig_stream(spark, sf), "time", DELAY, SOFT, HARD, DEAD, WINDOW, MIN_MULT), "followups")
+    """Every window has its count."""
+    t, end = trig_stream(spark, sf)
+    return M.drain(G.stream_followups(t, "time", DELAY, SOFT, HARD, DEAD, WINDOW, MIN_MULT), "followups", end=end)
 
 
 @query("stream_channel_stats", PED + """
@@ -52,14 +66,16 @@ def stream_channel_stats(spark, sf):
   round(count(*) FILTER (value >= {HARD}) / 21600.0, 9) AS rate FROM events GROUP BY 1
   HAVING (start + 21600) * 1000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
 def stream_rate(spark, sf):
-    e = views.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    r = M.drain(M.stream_rate(e, "ts", "6 hours", "1 hour", F.col("value") >= HARD), "rate")
+    e, end = M.ended(*[read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value") for read in (views.table_stream, views.table)],
+                     "ts", later("ts", "8 HOURS"))
+    r = M.drain(M.stream_rate(e, "ts", "6 hours", "1 hour", F.col("value") >= HARD), "rate", end=end)
     return rounded(r.withColumn("start", F.unix_seconds("start")), 9)
 
 
 @query("stream_occupancy", """SELECT CAST(floor(epoch(l_shipdate) / 8640000) AS BIGINT) * 8640000 AS start, l_partkey % 2126 AS cable, count(*) AS n FROM lineitem GROUP BY 1, 2
   HAVING start + 8640000 <= (SELECT epoch(max(l_shipdate)) - 86400 FROM lineitem)""")
 def stream_occupancy(spark, sf):
-    h = views.table_stream(spark, sf, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_partkey") % 2126).alias("cable"))
-    o = M.drain(M.stream_occupancy(h, "ts", "100 days", "1 day"), "occupancy")
+    h, end = M.ended(*[read(spark, sf, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_partkey") % 2126).alias("cable"))
+                       for read in (views.table_stream, views.table)], "ts", later("ts", "102 DAYS"))
+    o = M.drain(M.stream_occupancy(h, "ts", "100 days", "1 day"), "occupancy", end=end)
     return o.withColumn("start", F.unix_seconds("start"))

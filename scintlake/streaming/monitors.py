@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,33 @@ def stream_occupancy(hits: DataFrame, time: str, width: str, delay: str) -> Data
         F.col("w.start").alias("start"), "cable", "n")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def ended(stream: DataFrame, batch: DataFrame, time: str, move: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, Callable[[], None]]:
+    """``stream`` with a source for its last row, and what writes that row: the latest of ``batch`` (the same rows), moved on by ``move``."""
+    spark = stream.sparkSession
+    path = f"{stage_root(spark)}/end-{uuid.uuid4().hex}"
+    batch.limit(0).write.parquet(path)
+
+    def end() -> None:
+        last = batch.agg(F.max_by(F.struct("*"), time).alias("r")).where("r is not null").select("r.*")
+        move(last).select(*batch.columns).write.mode("append").parquet(path)
+    return stream.unionByName(spark.readStream.schema(batch.schema).parquet(path)), end
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", end: Callable[[], None] | None = None) -> DataFrame:
     """Process everything available and return the result as a table in the shared folder.
 
-    ``append`` writes through the file sink; ``complete`` keeps the last full result.
+    ``append`` writes through the file sink; ``complete`` keeps the last full result. With ``end`` (see ``ended``) the query goes on
+    after that, so the last row comes behind all others however the input is cut.
     """
     spark = stream.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True)
-    if mode == "append":
-        q = w.format("parquet").option("path", f"{path}/data").start()
-    else:
-        q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/data")).start()
-    q.awaitTermination()
+    for close in (None, end) if end else (None,):
+        if close:
+            close()
+        w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True)
+        if mode == "append":
+            q = w.format("parquet").option("path", f"{path}/data").start()
+        else:
+            q = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/data")).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
