@@ -142,7 +142,7 @@ def source_events(spark, sf):
 def tune_speed(spark, sf):
     h = stage(placed(spark, sf), "placed")
     src = views.trig(spark, sf).select("run").distinct().withColumn("sz", F.lit(0.0))
-    return L.tune_speed(h, src, [16.0, 17.0, 18.0, 19.0, 20.0])
+    return L.tune_speed(h, src, [16.0 + k / 2 for k in range(9)])
 
 
 def _model(c):
@@ -169,7 +169,8 @@ def grid_likelihood(spark, sf):
     h = placed(spark, sf)
     start = vertices(spark, sf).join(res.groupBy(*EV).agg(F.first("t_event").alias("t0")), EV).withColumn("ok", F.lit(True))
     e = E.charge_energy(res, vertices(spark, sf), E.live_tubes(G.sensors(spark))).select(*EV, F.greatest("e_charge", F.lit(0.1)).alias("e"))
-    return L.grid_likelihood(h, start, cube, 17.6, 17.6, LO, DT, 50.0, 1, 1, 10.0, E.live_tubes(G.sensors(spark)), e)
+    # the operator's steps, and as far as 50 cm and 10 ns: its 125 x 5 points and more around them
+    return L.grid_likelihood(h, start, cube, 17.6, 17.6, LO, DT, half=3, t_steps=10, tubes=E.live_tubes(G.sensors(spark)), energy=e)
 
 
 @query("parameter_sweep", f"""{views.with_views('trig')}, g AS (SELECT unnest([10.0, 20.0, 30.0, 40.0, 50.0, 60.0]) AS p),
@@ -248,7 +249,7 @@ def charge_pattern(spark, sf):
 def track_scan(spark, sf):
     h = placed(spark, sf)
     q = h.where(F.col("cable") < K.N_ID17).groupBy(*EV).agg((F.sum("q") * 20).alias("q17"))
-    t = S.track_columns(S.track_scan(h, q, n_points=60))
+    t = S.track_columns(S.track_scan(h, q))
     od = h.where(F.col("cable") >= K.N_ID)
     return S.rerank(S.od_terms(t, od)).select(*EV, "place", "rank", "score", "final", "impact", "od_term", "chimney", "n_hits")
 
