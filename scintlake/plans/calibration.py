@@ -154,7 +154,7 @@ SELECT event, cable, round(t, 6) AS t, CASE WHEN cable < 1879 THEN 'inner' ELSE
 def both_detectors(spark, sf):
     h = views.hits(spark, sf).select("event", "cable", "t", "q")
     inner = h.where("cable < 1879").withColumn("part", F.lit("inner"))
-    outer = h.where("cable >= 1879 and q >= 10").withColumn("part", F.lit("outer"))
+    outer = h.where("cable >= 1879").withColumn("part", F.lit("outer"))
     return rounded(H.union_detectors(inner, outer).drop("q"))
 
 

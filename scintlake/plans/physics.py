@@ -15,6 +15,7 @@ from ..operators import hits as H
 from ..operators import locate as L
 from ..operators import report as R
 from ..operators import track_scan as S
+from ..operators.hist import source_peak
 from ..session import stage
 from . import sqlparts as P
 from .calibration import BASE, primary_showers
@@ -100,7 +101,10 @@ def hit_energy(spark, sf):
 SELECT t.run, event, round(q17 * 2.506 / a, 6) AS q17, round(nhit * 2.506 / b, 6) AS nhit FROM trig t JOIN m ON m.run = t.run""")
 def energy_scale(spark, sf):
     t = views.trig(spark, sf).withColumn("nhit", F.col("nhit").cast("double"))
-    s = E.energy_scale(t.where("q17 > 5"), ["run"], ["q17", "nhit"], 2.506)
+    # the medians are those of the run's source window
+    w = source_peak(t, ["run"], F.col("nhit")).select("run", "peak")
+    source = t.join(w, "run").where((F.col("nhit") > 0.8 * F.col("peak")) & (F.col("nhit") < 1.2 * F.col("peak")))
+    s = E.energy_scale(source, ["run"], ["q17", "nhit"], 2.506)
     return rounded(E.apply_scales(t, s, ["run"], ["q17", "nhit"]).select("run", "event", "q17", "nhit"))
 
 
