@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import bpe, lines, minhash, mixing, passages, secrets, toxicity, url_filter, vectors
+from scintlake.llm import bpe, filter_audit, lines, minhash, mixing, passages, secrets, toxicity, url_filter, vectors
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -163,3 +163,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_passages")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)} AS f
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END)
+                || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS mask,
+             count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+a(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+p AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM a p, a q, a r, a s, a t
+      WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x),
+o AS (SELECT part, filter_order, step, filter_order[step] AS letter,
+             sum(n) FILTER (translate(mask, left(filter_order, step), '') = mask) AS kept,
+             sum(n) FILTER (gone) AS removed, sum(n) FILTER (contains(mask, filter_order[step]) AND NOT gone) AS redundant,
+             sum(n) FILTER (mask = filter_order[step]) AS unique_fails, sum(good) FILTER (gone) AS good_lost, sum(toxic) FILTER (gone) AS toxic_lost
+      FROM (SELECT *, contains(mask, filter_order[step]) AND translate(mask, left(filter_order, step - 1), '') = mask AS gone
+            FROM c, p, (SELECT unnest(range(1, 6))::INT AS step)) GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM o
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                                     read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
