@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scintlake.llm import bpe, filter_audit, lines, minhash, mixing, passages, secrets, toxicity, url_filter, vectors, whitening
+from scintlake.llm import bpe, digests, filter_audit, lines, minhash, mixing, passages, secrets, toxicity, url_filter, vectors, whitening
 from scintlake.llm.words import word_count
 
 QUERIES = {}
@@ -198,6 +198,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+@query("op11_digests")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32, scale=64, shift=1_000_000)

@@ -188,7 +188,7 @@ class Model:
         self.known = values[:k] > 64 * dim * np.finfo(np.float64).eps * max(values[0], 0)
         self.explained[~self.known] = 0.0
         # from centred to whitened, in one product
-        self.scaled = self.vectors * np.divide(1.0, np.sqrt(self.values), out=np.zeros(k), where=self.known)
+        self.scaled = self.vectors * np.divide(1.0, np.sqrt(np.maximum(self.values, 0)), out=np.zeros(k), where=self.known)
         self.identity_error = 0.0
 
     def deviations(self, x: np.ndarray) -> np.ndarray:
