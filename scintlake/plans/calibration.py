@@ -150,7 +150,7 @@ def kept_hits(spark, sf):
 
 
 @query("both_detectors", f"""{views.with_views('hits')}
-SELECT event, cable, round(t, 6) AS t, CASE WHEN cable < 1879 THEN 'inner' ELSE 'outer' END AS part FROM hits WHERE cable < 1879 OR q >= 10""")
+SELECT event, cable, round(t, 6) AS t, CASE WHEN cable < 1879 THEN 'inner' ELSE 'outer' END AS part FROM hits""")
 def both_detectors(spark, sf):
     h = views.hits(spark, sf).select("event", "cable", "t", "q")
     inner = h.where("cable < 1879").withColumn("part", F.lit("inner"))
@@ -273,15 +273,19 @@ def group_mode(spark, sf):
     return rounded(B.grouped_mode(views.hits(spark, sf), ["cable"], F.col("t"), 20.0, 5, 10))
 
 
-@query("source_peak", f"""{views.with_views('trig')},
-x AS (SELECT run, CAST(q17 AS DOUBLE) AS x FROM trig WHERE q17 > 0),
+def source_peak_sql(x: str) -> str:
+    """CTEs up to ``p`` (run, peak) for the column ``x`` of ``trig``."""
+    return f"""x AS (SELECT run, CAST({x} AS DOUBLE) AS x FROM trig WHERE {x} > 0),
 e AS (SELECT run, 0 AS a, ceil((max(x) + 20) / 10) - 1 AS nb FROM x GROUP BY run),
 c AS (SELECT run, floor(x / 10) AS k, count(*) AS c FROM x GROUP BY 1, 2),
 z AS (SELECT e.run, e.nb, g.k, coalesce(c.c, 0) AS c FROM e, LATERAL (SELECT unnest(generate_series(0, CAST(e.nb AS BIGINT) - 1)) AS k) g LEFT JOIN c ON c.run = e.run AND c.k = g.k),
 s AS (SELECT *, sum(c) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y1 FROM z),
 n AS (SELECT *, lag(y1) OVER (PARTITION BY run ORDER BY k) AS y0, lead(y1) OVER (PARTITION BY run ORDER BY k) AS y2, max(y1) OVER (PARTITION BY run) AS top FROM s),
 pk AS (SELECT * FROM n WHERE y0 IS NOT NULL AND y2 IS NOT NULL AND y1 >= 0.1 * top AND y1 >= y0 AND y1 > y2 QUALIFY row_number() OVER (PARTITION BY run ORDER BY k DESC) = 1),
-p AS (SELECT run, 10 * (k + 0.5::DOUBLE + {P.SHIFT}) AS peak FROM pk)
+p AS (SELECT run, 10 * (k + 0.5::DOUBLE + {P.SHIFT}) AS peak FROM pk)"""
+
+
+@query("source_peak", f"""{views.with_views('trig')}, {source_peak_sql('q17')}
 SELECT run, round(peak, 6) AS peak, CAST(trunc(0.8::DOUBLE * peak) AS BIGINT) AS nhit_min, CAST(trunc(1.2::DOUBLE * peak) AS BIGINT) AS nhit_max FROM p""")
 def source_peak(spark, sf):
     return rounded(B.source_peak(views.trig(spark, sf), ["run"], F.col("q17")))

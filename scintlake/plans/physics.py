@@ -18,7 +18,7 @@ from ..operators import track_scan as S
 from ..operators.hist import source_peak
 from ..session import stage
 from . import sqlparts as P
-from .calibration import BASE, primary_showers
+from .calibration import BASE, primary_showers, source_peak_sql
 from .correlation import TAGGED_SQL, WINDOW, HOUR, tagged
 from .densities import DT, HI, LO, centre_residuals
 from .registry import query, rounded
@@ -97,7 +97,8 @@ def hit_energy(spark, sf):
     return E.hit_energy(centre_residuals(spark, sf), vertices(spark, sf), E.live_tubes(G.sensors(spark)))
 
 
-@query("energy_scale", f"""{views.with_views('trig')}, m AS (SELECT run, median(q17) AS a, median(nhit) AS b FROM trig WHERE q17 > 5 GROUP BY run)
+@query("energy_scale", f"""{views.with_views('trig')}, {source_peak_sql('nhit')},
+m AS (SELECT t.run, median(q17) AS a, median(nhit) AS b FROM trig t JOIN p ON p.run = t.run WHERE nhit > 0.8 * peak AND nhit < 1.2 * peak GROUP BY t.run)
 SELECT t.run, event, round(q17 * 2.506 / a, 6) AS q17, round(nhit * 2.506 / b, 6) AS nhit FROM trig t JOIN m ON m.run = t.run""")
 def energy_scale(spark, sf):
     t = views.trig(spark, sf).withColumn("nhit", F.col("nhit").cast("double"))
