@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tracks as T
 from ..session import stage
 from .hist import edge_bin, uniform_bin
 from .quantile import exact_quantiles
@@ -105,24 +106,51 @@ def real_tags(tags: DataFrame, dead: int, hard: Column, width: DataFrame | int |
 
 
 # ---- as-of -------------------------------------------------------------------------------------------------------
-def tag_previous(events: DataFrame, is_tag: Column, hard: Column, dead: int, width: DataFrame | int | None = None) -> DataFrame:
+def od_only(is_tag: Column, hard: Column, nhit: Column, id_hits: int = 500) -> Column:
+    """Tags of the outer detector alone: not hard, and too few inner hits for a track through the inner detector."""
+    return is_tag & ~hard & (nhit < id_hits)
+
+
+def track_payload(entrance: tuple, exit_point: tuple, valid: Column) -> Column:
+    """What a tag hands on of its track: entrance and unit direction, null unless the track is valid."""
+    u, length = T.direction(entrance, exit_point)
+    fields = [c.cast("double").alias(n) for c, n in zip((*entrance, *u), ("ex", "ey", "ez", "ux", "uy", "uz"), strict=True)]
+    return F.when(F.coalesce(valid, F.lit(False)) & (length > 0), F.struct(*fields))
+
+
+def tag_previous(events: DataFrame, is_tag: Column, hard: Column, dead: int, width: DataFrame | int | None = None,
+                 track: Column | None = None) -> DataFrame:
     """Every event with the last real tag strictly before it.
 
-    Adds is_tag, retrigger, prev_event (-1 when there is none), prev_ts and dt (ticks, null when there is none).
+    Adds is_tag, retrigger, prev_event (-1 when there is none), prev_ts and dt (ticks, null when there is none). With ``track`` (see
+    ``track_payload``) also prev_track, the track of that tag: null when that tag has none, even if an earlier one has.
     """
     e = events.withColumn("is_tag", F.coalesce(is_tag, F.lit(False))).withColumn("_hard", F.coalesce(hard, F.lit(False)))
-    real = real_tags(e.where("is_tag"), dead, F.col("_hard"))
+    real = real_tags(e.where("is_tag"), dead, F.col("_hard"), width)
     width = time_blocks(events, ["run"], "ts") if width is None else width
+    fields = ["prev_event", "prev_ts"]
+    real = real.select("run", "ts", "event", F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts"))
+    if track is not None:
+        real = real.join(e.where("is_tag").select("run", "event", track.alias("track")), ["run", "event"])
+        fields.append("track")
     # few rows that the as-of join reads twice
-    mark = stage(real.select("run", "ts", "event", F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts")), "real-tags")
-    out = last_marker(e, mark, ["run"], ["ts", "event"], ["prev_event", "prev_ts"], width)
+    mark = stage(real, "real-tags")
+    out = last_marker(e, mark, ["run"], ["ts", "event"], fields, width)
     dt = F.col("ts") - F.col("prev.prev_ts")
-    return (
+    out = (
         out.withColumn("retrigger", F.coalesce(F.col("is_tag") & ~F.col("_hard") & (dt < dead), F.lit(False)))
         .withColumn("prev_event", F.coalesce("prev.prev_event", F.lit(-1)))
         .withColumn("prev_ts", F.col("prev.prev_ts")).withColumn("dt", dt)
-        .drop("_hard", "prev")
     )
+    if track is not None:
+        out = out.withColumn("prev_track", F.col("prev.track"))
+    return out.drop("_hard", "prev")
+
+
+def track_distance(vertex: tuple, vertex_ok: Column, track: Column) -> Column:
+    """Distance of a located event from a track of ``track_payload``; null without a vertex or a track."""
+    e, u = (tuple(track[f"{k}{c}"] for c in "xyz") for k in "eu")
+    return F.when(vertex_ok & track.isNotNull(), T.point_distance(vertex, e, u))
 
 
 def dt_prev(events: DataFrame, width: DataFrame | int | None = None) -> DataFrame:
@@ -156,15 +184,36 @@ def with_parent(cands: DataFrame, tags: DataFrame, columns: list[str]) -> DataFr
     return cands.join(p, ["run", "prev_event"])
 
 
-def parent_class(q17: Column, converged: Column, l_ls: Column, kind: str) -> Column:
+def parent_class(q17: Column, converged: Column, l_ls: Column, kind: str, bright: float = 10000.0) -> Column:
     """Parent selection: ``all``, ``ls`` (track through the scintillator) or ``id`` (bright or reconstructed)."""
     if kind == "ls":
         return converged & (l_ls > 0)
     if kind == "id":
-        return (q17 >= 10000.0) | converged
+        return (q17 >= bright) | converged
     return F.lit(True)
 
 
+def captures(vertex_ok: Column, r: Column, energy: Column, dt: Column, r_max: float, energies: tuple, times: tuple) -> Column:
+    """Capture candidates: located inside the fiducial radius, with energy and time since the tag in inclusive windows."""
+    return F.coalesce(vertex_ok & (r < r_max) & energy.between(*energies) & dt.between(*times), F.lit(False))
+
+
+def parent_yields(cands: DataFrame, parents: DataFrame, selected: Column, kinds: tuple = ("all", "ls", "id"), bright: float = 10000.0) -> DataFrame:
+    """Per run and parent class: parents, candidates of such parents that pass ``selected``, candidates per parent.
+
+    ``parents`` are the real tags with q17, converged and l_ls; ``cands`` carry the same columns of their parent as mu_q17, mu_converged
+    and mu_l_ls (see ``with_parent``).
+    """
+    def of(df: DataFrame, prefix: str) -> DataFrame:
+        q17, converged, l_ls = (F.col(prefix + c) for c in ("q17", "converged", "l_ls"))
+        held = F.array(*[F.when(F.coalesce(parent_class(q17, converged, l_ls, k, bright), F.lit(False)), F.lit(k)) for k in kinds])
+        return df.select("run", F.explode(F.array_compact(held)).alias("parent"))
+
+    n = of(parents, "").groupBy("run", "parent").agg(F.count(F.lit(1)).alias("n_parent"))
+    c = of(cands.where(selected), "mu_").groupBy("run", "parent").agg(F.count(F.lit(1)).alias("n_selected"))
+    return n.join(c, ["run", "parent"], "left").na.fill(0, ["n_selected"]).withColumn("per_parent", F.col("n_selected") / F.col("n_parent"))
+
+
 # ---- tables ----------------------------------------------------------------------------------------------------------
 def recovery_table(cands: DataFrame, dt: Column, edges: list, nhit_cut: float = 300) -> DataFrame:
     """Per dt bin: events, median nhit and fraction at or above ``nhit_cut`` (null when empty)."""

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import trigger as T
 from ..functions import constants as K
+from ..functions import tracks
+from ..functions import trigger as T
 from ..operators import correlate as C
 from ..operators import hits as H
 from ..operators import scan as S
+from ..session import stage
 from .registry import query, rounded
 
 HOUR = 3600 * 40_000_000                     # ticks
@@ -23,6 +25,20 @@ def tagged(spark, sf):
     return C.tag_previous(views.trig(spark, sf), F.col("q17") >= SOFT, F.col("q17") >= HARD, DEAD)
 
 
+#: blocks of a day, so that tags, tracks and dead times are carried over many block borders
+BLOCK = 24 * HOUR
+ID_HITS = 50
+
+
+def framed(spark, sf, width=BLOCK):
+    """Located events with the last real tag before them and its track."""
+    e = views.trig_frame(spark, sf)
+    hard = F.col("q17") >= HARD
+    entrance, leave = (tuple(F.col(k + c) for c in "xyz") for k in "ex")
+    valid = F.col("converged") & ~C.od_only(F.col("is_tag"), hard, F.col("nhit"), ID_HITS)
+    return C.tag_previous(e, F.col("q17") >= SOFT, hard, DEAD, width, C.track_payload(entrance, leave, valid))
+
+
 # ---- SQL of the same rule: successor of each tag, then the orbit of the first tag of a run ----------------------
 TAGGED_SQL = f"""{views.with_views('trig').replace('WITH ', 'WITH RECURSIVE ', 1)},
 tags AS (SELECT run, event, ts, q17 FROM trig WHERE q17 >= {SOFT}),
@@ -43,6 +59,50 @@ tagged AS (
 """
 
 
+FRAMED_SQL = TAGGED_SQL.replace(views.VIEW_SQL["trig"], views.VIEW_SQL["trig"] + ",\n" + views.VIEW_SQL["frame"], 1) + f""",
+far AS (
+  SELECT f.*, t.is_tag, t.retrigger, t.prev_event, t.dt, p.ex AS pex, p.ey AS pey, p.ez AS pez, p.xx - p.ex AS dx, p.xy - p.ey AS dy, p.xz - p.ez AS dz,
+         sqrt(pow(p.xx - p.ex, 2) + pow(p.xy - p.ey, 2) + pow(p.xz - p.ez, 2)) AS len,
+         p.converged AND NOT (p.q17 < {HARD} AND p.nhit < {ID_HITS}) AS has_track
+  FROM frame f JOIN tagged t ON t.run = f.run AND t.event = f.event LEFT JOIN frame p ON p.run = t.run AND p.event = t.prev_event),
+dist AS (
+  SELECT *, is_tag AND q17 < {HARD} AND nhit < {ID_HITS} AS od_only,
+         CASE WHEN NOT is_tag AND vertex_ok AND has_track THEN sqrt(greatest(pow(x - pex, 2) + pow(y - pey, 2) + pow(z - pez, 2)
+              - pow(((x - pex) * dx + (y - pey) * dy + (z - pez) * dz) / len, 2), 0)) END AS dist_track FROM far)
+"""
+
+
+@query("dist_track", FRAMED_SQL + "SELECT run, event, is_tag, retrigger, od_only, prev_event, dt, round(dist_track, 6) AS dist_track FROM dist")
+def dist_track(spark, sf):
+    t = framed(spark, sf)
+    hard = F.col("q17") >= HARD
+    d = C.track_distance(tuple(F.col(c) for c in "xyz"), F.col("vertex_ok") & ~F.col("is_tag"), F.col("prev_track"))
+    return rounded(t.select("run", "event", "is_tag", "retrigger", C.od_only(F.col("is_tag"), hard, F.col("nhit"), ID_HITS).alias("od_only"),
+                            "prev_event", "dt", d.alias("dist_track")))
+
+
+#: fiducial radius (cm), energies and times since the tag of capture candidates
+R_MAX, ENERGIES, TIMES, BRIGHT = 600.0, (18.0, 60.0), (HOUR // 2, WINDOW), 300.0
+
+
+@query("parent_yields", FRAMED_SQL + f""",
+geo AS (SELECT *, sqrt(greatest(ex * ex + ey * ey + ez * ez - pow((ex * (xx - ex) + ey * (xy - ey) + ez * (xz - ez)) / sqrt(pow(xx - ex, 2) + pow(xy - ey, 2) + pow(xz - ez, 2)), 2), 0)) < 650 AS ls FROM dist),
+par AS (SELECT run, event, q17, converged, ls FROM geo WHERE is_tag AND NOT retrigger),
+k(parent) AS (VALUES ('all'), ('ls'), ('id')),
+sel AS (SELECT run, prev_event FROM geo WHERE NOT is_tag AND vertex_ok AND sqrt(x * x + y * y + z * z) < {R_MAX} AND q17 BETWEEN {ENERGIES[0]} AND {ENERGIES[1]} AND dt BETWEEN {TIMES[0]} AND {TIMES[1]}),
+pk AS (SELECT * FROM par, k WHERE parent = 'all' OR (parent = 'ls' AND converged AND ls) OR (parent = 'id' AND (q17 >= {BRIGHT} OR converged)))
+SELECT pk.run, pk.parent, count(DISTINCT pk.event) AS n_parent, count(sel.run) AS n_selected, round(count(sel.run) / count(DISTINCT pk.event), 9) AS per_parent
+FROM pk LEFT JOIN sel ON sel.run = pk.run AND sel.prev_event = pk.event GROUP BY pk.run, pk.parent""")
+def parent_yields(spark, sf):
+    t = stage(framed(spark, sf), "framed")
+    e, x = (tuple(F.col(k + c) for c in "xyz") for k in "ex")
+    u, _ = tracks.direction(e, x)
+    parents = t.where("is_tag and not retrigger").withColumn("l_ls", tracks.light_paths(tracks.impact(e, u))[0])
+    cands = C.with_parent(t.where("not is_tag").select("run", "event", "prev_event", "x", "y", "z", "vertex_ok", "q17", "dt"), parents, ["q17", "converged", "l_ls"])
+    sel = C.captures(F.col("vertex_ok"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), F.col("q17"), F.col("dt"), R_MAX, ENERGIES, TIMES)
+    return rounded(C.parent_yields(cands, parents, sel, bright=BRIGHT), 9)
+
+
 @query("trigger_census", f"""{views.with_views('trig')},
 flags(pos, bit, name) AS (VALUES {', '.join(f"({i}, {b}::BIGINT, '{n}')" for i, (b, n) in enumerate(K.FLAG_NAMES))}),
 acqs(acq, name) AS (VALUES {', '.join(f"({a}::BIGINT, '{n}')" for a, n in K.ACQ_NAMES.items())}),

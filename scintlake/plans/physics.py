@@ -19,7 +19,7 @@ from ..operators.hist import source_peak
 from ..session import stage
 from . import sqlparts as P
 from .calibration import BASE, primary_showers, source_peak_sql
-from .correlation import TAGGED_SQL, WINDOW, HOUR, tagged
+from .correlation import FRAMED_SQL, HOUR, WINDOW, framed, tagged
 from .densities import DT, HI, LO, centre_residuals
 from .registry import query, rounded
 from ..operators import correlate as CO
@@ -350,10 +350,21 @@ def energy_spread(spark, sf):
     return rounded(R.energy_spread(R.energy_by_run(t, ["q17"]), ["q17"], 450.0))
 
 
-@query("analysis_cuts", TAGGED_SQL + f"""SELECT run, count(*) FILTER (NOT is_tag AND q17 BETWEEN 18 AND 26 AND dt < {WINDOW}) AS neutrons,
-  count(*) FILTER (is_tag AND NOT retrigger AND nhit >= 50) AS tracks FROM tagged GROUP BY run""")
+@query("analysis_cuts", FRAMED_SQL + f"""SELECT run, count(*) FILTER (NOT is_tag AND vertex_ok AND q17 BETWEEN 18 AND 26 AND dt < {WINDOW}) AS neutrons,
+  count(*) FILTER (is_tag AND NOT retrigger AND converged AND
+    sqrt(greatest(ex * ex + ey * ey + ez * ez - pow((ex * (xx - ex) + ey * (xy - ey) + ez * (xz - ez)) / sqrt(pow(xx - ex, 2) + pow(xy - ey, 2) + pow(xz - ez, 2)), 2), 0)) < 650) AS tracks
+  FROM dist GROUP BY run""")
 def analysis_cuts(spark, sf):
-    t = tagged(spark, sf)
-    n = T.neutron_candidate(F.col("is_tag"), F.lit(True), F.col("q17"), F.col("dt"), 18, 26, WINDOW)
-    m = T.ls_muon(F.col("is_tag"), F.col("retrigger"), F.lit(True), F.col("nhit") - 49)
+    t = framed(spark, sf)
+    e, x = (tuple(F.col(k + c) for c in "xyz") for k in "ex")
+    n = T.neutron_candidate(F.col("is_tag"), F.col("vertex_ok"), F.col("q17"), F.col("dt"), 18, 26, WINDOW)
+    m = T.ls_muon(F.col("is_tag"), F.col("retrigger"), F.col("converged"), T.light_paths(T.impact(e, T.direction(e, x)[0]))[0])
     return t.groupBy("run").agg(F.count_if(n).alias("neutrons"), F.count_if(m).alias("tracks"))
+
+
+@query("od_trigger_muons", f"""{views.with_views('trig')}, m AS (SELECT run, trigger & {K.OD_TRIGGER_BITS} <> 0 AS od, nhit % 16 >= 5 AND q17 >= 20 AS low, q17 >= 150 AS bright FROM trig)
+SELECT run, count(*) FILTER (low OR bright) AS muons, count(*) FILTER (low AND od OR bright) AS muons_with_bit FROM m GROUP BY run""")
+def od_trigger_muons(spark, sf):
+    t, n_od, cuts = views.trig(spark, sf), F.col("nhit") % 16, {"q_min": 20.0, "q_alone": 150.0}
+    return t.groupBy("run").agg(F.count_if(T.is_muon(F.col("q17"), n_od, **cuts)).alias("muons"),
+                                F.count_if(T.is_muon_with_od_trigger(F.col("q17"), n_od, F.col("trigger"), **cuts)).alias("muons_with_bit"))

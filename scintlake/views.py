@@ -40,6 +40,21 @@ def trig(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     )
 
 
+#: events share the vertices and tracks of this many vectors
+SLOTS = 128
+
+
+def trig_frame(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    """Trigger records with a vertex and a track each, from ``embeddings``: x, y, z, vertex_ok, entrance e*, exit x*, converged."""
+    v = [F.get("embedding", F.lit(i)).cast("double") for i in range(11)]
+    on_sphere = lambda k, name: [(850.0 * v[k + i] / F.sqrt(v[k] ** 2 + v[k + 1] ** 2 + v[k + 2] ** 2)).alias(f"{name}{c}") for i, c in enumerate("xyz")]
+    slots = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < SLOTS).select(
+        F.col("vec_id").alias("slot"), *[(3000.0 * v[i]).alias(c) for i, c in enumerate("xyz")], (v[9] > -0.1).alias("vertex_ok"),
+        *on_sphere(3, "e"), *on_sphere(6, "x"), (v[10] > -0.05).alias("converged"))
+    t = trig(spark, sf_dir, read)
+    return t.join(slots, F.col("event") % SLOTS == F.col("slot"), "left").drop("slot")
+
+
 def _hits(li: DataFrame, run, event) -> DataFrame:
     found = F.col("l_discount") >= 0.01
     return li.select(
@@ -141,6 +156,13 @@ VIEW_SQL = {
          + (CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) % 4) * 65536 AS trigger,
          CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) AS nhit
   FROM events)""",
+    "frame": f"""frame AS (
+  SELECT t.*, 3000 * v1 AS x, 3000 * v2 AS y, 3000 * v3 AS z, v10 > -0.1 AS vertex_ok,
+         850 * v4 / sqrt(v4 * v4 + v5 * v5 + v6 * v6) AS ex, 850 * v5 / sqrt(v4 * v4 + v5 * v5 + v6 * v6) AS ey, 850 * v6 / sqrt(v4 * v4 + v5 * v5 + v6 * v6) AS ez,
+         850 * v7 / sqrt(v7 * v7 + v8 * v8 + v9 * v9) AS xx, 850 * v8 / sqrt(v7 * v7 + v8 * v8 + v9 * v9) AS xy, 850 * v9 / sqrt(v7 * v7 + v8 * v8 + v9 * v9) AS xz,
+         v11 > -0.05 AS converged
+  FROM trig t LEFT JOIN (SELECT vec_id, {', '.join(f'embedding[{i}]::DOUBLE AS v{i}' for i in range(1, 12))} FROM embeddings WHERE vec_id < {SLOTS}) s
+    ON s.vec_id = t.event % {SLOTS})""",
     "hits": """hits AS (
   SELECT l_orderkey % 8 AS run, l_orderkey AS event, l_partkey % 2126 AS cable, CAST(l_linenumber % 2 AS BIGINT) AS atwd,
          CAST(l_quantity AS BIGINT) % 3 AS gain, CASE WHEN l_discount >= 0.01 THEN l_extendedprice / 100 END AS t,
