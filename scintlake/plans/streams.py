@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views
+from ..operators import correlate as C
 from ..streaming import monitors as M
 from ..streaming import tagger as G
-from .correlation import DEAD, HARD, MIN_MULT, SOFT, TAGGED_SQL, WINDOW
+from .correlation import DEAD, FRAMED_SQL, HARD, ID_HITS, MIN_MULT, SOFT, TAGGED_SQL, WINDOW
 from .registry import query, rounded
 from .waveforms import PED, adc_waves
 
@@ -23,7 +24,7 @@ def trig_stream(spark, sf):
     beyond = (DELAY_MS + 2) * 40_000 + WINDOW
     t, end = M.ended(views.trig(spark, sf, views.table_stream), views.trig(spark, sf), "ts",
                      lambda r: r.withColumn("ts", F.col("ts") + beyond).withColumn("run", F.col("run") - 1_000_000))
-    return t.withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long"))), end
+    return timed(t), end
 
 
 def later(time, interval):
@@ -48,6 +49,68 @@ def stream_followups(spark, sf):
     return M.drain(G.stream_followups(t, "time", DELAY, SOFT, HARD, DEAD, WINDOW, MIN_MULT), "followups", end=end)
 
 
+#: what a tag hands on: its track, missing where it has none
+TRACK = ("ex", "ey", "ez", "ux", "uy", "uz")
+
+
+def with_track(e):
+    """Located events with vertex and, for tags that have a valid one, track; missing ones are null."""
+    hard = F.col("q17") >= HARD
+    entrance, leave = (tuple(F.col(k + c) for c in "xyz") for k in "ex")
+    only = C.od_only(F.col("q17") >= SOFT, hard, F.col("nhit"), ID_HITS)
+    v = [F.when(F.col("vertex_ok"), F.col(c)).alias(f"v{c}") for c in "xyz"]
+    t = e.withColumn("track", C.track_payload(entrance, leave, F.col("converged") & ~only))
+    return t.select("run", "event", "ts", "nhit", "q17", *v, *[F.col(f"track.{c}").alias(c) for c in TRACK])
+
+
+def closing(spark, sf, reach=WINDOW):
+    """Moves a last row beyond the delay and ``reach`` after all events, into a run of its own."""
+    last = views.trig(spark, sf).agg(F.max("ts")).scalar()
+    return lambda r: r.withColumn("ts", last + ((DELAY_MS + 2) * 40_000 + reach)).withColumn("run", F.col("run") - 1_000_000)
+
+
+def frame_stream(spark, sf, reach=WINDOW):
+    """Located events as a stream, and what ends it."""
+    t, end = M.ended(with_track(views.trig_frame(spark, sf, views.table_stream)), with_track(views.trig_frame(spark, sf)), "ts", closing(spark, sf, reach))
+    return timed(t), end
+
+
+def timed(df):
+    return df.withColumn("time", F.timestamp_micros((F.col("ts") / 40).cast("long")))
+
+
+def prev_distance():
+    """Distance of the vertex from the track of the previous tag, null without either."""
+    p = F.struct(*[F.col(f"prev_{c}").alias(c) for c in TRACK])
+    return C.track_distance(tuple(F.col(f"v{c}") for c in "xyz"), F.col("vx").isNotNull() & F.col("prev_ex").isNotNull(), p)
+
+
+@query("stream_dist_track", FRAMED_SQL + "SELECT run, event, is_tag, retrigger, prev_event, dt, round(dist_track, 6) AS dist_track FROM dist")
+def stream_dist_track(spark, sf):
+    """The track of the last real tag in the stream's state."""
+    t, end = frame_stream(spark, sf)
+    out = M.drain(G.stream_tagger(t, "time", DELAY, SOFT, HARD, DEAD, ("vx", "vy", "vz"), TRACK), "tracks", end=end)
+    return rounded(out.select("run", "event", "is_tag", "retrigger", "prev_event", "dt", F.when(~F.col("is_tag"), prev_distance()).alias("dist_track")))
+
+
+@query("stream_parents", FRAMED_SQL + f"SELECT run, event, prev_event, dt, round(dist_track, 6) AS dist_track FROM dist WHERE NOT is_tag AND dt <= {WINDOW}")
+def stream_parents(spark, sf):
+    """The same by an interval join of the stream of events with the stream of real tags that the tagger writes."""
+    t, end = frame_stream(spark, sf)
+    tagged = M.drain(G.stream_tagger(t, "time", DELAY, SOFT, HARD, DEAD, TRACK), "tags", end=end)
+    table, tags = M.written(tagged.where("is_tag and not retrigger").select("run", "event", "ts", *TRACK), "real-tags")
+    reach = 3 * WINDOW
+    tags, end_tags = M.ended(tags, table, "ts", closing(spark, sf, reach))
+    events, end_events = frame_stream(spark, sf, reach)
+
+    def both():
+        end_tags()
+        end_events()
+    quiet = events.where(F.col("q17") < SOFT).select("run", "event", "ts", "vx", "vy", "vz", "time")
+    out = G.stream_parents(timed(tags), quiet, DELAY, WINDOW, f"{WINDOW // 40_000_000 + 1} SECONDS", TRACK)
+    return rounded(M.drain(out, "parents", end=both).select("run", "event", "prev_event", "dt", prev_distance().alias("dist_track")))
+
+
 @query("stream_channel_stats", PED + """
 SELECT cable, atwd, gain, CAST(i AS INTEGER) AS sample, round(sum(s[i + 1]), 6) AS s1, round(sum(s[i + 1] * s[i + 1]), 6) AS s2, count(*) AS n
 FROM f, LATERAL (SELECT unnest(range(0, len(s))) AS i) WHERE flat GROUP BY cable, atwd, gain, i""")

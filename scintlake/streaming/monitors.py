@@ -35,6 +35,14 @@ def stream_occupancy(hits: DataFrame, time: str, width: str, delay: str) -> Data
         F.col("w.start").alias("start"), "cable", "n")
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` written to the shared folder, as a table and as a file stream of it."""
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), spark.readStream.schema(df.schema).parquet(path)
+
+
 def ended(stream: DataFrame, batch: DataFrame, time: str, move: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, Callable[[], None]]:
     """``stream`` with a source for its last row, and what writes that row: the latest of ``batch`` (the same rows), moved on by ``move``."""
     spark = stream.sparkSession

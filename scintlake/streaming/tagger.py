@@ -24,9 +24,12 @@ STATE = "prev_ts long, mu_ts long, mu_event long"
 TAGGED = "run long, event long, ts long, nhit long, is_tag boolean, retrigger boolean, prev_event long, dt long, dt_prev long"
 
 
-def advance(pdf: pd.DataFrame, state: tuple[int, int, int], dead: int) -> tuple[pd.DataFrame, tuple[int, int, int]]:
-    """Tag the rows of one run that follow ``state`` (last event, last real tag); returns rows and the new state."""
-    prev_ts, mu_ts, mu_event = state
+def advance(pdf: pd.DataFrame, state: tuple, dead: int, keep: tuple = (), payload: tuple = ()) -> tuple[pd.DataFrame, tuple]:
+    """Tag the rows of one run that follow ``state`` (last event, last real tag and its payload); returns rows and the new state.
+
+    Columns ``keep`` pass through; each column of ``payload`` gives ``prev_`` with the value of the last real tag, NaN without one.
+    """
+    prev_ts, mu_ts, mu_event, *handed = state
     pdf = pdf.sort_values(["ts", "event"], kind="stable").reset_index(drop=True)
     if pdf.empty:
         return pdf, state
@@ -51,22 +54,38 @@ def advance(pdf: pd.DataFrame, state: tuple[int, int, int], dead: int) -> tuple[
         dt_prev=pd.array(np.where(before != NONE, ts - before, 0), dtype="Int64"))
     out.loc[~known, "dt"] = pd.NA
     out.loc[before == NONE, "dt_prev"] = pd.NA
-    return out, (int(ts[-1]), int(r_ts[-1]), int(r_ev[-1]))
+    last = []
+    for c in keep:
+        out[c] = pdf[c]
+    for c, value in zip(payload, handed, strict=True):
+        all_values = np.append(value, pdf[c].to_numpy(float)[real])
+        out[f"prev_{c}"] = all_values[k]
+        last.append(float(all_values[-1]))
+    return out, (int(ts[-1]), int(r_ts[-1]), int(r_ev[-1]), *last)
 
 
 HELD = ["event", "ts", "nhit", "tag", "hard"]
 
 
+def _doubles(columns: tuple, prefix: str = "") -> str:
+    return "".join(f", {prefix}{c} double" for c in columns)
+
+
 class _Ordered(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then hands them on in one piece."""
+    """Holds rows until the watermark has passed them, then hands them on in one piece.
+
+    ``keep`` and ``payload`` are columns of doubles (missing values NaN): the first pass through, the second stay in the state with
+    the last real tag.
+    """
 
-    def __init__(self, dead: int, ticks_per_ms: int = 40_000):
-        self.dead, self.per_ms = dead, ticks_per_ms
+    def __init__(self, dead: int, ticks_per_ms: int = 40_000, keep: tuple = (), payload: tuple = ()):
+        self.dead, self.per_ms, self.keep, self.payload = dead, ticks_per_ms, tuple(keep), tuple(payload)
+        self.doubles = [*self.keep, *self.payload]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", STATE)
-        self.held = handle.getListState("held", "event long, ts long, nhit long, tag boolean, hard boolean")
+        self.last = handle.getValueState("last", STATE + _doubles(self.payload))
+        self.held = handle.getListState("held", "event long, ts long, nhit long, tag boolean, hard boolean" + _doubles(self.doubles))
 
     def wake(self, *times: int) -> None:
         """One timer, at the earliest of the given milliseconds."""
@@ -77,20 +96,21 @@ class _Ordered(StatefulProcessor):
 
     def released(self, run, rows, watermark: int) -> tuple[pd.DataFrame, tuple, tuple, list[int]]:
         """Tagged rows that have become due, the state before and after them, and when the next held row is due."""
-        state = tuple(self.last.get()) if self.last.exists() else (NONE, NONE, NONE)
-        waiting = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=HELD)
-        waiting = pd.concat([waiting, *(r[HELD] for r in rows)], ignore_index=True).astype(
-            {"event": "int64", "ts": "int64", "nhit": "int64", "tag": bool, "hard": bool})
+        state = tuple(self.last.get()) if self.last.exists() else (NONE, NONE, NONE, *[float("nan")] * len(self.payload))
+        columns = [*HELD, *self.doubles]
+        types = {"event": "int64", "ts": "int64", "nhit": "int64", "tag": bool, "hard": bool} | dict.fromkeys(self.doubles, "float64")
+        parts = [pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=columns), *(r[columns] for r in rows)]
+        waiting = pd.concat([p.astype(types) for p in parts], ignore_index=True)
         due = waiting["ts"] // self.per_ms < watermark
         rest = waiting[~due]
         if len(rest):
-            self.held.put([(int(r.event), int(r.ts), int(r.nhit), bool(r.tag), bool(r.hard)) for r in rest.itertuples()])
+            self.held.put([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rest.itertuples(index=False)])
         else:
             self.held.clear()
         # rows before the last released one are older than the watermark was then
         ready = waiting[due & (waiting["ts"] >= state[0])].assign(run=run)
-        out, new = advance(ready, state, self.dead) if len(ready) else (ready, state)
-        if new != state:
+        out, new = advance(ready, state, self.dead, self.keep, self.payload) if len(ready) else (ready, state)
+        if len(ready):
             self.last.update(new)
         return out, state, new, [int(rest["ts"].min()) // self.per_ms] if len(rest) else []
 
@@ -162,13 +182,19 @@ def _keyed(events: DataFrame, soft: float, hard: float) -> DataFrame:
     return events.withColumn("tag", F.col("q17") >= soft).withColumn("hard", F.col("q17") >= hard).groupBy("run")
 
 
-def stream_tagger(events: DataFrame, time: str, delay: str, soft: float, hard: float, dead: int) -> DataFrame:
+def stream_tagger(events: DataFrame, time: str, delay: str, soft: float, hard: float, dead: int, keep: tuple = (), payload: tuple = ()) -> DataFrame:
     """Events of a stream with their previous real tag, once the watermark has passed them (same columns as the batch join) (ST1).
 
-    ``events`` has run, event, ts, nhit, q17 and the event time ``time`` of the watermark, which is ``ts`` in other units.
+    ``events`` has run, event, ts, nhit, q17 and the event time ``time`` of the watermark, which is ``ts`` in other units. Columns
+    ``keep`` pass through, and every row gets the ``payload`` of its real tag as ``prev_`` columns, such as the tag's track; both are doubles,
+    and what is missing is null.
     """
-    return _keyed(events.withWatermark(time, delay), soft, hard).transformWithStateInPandas(
-        statefulProcessor=Tagger(dead), outputStructType=TAGGED, outputMode="Append", timeMode="EventTime")
+    nan = F.lit(float("nan"))
+    filled = events.withColumns({c: F.coalesce(F.col(c).cast("double"), nan) for c in (*keep, *payload)}) if keep or payload else events
+    out = _keyed(filled.withWatermark(time, delay), soft, hard).transformWithStateInPandas(
+        statefulProcessor=Tagger(dead, keep=keep, payload=payload), outputStructType=TAGGED + _doubles(keep) + _doubles(payload, "prev_"),
+        outputMode="Append", timeMode="EventTime")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in (*keep, *[f"prev_{p}" for p in payload])}) if keep or payload else out
 
 
 def stream_followups(events: DataFrame, time: str, delay: str, soft: float, hard: float, dead: int, window: int, min_mult: int) -> DataFrame:
@@ -176,3 +202,22 @@ def stream_followups(events: DataFrame, time: str, delay: str, soft: float, hard
     return _keyed(events.withWatermark(time, delay), soft, hard).transformWithStateInPandas(
         statefulProcessor=Followups(dead, window, min_mult), outputStructType="run long, kind string, event long, prev_event long, value long",
         outputMode="Append", timeMode="EventTime")
+
+
+def stream_parents(tags: DataFrame, events: DataFrame, delay: str, window: int, reach: str, payload: tuple = ()) -> DataFrame:
+    """Events of one stream with the last real tag of another at most ``window`` ticks before them (ST2), for append mode.
+
+    An interval join of two watermarked streams: ``tags`` has run, event, ts, time and the columns ``payload``, ``events`` run, event, ts,
+    time and any more. ``reach`` is the window as an interval of event time; it bounds what the join keeps of either stream. Of several tags in
+    reach the last one counts, which is known once the watermark has passed the event. Gives the columns of ``events`` without time, prev_event, dt and
+    ``prev_`` columns.
+    """
+    t = tags.select(F.col("run").alias("tag_run"), F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts"), F.col("time").alias("tag_time"),
+                    *[F.col(c).alias(f"prev_{c}") for c in payload]).withWatermark("tag_time", delay)
+    e = events.withWatermark("time", delay)
+    near = (F.col("run") == F.col("tag_run")) & F.col("time").between(F.col("tag_time"), F.col("tag_time") + F.expr(f"INTERVAL {reach}"))
+    pairs = e.join(t, near & (F.col("ts") > F.col("prev_ts")) & (F.col("ts") - F.col("prev_ts") <= window)).drop("tag_run", "tag_time")
+    rest = [c for c in events.columns if c not in ("run", "event", "time")]
+    best = pairs.groupBy("time", "run", "event").agg(
+        F.max_by(F.struct(*rest, "prev_event", "prev_ts", *[f"prev_{c}" for c in payload]), F.struct("prev_ts", "prev_event")).alias("r"))
+    return best.select("run", "event", "r.*").withColumn("dt", F.col("ts") - F.col("prev_ts")).drop("prev_ts")
