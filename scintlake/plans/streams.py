@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views
+from ..functions import geometry
 from ..operators import correlate as C
 from ..streaming import monitors as M
 from ..streaming import tagger as G
@@ -111,13 +112,25 @@ def stream_parents(spark, sf):
     return rounded(M.drain(out, "parents", end=both).select("run", "event", "prev_event", "dt", prev_distance().alias("dist_track")))
 
 
-@query("stream_channel_stats", PED + """
+CHANNEL_SQL = PED + """
 SELECT cable, atwd, gain, CAST(i AS INTEGER) AS sample, round(sum(s[i + 1]), 6) AS s1, round(sum(s[i + 1] * s[i + 1]), 6) AS s2, count(*) AS n
-FROM f, LATERAL (SELECT unnest(range(0, len(s))) AS i) WHERE flat GROUP BY cable, atwd, gain, i""")
+FROM f, LATERAL (SELECT unnest(range(0, len(s))) AS i) WHERE flat GROUP BY cable, atwd, gain, i"""
+
+
+@query("stream_channel_stats", CHANNEL_SQL)
 def stream_channel_stats(spark, sf):
     return rounded(M.drain(M.stream_channel_stats(adc_waves(spark, sf, views.table_stream)), "channel", "complete"))
 
 
+@query("stream_channel_constants", CHANNEL_SQL)
+def stream_channel_constants(spark, sf):
+    """Running sums as a versioned table: four batches, each of which writes the channels that it changed."""
+    _, waves = M.written(adc_waves(spark, sf, views.table).repartition(4, "wf_id"), "waves", 1)
+    path, keys = M.folder(spark, "channels"), ["cable", "atwd", "gain", "sample"]
+    M.upsert(M.stream_channel_stats(waves), path)
+    return rounded(M.latest(spark, path, keys))
+
+
 @query("stream_rate", f"""SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS start, count(*) FILTER (value >= {HARD}) AS n_tags, count(*) AS n_events,
   round(count(*) FILTER (value >= {HARD}) / 21600.0, 9) AS rate FROM events GROUP BY 1""")
 def stream_rate(spark, sf):
@@ -133,3 +146,14 @@ def stream_occupancy(spark, sf):
                        for read in (views.table_stream, views.table)], "ts", later("ts", "102 DAYS"))
     o = M.drain(M.stream_occupancy(h, "ts", "100 days", "1 day"), "occupancy", end=end)
     return o.withColumn("start", F.unix_seconds("start"))
+
+
+@query("stream_dead_sensors", """WITH h AS (SELECT CAST(floor(epoch(l_shipdate) / 8640000) AS BIGINT) * 8640000 AS start, l_partkey % 2126 AS cable FROM lineitem),
+c AS (SELECT start, cable, count(*) AS n FROM h GROUP BY 1, 2)
+SELECT w.start, s.cable, coalesce(n, 0) AS n, n IS NULL AS silent FROM (SELECT DISTINCT start FROM h) w, (SELECT unnest(range(2126)) AS cable) s
+LEFT JOIN c ON c.start = w.start AND c.cable = s.cable""")
+def stream_dead_sensors(spark, sf):
+    h, end = M.ended(*[read(spark, sf, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("ts"), (F.col("l_partkey") % 2126).alias("cable"))
+                       for read in (views.table_stream, views.table)], "ts", later("ts", "302 DAYS"))
+    o = M.drain(M.stream_silent(h, geometry.sensors(spark), "ts", "100 days", "1 day"), "silent", end=end)
+    return o.withColumn("start", F.unix_seconds("start"))
