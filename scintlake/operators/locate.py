@@ -213,14 +213,20 @@ def local_grid(spacing: float, half: int) -> Column:
                      for i, (a, b, c) in enumerate((a, b, c) for a in k for b in k for c in k)])
 
 
-def score_candidates(hits: DataFrame, candidates: Column, model: Callable[[Column], Column], name: str = "score") -> DataFrame:
+def score_candidates(hits: DataFrame, candidates: Column, model: Callable[[Column], Column], name: str = "score",
+                     events: DataFrame | None = None, event_model: Callable[[Column], Column] | None = None) -> DataFrame:
     """Additive score of every candidate of every event (J11, UD2).
 
     ``candidates`` is a fixed array; ``model`` maps a candidate struct (with the hit's columns in reach) to the
-    hit's contribution. Each task adds up its hits per (event, candidate) before the shuffle.
+    hit's contribution. Each task adds up its hits per (event, candidate) before the shuffle. ``event_model`` maps a candidate, with the
+    columns of ``events`` in reach, to what the event adds once; events without hits are scored by it alone.
     """
     h = hits.withColumn("_c", F.explode(candidates))
-    return h.select(*EVENT, F.col("_c.cand").alias("cand"), model(F.col("_c")).alias("_v")).groupBy(*EVENT, "cand").agg(F.sum("_v").alias(name))
+    scores = h.select(*EVENT, F.col("_c.cand").alias("cand"), model(F.col("_c")).alias("_v"))
+    if event_model is not None:
+        e = events.withColumn("_c", F.explode(candidates)).select(*EVENT, F.col("_c.cand").alias("cand"), event_model(F.col("_c")).alias("_v"))
+        scores = scores.unionByName(e)
+    return scores.groupBy(*EVENT, "cand").agg(F.sum("_v").alias(name))
 
 
 def best_candidate(scores: DataFrame, name: str = "score") -> DataFrame:

@@ -69,7 +69,7 @@ lt AS (SELECT l1.run, l1.event, l1.cable, eta * acc / acc0 AS alpha FROM l1 JOIN
 
 @query("light_sums", LIGHT + " SELECT run, event, count(*) AS n_live, round(sum(alpha), 6) AS alpha, round(sum(alpha), 6) AS alpha_q FROM lt GROUP BY run, event")
 def light_sums(spark, sf):
-    return rounded(E.light_sums(E.event_tubes(vertices(spark, sf), E.live_tubes(G.sensors(spark)))))
+    return rounded(E.light_sums(vertices(spark, sf), E.live_tubes(G.sensors(spark))).drop("eta_sum"))
 
 
 @query("charge_energy", LIGHT + """,
@@ -88,13 +88,27 @@ SELECT lt.run, lt.event, count(*) AS n_live, count(seen.cable) AS n_hit, round(s
 FROM lt LEFT JOIN seen ON lt.run = seen.run AND lt.event = seen.event AND lt.cable = seen.cable GROUP BY lt.run, lt.event""")
 def hit_pattern(spark, sf):
     p = E.hit_pattern(centre_residuals(spark, sf), vertices(spark, sf), E.live_tubes(G.sensors(spark)))
-    return rounded(p.groupBy(*EV).agg(F.count(F.lit(1)).alias("n_live"), F.count_if("hit").alias("n_hit"),
-                                      F.sum(F.when(F.col("hit"), F.col("alpha")).otherwise(0.0)).alias("alpha_hit")))
+    return rounded(p.select(*EV, "n_live", "n_hit", "alpha_hit"))
 
 
-@query("hit_energy")
+SLOPE = "list_sum(list_transform(h, lambda t: t.a * exp(-(t.a * {e} + t.d)) / greatest(1 - exp(-(t.a * {e} + t.d)), 1e-300))) - miss"
+
+
+@query("hit_energy", LIGHT.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+seen AS (SELECT DISTINCT run, event, cable FROM r WHERE res BETWEEN -15 AND 85),
+dh AS (SELECT run, event, count(*) FILTER (res BETWEEN -200 AND -40) * (100.0 / 160.0) AS dark_hits FROM r GROUP BY run, event),
+ev AS (SELECT lt.run, lt.event, count(*) AS n_live, count(seen.cable) AS n_hit, coalesce(sum(alpha) FILTER (seen.cable IS NULL), 0) AS miss,
+         list({{'a': alpha, 'd': coalesce(dark_hits, 0) / 1879}}) FILTER (seen.cable IS NOT NULL) AS h
+       FROM lt LEFT JOIN seen ON lt.run = seen.run AND lt.event = seen.event AND lt.cable = seen.cable LEFT JOIN dh ON dh.run = lt.run AND dh.event = lt.event GROUP BY lt.run, lt.event),
+up AS (SELECT run, event, h, miss, 1.0::DOUBLE AS hi FROM ev WHERE n_hit < n_live
+       UNION ALL SELECT run, event, h, miss, hi * 2 FROM up WHERE hi < 1e4 AND {SLOPE.format(e='hi')} > 0),
+bi AS (SELECT run, event, any_value(h) AS h, any_value(miss) AS miss, 0.0::DOUBLE AS lo, max(hi) AS hi, 0 AS k FROM up GROUP BY run, event
+       UNION ALL SELECT run, event, h, miss, CASE WHEN rise THEN mid ELSE lo END, CASE WHEN rise THEN hi ELSE mid END, k + 1
+       FROM (SELECT *, 0.5::DOUBLE * (lo + hi) AS mid, coalesce({SLOPE.format(e='(0.5::DOUBLE * (lo + hi))')}, -miss) > 0 AS rise FROM bi WHERE hi - lo >= 1e-4 AND k < 60)),
+root AS (SELECT run, event, arg_max(0.5::DOUBLE * (lo + hi), k) AS e FROM bi GROUP BY run, event)
+SELECT ev.run, ev.event, n_live, n_hit, round(CASE WHEN n_hit = n_live THEN 'inf'::DOUBLE ELSE e END, 6) AS e_hit FROM ev LEFT JOIN root ON root.run = ev.run AND root.event = ev.event""")
 def hit_energy(spark, sf):
-    return E.hit_energy(centre_residuals(spark, sf), vertices(spark, sf), E.live_tubes(G.sensors(spark)))
+    return rounded(E.hit_energy(centre_residuals(spark, sf), vertices(spark, sf), E.live_tubes(G.sensors(spark))))
 
 
 @query("energy_scale", f"""{views.with_views('trig')}, {source_peak_sql('nhit')},
@@ -167,6 +181,28 @@ def score_candidates(spark, sf):
     return rounded(L.best_candidate(L.score_candidates(h, L.local_grid(50.0, 1), _model)))
 
 
+@query("poisson_candidates", FIT + f""",
+cand AS (SELECT a * 9 + b * 3 + c AS cand, (a - 1) * 50.0 AS ox, (b - 1) * 50.0 AS oy, (c - 1) * 50.0 AS oz
+  FROM (SELECT unnest(range(0, 3)) AS a), (SELECT unnest(range(0, 3)) AS b), (SELECT unnest(range(0, 3)) AS c)),
+pos AS (SELECT run, event, cand, x + ox AS x, y + oy AS y, z + oz AS z FROM vtx, cand),
+et AS (SELECT run, event, cand, cable, px, py, pz, px - x AS dx, py - y AS dy, pz - z AS dz FROM pos, sensor WHERE cable < 1879),
+l0 AS (SELECT cable, {ACC} AS acc0 FROM (SELECT cable, px, py, pz, px AS dx, py AS dy, pz AS dz FROM sensor)),
+m AS (SELECT et.run, et.event, cand, et.cable, 2.0 * CASE WHEN et.cable < 1325 THEN 0.220::DOUBLE ELSE 0.293::DOUBLE END * {ACC.replace('cable <', 'et.cable <')} / acc0 AS mu FROM et JOIN l0 ON l0.cable = et.cable),
+s AS (SELECT m.run, m.event, cand, sum(CASE WHEN fh.q IS NOT NULL THEN fh.q * ln(mu) ELSE 0 END - mu) AS s
+      FROM m LEFT JOIN fh ON fh.run = m.run AND fh.event = m.event AND fh.cable = m.cable GROUP BY m.run, m.event, cand)
+SELECT run, event, CAST(arg_max(cand, s) AS INTEGER) AS cand, round(max(s), 5) AS score FROM s GROUP BY run, event""")
+def poisson_candidates(spark, sf):
+    """Positions around the centroid by the Poisson likelihood of the charges at 2 MeV."""
+    tubes = E.packed_tubes(E.live_tubes(G.sensors(spark)))
+    v = vertices(spark, sf).crossJoin(F.broadcast(tubes))                # one row
+    at = lambda c: [F.col(k) + c[f"o{k}"] for k in "xyz"]
+    h = L.fit_hits(placed(spark, sf)).select(*EV, "cable", "q").join(v.select(*EV, "x", "y", "z", "tubes"), EV)
+    h = h.withColumn("tube", F.get("tubes", F.col("cable").cast("int"))).drop("tubes")
+    s = L.score_candidates(h, L.local_grid(50.0, 1), lambda c: E.poisson_hit(F.col("tube"), F.col("q"), F.lit(2.0), *at(c)),
+                           events=E.spread(v), event_model=lambda c: E.poisson_all(F.col("tubes"), F.lit(2.0), *at(c)))
+    return rounded(L.best_candidate(s), 5)
+
+
 @query("grid_likelihood")
 def grid_likelihood(spark, sf):
     res = centre_residuals(spark, sf)
