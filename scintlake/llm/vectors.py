@@ -193,7 +193,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.withColumn("joins", finite(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
     rows = stage(rows.withColumn("h1", F.when(F.col("joins"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("joins"), F.hash("v"))), "vectors")
-    classes = stage(rows.filter("joins").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
+    classes = stage(rows.filter("joins").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("v").alias("v"))
+                    .withColumn("node", F.col("h1")), "classes")
     distance = 2 - 2 * cosine
     placed = stage(classes.select("node", "weight", "v").mapInArrow(_placer(distance), SPOTS), "placed")
     dealt = tiles(placed.select("node", "dim", F.explode("spots").alias("s")).select("node", "dim", "s.*"))
@@ -209,9 +210,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     counts = (found.filter("kind = 0").select("a", "n").unionAll(open_pairs.select("a", F.col("yw").alias("n")))
               .unionAll(open_pairs.select(F.col("b").alias("a"), F.col("xw").alias("n"))).groupBy(F.col("a").alias("cn")).agg(F.sum("n").alias("others")))
     comp = components(found.filter("kind = 1").select("a", "b").unionAll(open_pairs.select("a", "b"))).withColumnRenamed("node", "kn")
-    named = (classes.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "node", "weight").join(counts, F.col("node") == F.col("cn"), "left")
-             .join(comp, F.col("node") == F.col("kn"), "left")
-             .select("n1", "n2", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    named = (classes.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "node", "weight", "least").join(counts, F.col("node") == F.col("cn"), "left")
+             .join(comp, F.col("node") == F.col("kn"), "left"))
+    # ids can be shared, so classes go by their hashes until here; a component is named by its least id
+    named = stage(named.select("n1", "n2", "least", "component", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "vector-classes")
+    names = named.filter("component is not null").groupBy(F.col("component").alias("nc")).agg(F.min("least").alias("name"))
+    named = named.join(names, F.col("component") == F.col("nc"), "left").select("n1", "n2", "n_links", F.coalesce("name", "least").alias("component_id"))
     return (rows.join(named, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")), "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id") == F.col("component_id")))
@@ -221,54 +225,58 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 CANDIDATES, QUERIES = 4096, 1024
 #: candidates that may be left for the exact scores
 LEFT = 48
-BEST = "query_id long, vec_id long, score long"
+#: the first stop comes after this share of every list
+FIRST = 8
+BEST = "query_id long, name long, vec_id long, score long"
 
 
-def _best(ids: np.ndarray, y: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score): the k best candidates of each query, ties to the smaller id."""
+def _best(ids: np.ndarray, y: np.ndarray, query_ids: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """(query, its name, candidate, score): the k best candidates of each query, ties to the smaller id."""
     n, dim = y.shape
-    order = np.argsort(y, axis=0, kind="stable").T                       # a list per coordinate, ascending
+    order = np.argsort(y, axis=0, kind="stable")                         # a list per coordinate, ascending
     place = np.empty((n, dim), dtype=np.int32)
-    np.put_along_axis(place, order.T, np.arange(n, dtype=np.int32)[:, None], axis=0)
-    values = np.take_along_axis(y.T, order, axis=1).astype(np.float64)
-    lists = np.concatenate((order, order[:, ::-1])).astype(np.int32)     # and the same from the other end
-    values = np.concatenate((values, values[:, ::-1]))
-    every = np.arange(dim)
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+    values = np.take_along_axis(y, order, axis=0).astype(np.float64)
+    dense = y.astype(np.float64)
     out = []
-    for qid, q in zip(query_ids, queries, strict=True):
+    for qid, name, q in zip(query_ids, names, queries, strict=True):
         others = ids != qid
         if not others.any():
             continue
-        used = every[q != 0]
-        down = q[used] > 0
-        rows = used + dim * down
-        given, names = values[rows] * q[used].astype(np.float64)[:, None], lists[rows]
-        worst = given[:, -1].copy()
-        # a candidate's lower bound is the worst of all lists, and what each list that it was met in adds to that
-        low, read, to = np.full(n, worst.sum()), 0, max(3 * n // 4, 1)
+        used = np.flatnonzero(q != 0)
+        down = q[used] > 0                                               # such lists are read from their largest value on
+        f = q[used].astype(np.float64)
+        gains = dense[:, used] * f
+        ends = values[:, used]
+        worst = np.where(down, ends[0], ends[-1]) * f
         reached = np.where(down, n - 1 - place[:, used], place[:, used])
+        gains -= worst
+        to = min(max(n // FIRST, k), n)
         while True:
-            low += np.bincount(names[:, read:to].ravel(), weights=(given[:, read:to] - worst[:, None]).ravel(), minlength=n)
-            rest = given[:, to - 1] - worst
-            high = low + rest.sum() - (reached < to).astype(np.float64) @ rest
+            # a candidate's lower bound is the worst of all lists, and what each list that it was met in adds to that
+            rest = np.where(down, ends[n - to], ends[to - 1]) * f - worst
+            met = reached < to
+            low = np.einsum("ij,ij->i", gains, met) + worst.sum()
+            high = low + rest.sum() - met @ rest
             bound = low[others]
             kth = np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) > k else -np.inf
             left = np.flatnonzero(others & (high >= kth - 1e-9 * (1 + abs(kth)))) if np.isfinite(kth) else np.flatnonzero(others)
             if len(left) <= max(LEFT, k) or to == n:
                 break
-            read, to = to, n - (n - to) // 2 if n - to > 32 else n
+            # at first twice as far, then half of what is left
+            to = min(2 * to, n - (n - to) // 2) if n - to > 32 else n
         score = y[left] @ q
         for r in np.lexsort((ids[left], -score))[:k]:
-            out.append((int(qid), int(ids[left[r]]), int(score[r])))
+            out.append((int(qid), int(name), int(ids[left[r]]), int(score[r])))
     return out
 
 
 def _searcher(k: int):
     def search(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
-        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks())
-        rows = _best(ids[~query], v[~query], ids[query], v[query], k) if query.any() and not query.all() else []
-        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+        ids, names, v = table.column("vec_id").to_numpy(), table.column("name").to_numpy(), _matrix(table.column("v").combine_chunks())
+        rows = _best(ids[~query], v[~query], ids[query], names[query], v[query], k) if query.any() and not query.all() else []
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("query_id", "name", "vec_id", "score"))})
     return search
 
 
@@ -276,18 +284,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     """query_id, rank, vec_id, score: the k highest integer inner products of every query, ties to the smaller id.
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by ``every``; candidates are all rows
-    of other ids and the same length. Scores must fit a long.
+    of other ids and the same length. Query rows that share an id have a list each. Scores must fit a long.
     """
     x = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(finite(F.col("x")) & F.col("vec_id").isNotNull())
     rows = stage(rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v")).withColumn("dim", F.size("v")), "scaled")
+    is_query = F.col("vec_id") % every == 0
     counts = rows.groupBy(F.col("dim").alias("d")).agg(F.ceil(F.count("*") / CANDIDATES).cast("int").alias("cs"),
-                                                       F.greatest(F.ceil(F.count(F.when(F.col("vec_id") % every == 0, 1)) / QUERIES), F.lit(1)).cast("int").alias("qs"))
-    at = rows.join(counts, F.col("dim") == F.col("d"))
+                                                       F.greatest(F.ceil(F.count(F.when(is_query, 1)) / QUERIES), F.lit(1)).cast("int").alias("qs"))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    candidates = at.select("dim", dealt(F.col("cs")).alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(False).alias("query"), "vec_id", "v")
-    queries = at.filter(F.col("vec_id") % every == 0).select(
-        "dim", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), dealt(F.col("qs")).alias("q"), F.lit(True).alias("query"), "vec_id", "v")
-    best = candidates.unionAll(queries).groupBy("dim", "c", "q").applyInArrow(_searcher(k), BEST)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    candidates = rows.join(counts, F.col("dim") == F.col("d")).select(
+        "dim", dealt(F.col("cs")).alias("c"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), F.lit(False).alias("query"), "vec_id", F.lit(0).cast("long").alias("name"), "v")
+    # equal query rows are searched once and listed as often as they stand there
+    own = rows.filter(is_query).groupBy("dim", "vec_id", F.xxhash64("v").alias("name")).agg(F.first("v").alias("v"), F.count("*").alias("times"))
+    queries = own.join(counts, F.col("dim") == F.col("d")).select(
+        "dim", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), dealt(F.col("qs")).alias("q"), F.lit(True).alias("query"), "vec_id", "name", "v")
+    # a tile is few bytes and much work, so tiles are dealt to a stated number of tasks
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = candidates.unionAll(queries).repartition(tasks, "dim", "c", "q").groupBy("dim", "c", "q").applyInArrow(_searcher(k), BEST)
+    order = W.partitionBy("query_id", "name").orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    times = own.select(F.col("vec_id").alias("t_id"), F.col("name").alias("t_name"), "times")
+    return (ranked.join(times, (F.col("query_id") == F.col("t_id")) & (F.col("name") == F.col("t_name")))
+            .select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col"))
