@@ -225,49 +225,62 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 CANDIDATES, QUERIES = 4096, 1024
 #: candidates that may be left for the exact scores
 LEFT = 48
-#: the first stop comes after this share of every list
-FIRST = 8
+#: the first stop comes after this part of every list
+FIRST = 4
 BEST = "query_id long, name long, vec_id long, score long"
 
 
+def _stops(n: int, k: int) -> Iterator[int]:
+    """How far the lists are read: a share of them, then half of what is left again and again, at last all."""
+    to = min(max(n // FIRST, k), n)
+    while to < n:
+        yield to
+        to = n - (n - to) // 2 if n - to > 32 else n
+    yield n
+
+
 def _best(ids: np.ndarray, y: np.ndarray, query_ids: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
-    """(query, its name, candidate, score): the k best candidates of each query, ties to the smaller id."""
-    n, dim = y.shape
+    """(query, its name, candidate, score): the k best candidates of each query, ties to the smaller id.
+
+    Lists of positive coordinates of a query are read from their largest value on, the others from their smallest. What either reading has met
+    so far is the same for all queries, so their bounds at a stop are matrix products.
+    """
+    n = len(y)
     order = np.argsort(y, axis=0, kind="stable")                         # a list per coordinate, ascending
-    place = np.empty((n, dim), dtype=np.int32)
+    place = np.empty(y.shape, dtype=np.int32)
     np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
     values = np.take_along_axis(y, order, axis=0).astype(np.float64)
-    dense = y.astype(np.float64)
+    dense, f = y.astype(np.float64), queries.astype(np.float64)
+    plus, minus = np.maximum(f, 0), np.minimum(f, 0)
+    worst_plus, worst_minus = plus * values[0], minus * values[-1]
     out = []
-    for qid, name, q in zip(query_ids, names, queries, strict=True):
-        others = ids != qid
-        if not others.any():
-            continue
-        used = np.flatnonzero(q != 0)
-        down = q[used] > 0                                               # such lists are read from their largest value on
-        f = q[used].astype(np.float64)
-        gains = dense[:, used] * f
-        ends = values[:, used]
-        worst = np.where(down, ends[0], ends[-1]) * f
-        reached = np.where(down, n - 1 - place[:, used], place[:, used])
-        gains -= worst
-        to = min(max(n // FIRST, k), n)
-        while True:
-            # a candidate's lower bound is the worst of all lists, and what each list that it was met in adds to that
-            rest = np.where(down, ends[n - to], ends[to - 1]) * f - worst
-            met = reached < to
-            low = np.einsum("ij,ij->i", gains, met) + worst.sum()
-            high = low + rest.sum() - met @ rest
-            bound = low[others]
-            kth = np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) > k else -np.inf
-            left = np.flatnonzero(others & (high >= kth - 1e-9 * (1 + abs(kth)))) if np.isfinite(kth) else np.flatnonzero(others)
-            if len(left) <= max(LEFT, k) or to == n:
-                break
-            # at first twice as far, then half of what is left
-            to = min(2 * to, n - (n - to) // 2) if n - to > 32 else n
-        score = y[left] @ q
-        for r in np.lexsort((ids[left], -score))[:k]:
-            out.append((int(qid), int(name), int(ids[left[r]]), int(score[r])))
+    active = np.arange(len(queries))
+    for to in _stops(n, k):
+        top, bottom = (place >= n - to).astype(np.float64).T, (place < to).astype(np.float64).T
+        dense_top, dense_bottom = dense.T * top, dense.T * bottom
+        last_plus, last_minus = plus * values[n - to], minus * values[to - 1]
+        still = []
+        for s in range(0, len(active), STRIP):
+            a = active[s:s + STRIP]
+            got = plus[a] @ dense_top + minus[a] @ dense_bottom
+            # a list that hasn't met a candidate adds its worst value to the lower bound, the last one read to the upper
+            low = got - worst_plus[a] @ top - worst_minus[a] @ bottom + (worst_plus[a] + worst_minus[a]).sum(axis=1)[:, None]
+            high = got - last_plus[a] @ top - last_minus[a] @ bottom + (last_plus[a] + last_minus[a]).sum(axis=1)[:, None]
+            same = ids[None, :] == query_ids[a][:, None]
+            low[same], high[same] = -np.inf, -np.inf
+            kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(a), -np.inf)
+            slack = np.where(np.isfinite(kth), 1e-9 * (1 + np.abs(kth)), 0)
+            can = (high >= (kth - slack)[:, None]) & ~same
+            done = (can.sum(axis=1) <= max(LEFT, k)) | (to == n)
+            still.append(a[~done])
+            for i in np.flatnonzero(done):
+                left = np.flatnonzero(can[i])
+                score = y[left] @ queries[a[i]]
+                for r in np.lexsort((ids[left], -score))[:k]:
+                    out.append((int(query_ids[a[i]]), int(names[a[i]]), int(ids[left[r]]), int(score[r])))
+        active = np.concatenate(still) if still else active[:0]
+        if not len(active):
+            break
     return out
 
 
