@@ -226,16 +226,16 @@ CANDIDATES, QUERIES = 4096, 1024
 #: candidates that may be left for the exact scores
 LEFT = 48
 #: the first stop comes after this part of every list
-FIRST = 4
+FIRST = 2
 BEST = "query_id long, name long, vec_id long, score long"
 
 
 def _stops(n: int, k: int) -> Iterator[int]:
-    """How far the lists are read: a share of them, then half of what is left again and again, at last all."""
+    """How far the lists are read: a share of them, then three quarters of what is left again and again, at last all."""
     to = min(max(n // FIRST, k), n)
     while to < n:
         yield to
-        to = n - (n - to) // 2 if n - to > 32 else n
+        to = n - (n - to) // 4 if n - to > 32 else n
     yield n
 
 
