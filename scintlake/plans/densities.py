@@ -99,15 +99,20 @@ def density_lookup(spark, sf):
                                                  F.sum("dlogp").alias("dlogp"), F.sum("d2logp").alias("d2logp")), 5)
 
 
-@query("speed_cells", f"""{BASE},
+#: residuals against a source on the axis, by light speeds 17 and 19 cm/ns
+AXIS_SQL = f"""{BASE},
 h0 AS (SELECT p.*, px, py, pz, CAST(p.run * 150 - 500 AS DOUBLE) AS z0 FROM prim p JOIN sensor s ON s.cable = p.cable WHERE p.cable < 1879 AND t IS NOT NULL AND q >= 0.3),
 h1 AS (SELECT *, sqrt(px * px + py * py + (pz - z0) * (pz - z0)) AS d FROM h0),
 h2 AS (SELECT *, ((pz - z0) * z0) / greatest(d, 1e-6::DOUBLE) AS ur FROM h1),
 h3 AS (SELECT *, least(greatest(sqrt(greatest(ur * ur - (z0 * z0 - 422500.0::DOUBLE), 0)) - ur, 0), d) AS d_ls FROM h2),
 r_tau AS (SELECT *, d - d_ls AS d_bo, t - d_ls / 17.0::DOUBLE - (d - d_ls) / 19.0::DOUBLE AS tau FROM h3),
 {P.event_time('r_t', 'r_tau', 'run, event')},
-r AS (SELECT h.*, CAST(floor(d_ls / 50) AS BIGINT) AS i_ls, CAST(floor(d_bo / 50) AS BIGINT) AS i_bo, h.tau - t.t_event AS res FROM r_tau h JOIN r_t t ON h.run = t.run AND h.event = t.event WHERE h.cable < 1325),
-{P.mode('m', 'r', 'i_ls, i_bo', 'res', 0.5, 5, 100)}
+r AS (SELECT h.*, CAST(floor(d_ls / 50) AS BIGINT) AS i_ls, CAST(floor(d_bo / 50) AS BIGINT) AS i_bo, h.tau - t.t_event AS res FROM r_tau h JOIN r_t t ON h.run = t.run AND h.event = t.event)"""
+
+
+@query("speed_cells", AXIS_SQL + f""",
+r17 AS (SELECT * FROM r WHERE cable < 1325),
+{P.mode('m', 'r17', 'i_ls, i_bo', 'res', 0.5, 5, 100)}
 SELECT i_ls, i_bo, n, round(mode, 6) AS mode, (i_ls + 0.5) * 50 AS x1, (i_bo + 0.5) * 50 AS x2 FROM m""")
 def speed_cells(spark, sf):
     return rounded(U.speed_cells(axis_residuals(spark, sf), 50.0, 100))
@@ -127,19 +132,54 @@ def survey_table(spark, sf, min_hits=5):
     return U.survey_positions(rows)
 
 
-@query("survey")
+def _survey_sql() -> str:
+    """The survey by Gauss-Jordan elimination of [matrix | right side | unit matrix], one CTE per step."""
+    sym = [(a, b) for a in range(4) for b in range(a, 4)]
+    w = {"a": "n * ", "g": ""}
+    sums = ", ".join(f"sum({w[k]}j{a} * j{b}) AS {k}{a}{b}" for k in "ag" for a, b in sym)
+    sums += ", " + ", ".join(f"sum({v}j{a} * mode) AS {k}{a}" for k, v in (("b", "n * "), ("h", "")) for a in range(4))
+    at = lambda k, a, b: f"{k}{min(a, b)}{max(a, b)}"
+    out = f"""{AXIS_SQL},
+{P.mode('m', 'r', 'run, cable', 'res', 0.5, 5, 5)},
+g0 AS (SELECT m.*, px, py, pz, CAST(m.run * 150 - 500 AS DOUBLE) AS z0 FROM m JOIN sensor s ON s.cable = m.cable),
+g1 AS (SELECT *, sqrt(px * px + py * py + (pz - z0) * (pz - z0)) AS d FROM g0),
+g2 AS (SELECT *, ((pz - z0) * z0) / greatest(d, 1e-6::DOUBLE) AS ur FROM g1),
+g3 AS (SELECT *, CASE WHEN z0 * z0 >= 422500 THEN 0 ELSE least(greatest(sqrt(greatest(ur * ur - (z0 * z0 - 422500.0::DOUBLE), 0)) - ur, 0), d) END AS d_ls FROM g2),
+g4 AS (SELECT cable, n::DOUBLE AS n, mode, 1.0::DOUBLE AS j0, (px - 0) * s AS j1, (py - 0) * s AS j2, (pz - z0) * s AS j3 FROM (SELECT *, (d_ls / 17.0 + (d - d_ls) / 19.0) / (d * d) AS s FROM g3)),
+sm AS (SELECT cable, count(*) AS nrun, {sums}, sum(n * mode * mode) AS yy, sum(mode * mode) AS hh FROM g4 GROUP BY cable HAVING count(*) >= 4),
+e0 AS (SELECT cable, a00 / nrun AS wm, {', '.join(f"{at('a', a, b)} / (a00 / nrun){' + 1.0 / 900' if a == b > 0 else ''} AS m{a}{b}" for a in range(4) for b in range(4))},
+  {', '.join(f"b{a} / (a00 / nrun) AS m{a}4" for a in range(4))}, {', '.join(f"{float(a == b)}::DOUBLE AS m{a}{5 + b}" for a in range(4) for b in range(4))} FROM sm)"""
+    for k in range(4):
+        row = lambda a, c: f"m{k}{c} / m{k}{k}" if a == k else f"m{a}{c} - m{a}{k} * m{k}{c} / m{k}{k}"
+        out += f",\ne{k + 1} AS (SELECT cable, wm, {', '.join(f'{row(a, c)} AS m{a}{c}' for a in range(4) for c in range(9))} FROM e{k})"
+    quad = lambda t, k, r: (f"greatest({t} - 2 * ({' + '.join(f'm{a}4 * {r}{a}' for a in range(4))}) + "
+                            f"{' + '.join(f'm{a}4 * {at(k, a, b)} * m{b}4' for a in range(4) for b in range(4))}, 0)")
+    return out + f""",
+ch AS (SELECT sm.cable, nrun, m04, m14, m24, m34, m05, m16, m27, m38, greatest({quad('yy', 'a', 'b')} / greatest(nrun - 4, 1) / wm, 1e-6) AS s2, sqrt({quad('hh', 'g', 'h')} / nrun) AS rms
+  FROM sm JOIN e4 ON e4.cable = sm.cable),
+sv AS (SELECT cable, nrun, m04 AS dt, m14 AS dx, m24 AS dy, m34 AS dz, sqrt(m05 * s2) AS err_t, sqrt(m16 * s2) AS err_x, sqrt(m27 * s2) AS err_y, sqrt(m38 * s2) AS err_z, rms FROM ch)"""
+
+
+SURVEY_SQL = _survey_sql()
+
+
+@query("survey", SURVEY_SQL + " SELECT cable, nrun, " + ", ".join(f"round({c}, 4) AS {c}" for c in "dt dx dy dz err_t err_x err_y err_z rms".split()) + " FROM sv")
 def survey(spark, sf):
-    return survey_table(spark, sf)
+    return rounded(survey_table(spark, sf), 4)
 
 
-@query("survey_profile")
+@query("survey_profile", SURVEY_SQL + """,
+dr AS (SELECT (dx * px + dy * py + dz * pz) / sqrt(px * px + py * py + pz * pz) AS dr, least(greatest(floor((pz / sqrt(px * px + py * py + pz * pz) + 1) / (2.0 / 12)), 0), 11) AS b FROM sv JOIN sensor s ON s.cable = sv.cable)
+SELECT CAST(b AS BIGINT) AS bin, round(-1 + (b + 0.5) * (2.0 / 12), 6) AS centre, count(*) AS n, round(avg(dr), 4) AS mean, round(stddev_pop(dr) / sqrt(count(*)), 4) AS err, round(stddev_pop(dr), 4) AS rms
+FROM dr GROUP BY b HAVING count(*) >= 5""")
 def survey_profile(spark, sf):
-    return U.deformation_profile(survey_table(spark, sf), G.sensors(spark))
+    return rounded(U.deformation_profile(survey_table(spark, sf), G.sensors(spark)), 4, centre=6)
 
 
-@query("survey_scatter")
+@query("survey_scatter", SURVEY_SQL + """, x AS (SELECT count(*) AS n, avg(dz) AS mean, stddev_pop(dz) AS rms, median(err_z) AS median_err FROM sv)
+SELECT n, round(mean, 4) AS mean, round(rms, 4) AS rms, round(median_err, 4) AS median_err, round(sqrt(greatest(rms * rms - median_err * median_err, 0)), 4) AS excess FROM x""")
 def survey_scatter(spark, sf):
-    return U.excess_scatter(survey_table(spark, sf), F.col("dz"), F.col("err_z"))
+    return rounded(U.excess_scatter(survey_table(spark, sf), F.col("dz"), F.col("err_z")), 4)
 
 
 @query("profile_costheta", f"""{BASE}, {P.residuals('r', 'prim')},
