@@ -97,7 +97,7 @@ def muon_totals(muon_hits: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def coincidence(hits: DataFrame, window: float = 200.0, keys: list[str] | None = None, name: str = "n200") -> DataFrame:
-    """Largest number of outer hits of an event inside any ``window`` ns (A15); 0 when there is none."""
+    """Largest number of outer hits of an event inside any ``window`` ns (A15); events without timed outer hits have no row."""
     keys = keys or EVENT
     od = hits.where((F.col("cable") >= K.N_ID) & F.col("t").isNotNull()).select(*keys, "t")
     n = count_within(od, keys, "t", window).groupBy(*keys).agg(F.max("n_within").alias(name))

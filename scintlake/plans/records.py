@@ -8,6 +8,7 @@ from .. import views
 from ..functions import text as X
 from ..functions import trigger as T
 from ..operators import hits as H
+from ..session import stage
 from ..sources import tables as TB
 from ..sources import text as TX
 from .registry import query, rounded
@@ -120,3 +121,16 @@ def packed_events(spark, sf):
     p = H.pack_hits(H.primary_hits(views.showers(spark, sf)), ["t", "q"])
     return p.select("run", "event", F.size("hits").alias("n"), F.get("hits", F.lit(0))["q"].alias("first_q"),
                     F.element_at("hits", -1)["q"].alias("last_q"))
+
+
+def cached_hits(spark, sf):
+    """The hit cache by run, joined to a table of selected runs: only the directories of these runs are read."""
+    cache = stage(views.hits(spark, sf), "hit-cache", ("run",))
+    chosen = views.table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("run"), F.col("n_name").alias("shift"))
+    return cache.join(chosen, "run")
+
+
+@query("cache_hits", f"""{views.with_views('hits')} SELECT run, n_name AS shift, event, count(*) AS n, round(sum(q), 6) AS q
+FROM hits JOIN nation ON n_nationkey = run WHERE n_regionkey = 1 GROUP BY run, n_name, event""")
+def cache_hits(spark, sf):
+    return rounded(cached_hits(spark, sf).groupBy("run", "shift", "event").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q")))

@@ -25,12 +25,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0, **special: int) -> DataFrame:
-    """Round every floating column, so that a different summation order cannot change the result.
-
-    ``nudge`` shifts the values before rounding where exact halves of the last digit are common (short decimals).
-    """
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    """Round every floating column, so that a different summation order cannot change the result."""
     return df.select(*[
-        (F.round(F.col(f.name) + nudge, special.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f.name), special.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
         if f.dataType.typeName() in ("double", "float") else F.col(f.name)
         for f in df.schema.fields])

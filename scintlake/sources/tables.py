@@ -32,14 +32,20 @@ def load_frames(spark: SparkSession, root: str, runs: int | list[int] | None = N
         raise FileNotFoundError(f"no frames for {runs} below {root}")
     if columns is not None:
         df = df.select(*columns)
+    return _in_order(df) if ordered else df
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Sorted by (run, timestamp) with the remaining key columns as ties, where both are there."""
     ties = [c for c in ("file", "index", "event") if c in df.columns]
-    return df.orderBy("run", "ts", *ties) if ordered and {"run", "ts"} <= set(df.columns) else df
+    return df.orderBy("run", "ts", *ties) if {"run", "ts"} <= set(df.columns) else df
 
 
-def load_patterns(spark: SparkSession, patterns: str | list[str], columns: list[str] | None = None) -> DataFrame:
-    """Frames of one or several path patterns, each file once."""
+def load_patterns(spark: SparkSession, patterns: str | list[str], columns: list[str] | None = None, ordered: bool = True) -> DataFrame:
+    """Frames of one or several path patterns, each file once, in the order of ``load_frames``."""
     df = spark.read.parquet(*sorted({patterns} if isinstance(patterns, str) else set(patterns)))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return _in_order(df) if ordered else df
 
 
 def with_file_number(df: DataFrame, name: str = "file") -> DataFrame:
