@@ -246,8 +246,16 @@ def hist2d(spark, sf):
     return B.hist2d(views.trig(spark, sf), [], F.col("q17"), F.col("nhit"), (0.0, 10.0, 40), (0.0, 5.0, 30))
 
 
+@query("arrival_quantiles", f"""{views.with_views('trig')}, tm AS (SELECT run, ts / 40.0 / 1e6 AS sec FROM trig), {P.quantiles('q', 'tm', 'run', 'sec', dict(p10=.1, median=.5, p90=.9))}
+SELECT run, n, round(p10, 4) AS p10, round(median, 4) AS median, round(p90, 4) AS p90 FROM q""")
+def arrival_quantiles(spark, sf):
+    """Arrival times of a run in seconds since 1970, which share few relative buckets; a double holds seven digits of a second there."""
+    t = views.trig(spark, sf).select("run", (F.col("ts") / 40.0 / 1e6).alias("sec"))
+    return rounded(Q.exact_quantiles(t, ["run"], F.col("sec"), {"p10": .1, "median": .5, "p90": .9}), 4)
+
+
 @query("grouped_quantiles", f"""{views.with_views('hits')}, {P.quantiles('q', 'hits', 'cable', 't', dict(p01=.01, p15=.15, median=.5, p99=.99))}
-SELECT cable, n, round(p01, 6) AS p01, round(p15, 6) AS p15, round(median, 6) AS median, round(p99, 6) AS p99 FROM q""")
+SELECT cable, n, round(p01, 6) AS p01, round(p15, 6) AS p15, round(median, 4) AS median, round(p99, 6) AS p99 FROM q""")
 def grouped_quantiles(spark, sf):
     return rounded(Q.exact_quantiles(views.hits(spark, sf), ["cable"], F.col("t"), {"p01": .01, "p15": .15, "median": .5, "p99": .99}))
 

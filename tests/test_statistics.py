@@ -32,6 +32,20 @@ def test_exact_quantiles(spark):
         assert np.allclose(got.loc[g, ["a", "m", "b"]].astype(float), np.percentile(v, [1, 50, 99]))
 
 
+@pytest.mark.parametrize("kind", ["day of seconds", "burst and one late"])
+def test_quantiles_of_narrow_ranges(spark, kind):
+    """Times since 1970 fall in one relative bucket; it is split until few values are left to sort."""
+    rng = np.random.default_rng(4)
+    t = 1.7e9 + (np.round(rng.random(40_000) * 86_400, 3) if kind == "day of seconds" else np.append(rng.random(40_000), 600_000.0))
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "x": t}))
+    counts, probs = Q.value_counts(df, ["g"], F.col("x")), {"a": .01, "m": .5, "b": .9}
+    assert df.select(Q._bucket(F.col("x"))).distinct().count() == 1
+    left = Q.located(counts, ["g"], probs).groupBy("_b1", "_b2").count().agg(F.max("count")).first()[0]
+    assert left <= 2 * Q.FULL
+    got = Q.counted_quantiles(counts, ["g"], probs).first()
+    assert np.allclose([got.a, got.m, got.b], np.percentile(t, [1, 50, 90]), rtol=0, atol=1e-6)
+
+
 def test_robust_sigma(spark):
     pdf = grouped(1)
     got = Q.robust_sigma(to_spark(spark, pdf), ["g"], F.col("x")).toPandas().set_index("g")
