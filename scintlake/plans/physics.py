@@ -9,6 +9,7 @@ from ..functions import constants as K
 from ..functions import geometry as G
 from ..functions import tracks as T
 from ..operators import calib as C
+from ..operators import custom as Y
 from ..operators import energy as E
 from ..operators import fits as X
 from ..operators import hits as H
@@ -49,6 +50,22 @@ def centroid(spark, sf):
     return rounded(vertices(spark, sf))
 
 
+@query("custom_localiser", FIT + " SELECT run, event, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM vtx")
+def custom_localiser(spark, sf):
+    """A localiser of a user's own, called from SQL by its name."""
+    Y.register(spark, "charge_centroid", Y.ChargeCentroid)
+    hits = L.fit_hits(placed(spark, sf)).select(*EV, "q", "px", "py", "pz")
+    return rounded(Y.estimates(hits, "charge_centroid", Y.ChargeCentroid))
+
+
+@query("custom_channel", f"""{views.with_views('hits')}
+SELECT cable, count(*) AS n, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS sigma FROM hits WHERE q IS NOT NULL GROUP BY cable""")
+def custom_channel(spark, sf):
+    """A channel estimator of a user's own: a channel's rows are folded in 16 parts, whose states are merged."""
+    Y.register(spark, "channel_moments", Y.Moments)
+    return rounded(Y.estimates(views.hits(spark, sf).select("cable", "event", "q"), "channel_moments", Y.Moments, 16, "event"))
+
+
 @query("derived_coordinates", FIT + """ SELECT run, event, round(sqrt(x*x+y*y+z*z), 6) AS r, round(sqrt(x*x+y*y), 6) AS rho, round(degrees(atan2(y, x)), 6) AS phi,
   round(z / sqrt(x*x+y*y+z*z), 6) AS cost, round(degrees(acos(z / sqrt(x*x+y*y+z*z))), 6) AS theta, round((x*x+y*y) / 422500.0, 9) AS rho2 FROM vtx""")
 def derived_coordinates(spark, sf):
