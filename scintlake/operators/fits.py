@@ -1,13 +1,14 @@
 """Fits to small histograms: exponential plus flat, and Gaussian peak plus flat (A32, A33, C20, C21, UD3).
 
-Spark counts; a fit sees the bins of one group only (a few hundred numbers).
+Spark counts. The exponential is fitted by column expressions in one row per group and lifetime; the peak sees the bins of
+one group only (a few hundred numbers).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hist import edge_count, uniform_bin
@@ -18,58 +19,77 @@ def _bins(df: DataFrame, keys: list[str], b: Column) -> DataFrame:
 
 
 # ---- exponential plus flat -----------------------------------------------------------------------------------------
-def decay_profile(y: np.ndarray, c: np.ndarray, taus: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best amplitude, background and -lnL for every lifetime of the grid at once.
+#: rounds of reweighting, and the least amplitude and background
+ROUNDS, LEAST = 60, 1e-6
 
-    For a fixed lifetime the model is linear in both, so the Poisson maximum is reached by reweighting: each round is a
-    weighted linear regression with the variances of the last round's expectation. A bound that is hit fixes its term.
+
+def _expected(a: Column, b: Column, e: Column) -> Column:
+    return F.greatest(a * e + b, F.lit(1e-9))
+
+
+def _round(now: Column) -> Column:
+    """One round for a row with shape ``_e`` and counts ``_y``: weighted linear regression of the counts on shape and constant.
+
+    The weights are the inverse of the last round's expectation, which leads to the Poisson maximum. A bound that is hit
+    fixes its term and leaves the other one.
     """
-    shape = np.stack([np.exp(-c / taus[:, None]), np.ones((len(taus), len(c)))], axis=1)       # lifetime, term, bin
-    coef = np.full((len(taus), 2), max(float(y.mean()), 1e-3))
-    least = 1e-6
-    for _ in range(200):
-        mu = np.maximum(np.einsum("lt,ltb->lb", coef, shape), 1e-9)
-        weighted = shape / mu[:, None, :]
-        normal = np.einsum("ltb,lsb->lts", weighted, shape)
-        right = weighted @ y
-        det = normal[:, 0, 0] * normal[:, 1, 1] - normal[:, 0, 1] ** 2
-        both = np.stack([normal[:, 1, 1] * right[:, 0] - normal[:, 0, 1] * right[:, 1],
-                         normal[:, 0, 0] * right[:, 1] - normal[:, 0, 1] * right[:, 0]], axis=1) / np.where(det > 0, det, 1.0)[:, None]
-        for k in (0, 1):
-            alone = (right[:, 1 - k] - normal[:, 0, 1] * least) / normal[:, 1 - k, 1 - k]
-            low = both[:, k] < least
-            both[low, k], both[low, 1 - k] = least, np.maximum(alone[low], least)
-        step = np.abs(both - coef).max()
-        coef = both
-        if step < 1e-9 * (1 + np.abs(coef).max()):
-            break
-    mu = np.maximum(np.einsum("lt,ltb->lb", coef, shape), 1e-9)
-    return coef[:, 0], coef[:, 1], (mu - y * np.log(mu)).sum(axis=1)
+    sums = ("aa", "ab", "bb", "ya", "yb")
 
+    def add(s: Column, x: Column) -> Column:
+        e, y = x["_e"], x["_y"]
+        mu = _expected(now["a"], now["b"], e)
+        return F.struct(*[(s[k] + v / mu).alias(k) for k, v in zip(sums, (e * e, e, F.lit(1.0), e * y, y), strict=True)])
 
-def decay_fit(df: DataFrame, keys: list[str], dt: Column, dt_min: float, window: float, width: float = 20.0,
-              taus: tuple = (50.0, 600.0, 1.0)) -> DataFrame:
-    """Lifetime, amplitude and background of A exp(-dt/tau) + B per group."""
-    nb = edge_count(dt_min, window + 1e-6, width) - 1
-    grid = np.arange(*taus)
+    def solve(s: Column) -> Column:
+        det = s["aa"] * s["bb"] - s["ab"] * s["ab"]
+        det = F.when(det > 0, det).otherwise(1.0)
+        a = (s["bb"] * s["ya"] - s["ab"] * s["yb"]) / det
+        b = (s["aa"] * s["yb"] - s["ab"] * s["ya"]) / det
+        only_a, only_b = (s["ya"] - s["ab"] * LEAST) / s["aa"], (s["yb"] - s["ab"] * LEAST) / s["bb"]
+        low = F.lit(LEAST)
+        return (F.when(a < LEAST, F.struct(low.alias("a"), F.greatest(only_b, low).alias("b")))
+                .when(b < LEAST, F.struct(F.greatest(only_a, low).alias("a"), low.alias("b")))
+                .otherwise(F.struct(a.alias("a"), b.alias("b"))))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.zeros(nb)
-        y[pdf["bin"].to_numpy()] = pdf["n"]
-        c = dt_min + width * (np.arange(nb) + 0.5)
-        a, b, nll = decay_profile(y, c, grid)
-        k = int(nll.argmin())
-        inside = grid[nll <= nll[k] + 0.5]
-        err = 0.5 * (inside.max() - inside.min()) if len(inside) > 1 else None
-        row = {n: pdf[n].iloc[0] for n in keys} | {
-            "n": int(y.sum()), "tau": grid[k], "tau_err": err, "a": a[k], "b": b[k],
-            "n_signal": float((a[k] * np.exp(-c / grid[k])).sum()), "n_background": float(b[k] * nb), "nll": nll[k]}
-        return pd.DataFrame([row])
+    return F.aggregate(F.arrays_zip("_e", "_y"), F.struct(*[F.lit(0.0).alias(k) for k in sums]), add, solve)
+
+
+def decay_fit(df: DataFrame, keys: list[str], dt: Column, dt_min: float, window: float, width: float = 20.0,
+              taus: tuple = (50.0, 600.0, 1.0), tasks: int = 32) -> DataFrame:
+    """Lifetime, amplitude and background of A exp(-dt/tau) + B per group.
 
+    A group is its bins, and every lifetime of the grid a row of its own, dealt over ``tasks``: the fit is a fold over
+    ``ROUNDS`` rounds inside that row. The lifetime's error is half the width of the range within 0.5 of the best -lnL.
+    """
+    nb = edge_count(dt_min, window + 1e-6, width) - 1
+    grid = np.arange(*taus).tolist()
     h = _bins(df, keys, uniform_bin(dt, dt_min, width, nb))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in h.schema.fields if f.name in keys)
-    return h.groupBy(*keys).applyInPandas(
-        fit, f"{types}, n long, tau double, tau_err double, a double, b double, n_signal double, n_background double, nll double")
+    y = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    bins = F.sequence(F.lit(0), F.lit(nb - 1))
+    rows = (
+        h.groupBy(*keys).agg(y.alias("_m"), F.sum("n").alias("n"))
+        .select(*keys, "n", F.transform(bins, lambda k: F.coalesce(F.element_at("_m", k.cast("long")), F.lit(0)).cast("double")).alias("_y"),
+                F.explode(F.array(*[F.lit(t) for t in grid])).alias("tau"))
+        .repartition(tasks, *keys, "tau")
+        .withColumn("_e", F.transform(bins, lambda k: F.exp(-(dt_min + width * (k + 0.5)) / F.col("tau"))))
+    )
+    level = F.greatest(F.col("n") / nb, F.lit(1e-3))
+    fit = rows.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(level.alias("a"), level.alias("b")), lambda now, _: _round(now)))
+
+    def cost(s: Column, x: Column) -> Column:
+        mu = _expected(F.col("_f.a"), F.col("_f.b"), x["_e"])
+        return s + mu - x["_y"] * F.log(mu)
+
+    shape = F.aggregate("_e", F.lit(0.0), lambda s, e: s + e)
+    fit = fit.select(*keys, "n", "tau", F.col("_f.a").alias("a"), F.col("_f.b").alias("b"), (F.col("_f.a") * shape).alias("n_signal"),
+                     (F.col("_f.b") * nb).alias("n_background"), F.aggregate(F.arrays_zip("_e", "_y"), F.lit(0.0), cost).alias("nll"))
+    # a group has one row per lifetime here
+    fit = fit.withColumn("_least", F.min("nll").over(Window.partitionBy(*keys)))
+    inside = F.when(F.col("nll") <= F.col("_least") + 0.5, F.col("tau"))
+    names = ("n", "tau", "a", "b", "n_signal", "n_background", "nll")
+    best = fit.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("nll", "tau")).alias("_best"), F.min(inside).alias("_lo"), F.max(inside).alias("_hi"))
+    error = F.when(F.col("_hi") > F.col("_lo"), 0.5 * (F.col("_hi") - F.col("_lo"))).alias("tau_err")
+    return best.select(*keys, "_best.n", "_best.tau", error, *[f"_best.{c}" for c in names[2:]])
 
 
 # ---- Gaussian peak plus flat -------------------------------------------------------------------------------------------

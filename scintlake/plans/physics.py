@@ -20,7 +20,7 @@ from ..operators.hist import source_peak
 from ..session import stage
 from . import sqlparts as P
 from .calibration import BASE, primary_showers, source_peak_sql
-from .correlation import FRAMED_SQL, HOUR, WINDOW, framed, tagged
+from .correlation import FRAMED_SQL, HOUR, TAGGED_SQL, WINDOW, framed, tagged
 from .densities import DT, HI, LO, centre_residuals
 from .registry import query, rounded
 from ..operators import correlate as CO
@@ -313,11 +313,39 @@ def track_scan(spark, sf):
 
 
 # ---- fits and summaries -------------------------------------------------------------------------------------------------
-@query("decay_fit")
+DECAY_SQL = TAGGED_SQL + f""",
+cd AS (SELECT run, dt / {HOUR / 60.0}::DOUBLE AS m FROM tagged WHERE NOT is_tag AND dt <= {WINDOW}),
+cb AS (SELECT run, CASE WHEN m = 720 THEN 35 ELSE floor(m / 20) END AS k, count(*) AS n FROM cd WHERE m >= 0 AND m <= 720 GROUP BY ALL),
+tot AS (SELECT run, CAST(sum(n) AS BIGINT) AS n FROM cb GROUP BY run),
+yb AS (SELECT tot.run, g.k, coalesce(cb.n, 0)::DOUBLE AS y FROM tot CROSS JOIN (SELECT unnest(range(36)) AS k) g LEFT JOIN cb ON cb.run = tot.run AND cb.k = g.k),
+tl AS (SELECT unnest(range(50, 600))::DOUBLE AS tau),
+it(run, tau, step, a, b) AS (
+  SELECT run, tau, 0, greatest(n / 36.0::DOUBLE, 1e-3), greatest(n / 36.0::DOUBLE, 1e-3) FROM tot CROSS JOIN tl
+  UNION ALL
+  SELECT run, tau, step + 1, CASE WHEN a < 1e-6 THEN 1e-6 WHEN b < 1e-6 THEN greatest((ya - sab * 1e-6::DOUBLE) / saa, 1e-6) ELSE a END,
+    CASE WHEN a < 1e-6 THEN greatest((yb - sab * 1e-6::DOUBLE) / sbb, 1e-6) WHEN b < 1e-6 THEN 1e-6 ELSE b END
+  FROM (SELECT *, (sbb * ya - sab * yb) / det AS a, (saa * yb - sab * ya) / det AS b
+    FROM (SELECT *, CASE WHEN saa * sbb - sab * sab > 0 THEN saa * sbb - sab * sab ELSE 1 END AS det
+      FROM (SELECT run, tau, step, sum(e * e / mu) AS saa, sum(e / mu) AS sab, sum(1 / mu) AS sbb, sum(e * y / mu) AS ya, sum(y / mu) AS yb
+        FROM (SELECT it.run, it.tau, it.step, y, exp(-(20 * (k + 0.5::DOUBLE)) / it.tau) AS e,
+            greatest(it.a * exp(-(20 * (k + 0.5::DOUBLE)) / it.tau) + it.b, 1e-9) AS mu
+          FROM it JOIN yb ON yb.run = it.run WHERE it.step < {X.ROUNDS})
+        GROUP BY run, tau, step)))),
+fin AS (SELECT it.run, it.tau, it.a, it.b, sum(it.a * exp(-(20 * (k + 0.5::DOUBLE)) / it.tau)) AS n_signal,
+    sum(greatest(it.a * exp(-(20 * (k + 0.5::DOUBLE)) / it.tau) + it.b, 1e-9) - y * ln(greatest(it.a * exp(-(20 * (k + 0.5::DOUBLE)) / it.tau) + it.b, 1e-9))) AS nll
+  FROM it JOIN yb ON yb.run = it.run WHERE it.step = {X.ROUNDS} GROUP BY ALL),
+lst AS (SELECT *, min(nll) OVER (PARTITION BY run) AS least FROM fin),
+rng AS (SELECT run, min(tau) FILTER (nll <= least + 0.5) AS lo, max(tau) FILTER (nll <= least + 0.5) AS hi FROM lst GROUP BY run),
+one AS (SELECT * FROM lst QUALIFY row_number() OVER (PARTITION BY run ORDER BY nll, tau) = 1)
+SELECT run, n, tau, CASE WHEN hi > lo THEN 0.5::DOUBLE * (hi - lo) END AS tau_err, round(a, 6) AS a, round(b, 6) AS b,
+  round(n_signal, 6) AS n_signal, round(b * 36, 6) AS n_background, round(nll, 6) AS nll FROM one JOIN rng USING (run) JOIN tot USING (run)"""
+
+
+@query("decay_fit", DECAY_SQL)
 def decay_fit(spark, sf):
     c = CO.in_window(tagged(spark, sf), WINDOW)
     minutes = F.col("dt") / F.lit(HOUR / 60.0)
-    return X.decay_fit(c, ["run"], minutes, 0.0, 720.0, 20.0)
+    return rounded(X.decay_fit(c, ["run"], minutes, 0.0, 720.0, 20.0))
 
 
 @query("peak_fit")
