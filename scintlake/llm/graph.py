@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scintlake.session import stage
+from scintlake.session import stage, used_up
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -28,18 +28,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), component being the least node that can be reached.
 
     Alternating large and small stars; rounds grow with the logarithm of the longest path. Each round is written to
-    the shared folder, and one row of counts comes to the driver.
+    the shared folder, where it replaces the one before, and one row of counts comes to the driver.
     """
     now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "star")
     was = _print(now)
     while was[0]:
-        now = stage(_star(now), "star")
+        old, now = now, stage(_star(now), "star")
+        used_up(old)
         done, was = _print(now), was
         if done == was:
             break
         was = done
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(
+    out = now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    out._stage = now._stage
+    return out
 
 
 #: rounds in which a large open bucket has one pivot, before every component has one
@@ -73,7 +76,7 @@ def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
     links = stage(verify(pairs), "links")
     members = members.join(first.select("k", "pivot"), F.col("key") == F.col("k")).select(
         "key", "slot", "node", (F.col("node") == F.col("pivot")).alias("rest"))
-    turns = 0
+    turns, now = 0, first
     while True:
         turns += 1
         comp = components(links)
@@ -86,6 +89,7 @@ def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
         # a bucket with one component, or whose other components rest, has nothing left to compare
         open_keys = state.filter("d0 < d1 and c0 < c1").select("k", "large")
         members = stage(named.join(open_keys, F.col("key") == F.col("k")).drop("k"), "bucket")
+        used_up(now)
         if members.isEmpty():
             return comp, links
         # the same nodes are drawn in all their buckets
@@ -98,8 +102,10 @@ def bucket_components(members: DataFrame, marks: DataFrame, verify: Callable[[Da
         now = members.join(mine, (F.col("key") == F.col("tk")) & (F.col("node") == F.col("t0")), "left").select(
             "key", "slot", "node", "rest", "comp", F.col("t0").isNotNull().alias("turn"))
         now = stage(now, "bucket")
+        used_up(members, comp)
         pairs = (now.join(of("m_"), F.col("node") == F.col("m_node"))
                  .join(turn, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("c")) & (~F.col("turn") | (F.col("node") < F.col("p0"))) & alike)
                  .select(F.least("node", "p0").alias("a"), F.greatest("node", "p0").alias("b")).distinct())
-        links = stage(links.unionByName(verify(pairs)).distinct(), "links")
+        old, links = links, stage(links.unionByName(verify(pairs)).distinct(), "links")
+        used_up(old, turn)
         members = now.select("key", "slot", "node", (F.col("rest") | F.col("turn")).alias("rest"))

@@ -100,9 +100,7 @@ def test_lines_equal_brute_force(edge, edge_rows):
     got = lines.deduplicated(edge).collect()
     assert got[0].__fields__ == [*edge.columns, "lines_removed"] and len(got) == len(edge_rows)
     forms = sorted({f for _, t in order for f in map(lines.normal, (t or "").split("\n")) if f})
-    sims, n = lines.simhashes(forms)
-    links = [(a, b) for a in range(len(forms)) for b in range(a) if min(n[a], n[b]) >= lines.FUZZY_WORDS
-             and np.bitwise_count(sims[a] ^ sims[b]) <= 3 and lines.similar(forms[a], forms[b], 0.8)]
+    links = [(a, b) for a in range(len(forms)) for b in range(a) if lines.similar(forms[a], forms[b], 0.8)]
     comp = components(range(len(forms)), links)
     group = {f: comp[i] for i, f in enumerate(forms)}
     copies = defaultdict(list)      # a document's kept lines, by what the query says
