@@ -255,7 +255,7 @@ def arrival_quantiles(spark, sf):
 
 
 @query("grouped_quantiles", f"""{views.with_views('hits')}, {P.quantiles('q', 'hits', 'cable', 't', dict(p01=.01, p15=.15, median=.5, p99=.99))}
-SELECT cable, n, round(p01, 6) AS p01, round(p15, 6) AS p15, round(median, 4) AS median, round(p99, 6) AS p99 FROM q""")
+SELECT cable, n, round(p01, 6) AS p01, round(p15, 6) AS p15, round(median, 6) AS median, round(p99, 6) AS p99 FROM q""")
 def grouped_quantiles(spark, sf):
     return rounded(Q.exact_quantiles(views.hits(spark, sf), ["cable"], F.col("t"), {"p01": .01, "p15": .15, "median": .5, "p99": .99}))
 
@@ -325,16 +325,16 @@ def bin_operators(spark, sf):
 BASE = f"{views.with_views('showers', 'sensor')}, {P.primary('prim', 'showers')}"
 
 
-@query("event_time", f"""{BASE}, {P.residuals('r', 'prim')} SELECT run, event, round(t_event + 1.37e-8::DOUBLE, 6) AS t_event FROM r_t""")
+@query("event_time", f"""{BASE}, {P.residuals('r', 'prim')} SELECT run, event, round(t_event, 6) AS t_event FROM r_t""")
 def event_time(spark, sf):
     tau = C.time_of_flight_corrected(primary_showers(spark, sf), G.sensors(spark), (0.0, 0.0, 0.0), V)
-    return rounded(C.event_time(tau), 6, 1.37e-8)
+    return rounded(C.event_time(tau))
 
 
-@query("residuals", f"""{BASE}, {P.residuals('r', 'prim')} SELECT run, event, cable, atwd, round(res + 1.37e-8::DOUBLE, 6) AS res, q FROM r""")
+@query("residuals", f"""{BASE}, {P.residuals('r', 'prim')} SELECT run, event, cable, atwd, round(res, 9) AS res, q FROM r""")
 def residuals(spark, sf):
     return rounded(C.residuals_fixed_vertex(primary_showers(spark, sf), G.sensors(spark), (0.0, 0.0, 0.0), V)
-                   .select("run", "event", "cable", "atwd", "res", "q"), 6, 1.37e-8)
+                   .select("run", "event", "cable", "atwd", "res", "q"), 9)
 
 
 def _t0_sql(stat):
