@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from ..operators import calib as C
 from ..operators import cube as U
 from ..operators.hist import gauss_kernel
+from ..session import stage
 from . import sqlparts as P
 from .calibration import BASE, primary_showers
 from .registry import query, rounded
@@ -91,7 +92,6 @@ SELECT lx.run, lx.event, count(*) AS n, round(sum(a.logp * (1 - (x - floor(x)))
 FROM lx JOIN d1 a ON a.type = lx.type AND a.qbin = lx.qbin AND a.dbin = lx.dbin AND a.tbin = floor(x)
         JOIN d1 b ON b.type = lx.type AND b.qbin = lx.qbin AND b.dbin = lx.dbin AND b.tbin = floor(x) + 1 GROUP BY lx.run, lx.event""")
 def density_lookup(spark, sf):
-    from ..session import stage
     res = centre_residuals(spark, sf)
     cube = stage(U.density_cube(U.density_counts(res, LO, HI, DT), LO, HI, DT), "cube")
     h = U.lookup_density(res, cube, "res", LO, HI, DT, ("logp", "dlogp", "d2logp"))
@@ -118,11 +118,38 @@ def speed_cells(spark, sf):
     return rounded(U.speed_cells(axis_residuals(spark, sf), 50.0, 100))
 
 
-@query("speeds")
+def _speeds_sql(passes: int = 8) -> str:
+    """The passes one after another: residuals by the present speeds, cell modes, 3 x 3 normal equations by cofactors, damped step."""
+    sums = [f"sum(n * x{i} * x{j})::DOUBLE AS a{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(n * x{i} * mode) AS b{i}" for i in range(3)]
+    out = [f"""{BASE},
+h0 AS (SELECT p.*, px, py, pz, CAST(p.run * 150 - 500 AS DOUBLE) AS z0 FROM prim p JOIN sensor s ON s.cable = p.cable WHERE p.cable < 1879 AND t IS NOT NULL AND q >= 0.5),
+h1 AS (SELECT *, sqrt(px * px + py * py + (pz - z0) * (pz - z0)) AS d FROM h0),
+h2 AS (SELECT *, ((pz - z0) * z0) / greatest(d, 1e-6::DOUBLE) AS ur FROM h1),
+h3 AS MATERIALIZED (SELECT *, least(greatest(sqrt(greatest(ur * ur - (z0 * z0 - 422500.0::DOUBLE), 0)) - ur, 0), d) AS d_ls FROM h2),
+v0 AS (SELECT 17.6::DOUBLE AS v_ls, 17.6::DOUBLE AS v_bo)"""]
+    for i in range(passes):
+        out.append(f"""tau{i} AS MATERIALIZED (SELECT h.*, t - d_ls / v_ls - (d - d_ls) / v_bo AS tau FROM h3 h CROSS JOIN v{i}),
+{P.event_time(f't{i}', f'tau{i}', 'run, event')},
+r{i} AS MATERIALIZED (SELECT CAST(floor(d_ls / 50) AS BIGINT) AS i_ls, CAST(floor((d - d_ls) / 50) AS BIGINT) AS i_bo, h.tau - t.t_event AS res
+  FROM tau{i} h JOIN t{i} t ON h.run = t.run AND h.event = t.event WHERE h.cable < 1325),
+{P.mode(f'm{i}', f'r{i}', 'i_ls, i_bo', 'res', 0.5, 5, 100)},
+s{i} AS (SELECT count(*) AS n_cells, {', '.join(sums)} FROM (SELECT n, mode, 1 AS x0, (i_ls + 0.5::DOUBLE) * 50 AS x1, (i_bo + 0.5::DOUBLE) * 50 AS x2 FROM m{i})),
+c{i} AS (SELECT n_cells, (b0 * (a12 * a02 - a01 * a22) + b1 * (a00 * a22 - a02 * a02) + b2 * (a01 * a02 - a00 * a12)) / det AS b_ls,
+    (b0 * (a01 * a12 - a11 * a02) + b1 * (a01 * a02 - a00 * a12) + b2 * (a00 * a11 - a01 * a01)) / det AS b_bo
+  FROM (SELECT *, a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det FROM s{i})),
+w{i} AS MATERIALIZED (SELECT * FROM v{i} CROSS JOIN c{i}),
+v{i + 1} AS MATERIALIZED (SELECT CASE WHEN 1 / v_ls + 0.6::DOUBLE * b_ls > 0 THEN 1 / (1 / v_ls + 0.6::DOUBLE * b_ls) ELSE v_ls END AS v_ls,
+    CASE WHEN 1 / v_bo + 0.6::DOUBLE * b_bo > 0 THEN 1 / (1 / v_bo + 0.6::DOUBLE * b_bo) ELSE v_bo END AS v_bo FROM w{i})""")
+    rows = [f"SELECT {i}::INTEGER AS iteration, round(v_ls, 6) AS v_ls, round(v_bo, 6) AS v_bo, round(b_ls, 6) AS b_ls, round(b_bo, 6) AS b_bo, n_cells FROM w{i}"
+            for i in range(passes)]
+    last = f"SELECT {passes}::INTEGER, round(v_ls, 6), round(v_bo, 6), NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT FROM v{passes}"
+    return ",\n".join(out) + "\n" + "\nUNION ALL ".join([*rows, last])
+
+
+@query("speeds", _speeds_sql())
 def speeds(spark, sf):
-    from ..session import stage
     hits = stage(primary_showers(spark, sf), "primary")
-    return U.fit_speeds(hits, G.sensors(spark), source_z(), 17.6, 17.6, min_cell=100)
+    return rounded(U.fit_speeds(hits, G.sensors(spark), source_z(), 17.6, 17.6, min_cell=100))
 
 
 def survey_table(spark, sf, min_hits=5):
