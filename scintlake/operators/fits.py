@@ -1,13 +1,12 @@
 """Fits to small histograms: exponential plus flat, and Gaussian peak plus flat (A32, A33, C20, C21, UD3).
 
-Spark counts. The exponential is fitted by column expressions in one row per group and lifetime; the peak sees the bins of
-one group only (a few hundred numbers).
+Spark counts. Both fits are column expressions: the exponential in one row per group and lifetime, the peak in one row per
+group over the bins around its fullest place.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,93 +92,87 @@ def decay_fit(df: DataFrame, keys: list[str], dt: Column, dt_min: float, window:
 
 
 # ---- Gaussian peak plus flat -------------------------------------------------------------------------------------------
-def _peak_terms(x: np.ndarray, centre: float, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """A unit Gaussian on ``x`` and its slopes by centre and width."""
-    z = (x - centre) / sigma
-    unit = np.exp(-z * z / 2)
-    return unit, np.vstack([unit * z / sigma, unit * z * z / sigma])
+#: rounds of the search for centre and width
+PEAK_ROUNDS = 60
+#: places that a round compares, in steps of the present size: where it stands first, so that it stays on a tie
+STENCIL = [(0, 0), *[(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]]
 
 
-def peak_of_bins(counts: np.ndarray, low: float, width: float, reach: float = 300.0, sigma: float = 30.0) -> dict:
-    """Gaussian plus constant through the bins within ``reach`` of the fullest place (three bins together).
+def _heights(bins: Column, centre: Column, width: Column) -> Column:
+    """(height, level, cost) of the best unit Gaussian plus constant through bins (x, y), weighted by 1 / max(y, 1); none is negative."""
+    sums = ("uu", "u", "one", "uy", "y", "yy")
 
-    Height and level are solved linearly for the present centre and width, which then take a damped step along the
-    residuals; every sum is weighted by 1 / max(count, 1).
-    """
-    at = low + width * (np.arange(len(counts)) + 0.5)
-    centre = at[int(np.convolve(counts, np.ones(3), "same").argmax())]
-    use = np.abs(at - centre) <= reach
-    x, y = at[use], counts[use].astype(float)
-    weight = 1.0 / np.maximum(y, 1.0)
-    place = np.array([centre, sigma])
-
-    def linear(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        unit, slopes = _peak_terms(x, *p)
-        base = np.vstack([unit, np.ones_like(x)])
-        sums = (base * weight) @ base.T + 1e-12 * np.eye(2)
-        got = np.linalg.solve(sums, (base * weight) @ y)
-        if got[1] < 0:
-            got = np.array([(weight * unit * y).sum() / max((weight * unit * unit).sum(), 1e-12), 0.0])
-        got = np.maximum(got, 0.0)
-        left = y - got @ base
-        return got, np.vstack([slopes * got[0], base]), float((weight * left * left).sum())
-
-    (height, level), slopes, cost = linear(place)
-    damp = 1e-3
-    for _ in range(100):
-        left = y - height * _peak_terms(x, *place)[0] - level
-        sums, pull = (slopes * weight) @ slopes.T, (slopes * weight) @ left
-        step = np.linalg.solve(sums + damp * np.diag(np.diag(sums) + 1e-12), pull)[:2]
-        tried = np.array([place[0] + step[0], np.clip(place[1] + step[1], 0.3 * width, reach)])
-        new, new_slopes, new_cost = linear(tried)
-        if new_cost <= cost:
-            done = np.abs(tried - place).max() < 1e-7 * width
-            place, (height, level), slopes, cost, damp = tried, new, new_slopes, new_cost, damp / 5
-            if done:
-                break
-        elif damp > 1e9:
-            break
-        else:
-            damp *= 5
-    inside = height * place[1] * np.sqrt(2 * np.pi) / width
-    below = level * 6 * place[1] / width
-    return {"mu": float(place[0]), "sigma": float(place[1]), "n_peak": float(inside), "bkg_per_bin": float(level),
-            "bkg_frac": float(below / max(below + 0.997 * inside, 1e-9))}
-
-
-def range_of(bins: pd.Index, nb: int) -> np.ndarray:
-    """Occupied bins and their neighbours inside 0..nb-1."""
-    b = bins.to_numpy(int)
-    b = np.unique(np.concatenate([b - 1, b, b + 1]))
-    return b[(b >= 0) & (b < nb)]
-
-
-PEAK = "n long, mu double, sigma double, n_peak double, bkg_per_bin double, bkg_frac double"
-
-
-def peak_fit(df: DataFrame, keys: list[str], x: Column, width: float = 10.0, half_range: float = 300.0) -> DataFrame:
-    """Peak position, width and background fraction per group (A33); nulls below 10 entries.
-
-    Bins start one width below the group's minimum; sparse counts are shuffled, and a group arrives as its bins.
+    def add(s: Column, b: Column) -> Column:
+        w, z = 1 / F.greatest(b["y"], F.lit(1.0)), (b["x"] - centre) / width
+        u = F.exp(-z * z / 2)
+        return F.struct(*[(s[k] + w * v).alias(k) for k, v in zip(sums, (u * u, u, F.lit(1.0), u * b["y"], b["y"], b["y"] * b["y"]), strict=True)])
+
+    def solve(s: Column) -> Column:
+        det = s["uu"] * s["one"] - s["u"] * s["u"]
+        height = (s["one"] * s["uy"] - s["u"] * s["y"]) / F.when(det > 0, det).otherwise(1.0)
+        level = (s["uu"] * s["y"] - s["u"] * s["uy"]) / F.when(det > 0, det).otherwise(1.0)
+        flat = F.struct(F.lit(0.0).alias("height"), (s["y"] / s["one"]).alias("level"))
+        bare = F.struct((s["uy"] / s["uu"]).alias("height"), F.lit(0.0).alias("level"))
+        both = F.struct(height.alias("height"), level.alias("level"))
+        # a Gaussian that no constant can be told from leaves the constant
+        return F.struct(s.alias("s"), F.when((det <= 1e-12 * s["uu"] * s["one"]) | (height < 0), flat).when(level < 0, bare).otherwise(both).alias("f"))
+
+    def cost(r: Column) -> Column:
+        s, a, b = r["s"], r["f"]["height"], r["f"]["level"]
+        left = s["yy"] - 2 * a * s["uy"] - 2 * b * s["y"] + a * a * s["uu"] + 2 * a * b * s["u"] + b * b * s["one"]
+        return F.struct(left.alias("cost"), a.alias("height"), b.alias("level"))
+
+    folded = F.aggregate(bins, F.struct(*[F.lit(0.0).alias(k) for k in sums]), add, solve)
+    return F.element_at(F.transform(F.array(folded), cost), 1)
+
+
+def _searched(bins: Column, centre: Column, width: float, reach: float, sigma: float) -> Column:
+    """Centre and width of least cost: the best of nine places a round, half the step when the middle one is best."""
+    def place(now: Column, o: int) -> Column:
+        i, j = STENCIL[o]
+        return F.struct((now["mu"] + i * now["step"]).alias("mu"), F.least(F.greatest(now["sigma"] + j * now["step"], F.lit(0.3 * width)), F.lit(reach)).alias("sigma"))
+
+    def turn(now: Column, _: Column) -> Column:
+        tried = F.transform(F.array(*[place(now, o) for o in range(len(STENCIL))]), lambda p, o: F.struct(
+            _heights(bins, p["mu"], p["sigma"])["cost"].alias("cost"), o.alias("o"), p["mu"].alias("mu"), p["sigma"].alias("sigma")))
+        pick = lambda b: F.struct(b["mu"].alias("mu"), b["sigma"].alias("sigma"), F.when(b["o"] == 0, now["step"] / 2).otherwise(now["step"]).alias("step"))
+        return F.element_at(F.transform(F.array(F.array_min(tried)), pick), 1)
+
+    start = F.struct(centre.alias("mu"), F.lit(float(sigma)).alias("sigma"), F.lit(float(width)).alias("step"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PEAK_ROUNDS)), start, turn)
+
+
+def peak_fit(df: DataFrame, keys: list[str], x: Column, width: float = 10.0, half_range: float = 300.0, sigma: float = 30.0, min_count: int = 10) -> DataFrame:
+    """Peak position, width and background fraction per group (A33); nulls below ``min_count`` entries.
+
+    Bins start one width below the group's minimum; a group with fewer than four bins has some centre that fits them. The fit takes those within ``half_range`` of the fullest place (three
+    bins together). Height and level are the linear optimum for a centre and width, which are searched on a shrinking
+    lattice in ``PEAK_ROUNDS`` rounds. Only bin counts are shuffled; the fit is a fold in one row per group over at most
+    2 ``half_range`` / ``width`` + 1 bins, however many entries or how wide a range the group has.
     """
     v = df.select(*keys, x.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    lim = v.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    b = v.join(lim, keys).withColumn("_a", F.col("_lo") - width)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    lim = v.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    b = v.join(lim, same).select(*keys, "_x", (F.col("_lo") - width).alias("_a"), "_hi")
     b = b.withColumn("_nb", F.ceil((F.col("_hi") + 2 * width - F.col("_a")) / width) - 1)
-    h = b.withColumn("bin", uniform_bin(F.col("_x"), F.col("_a"), width, F.col("_nb"))).groupBy(*keys, "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf.groupby("bin")["n"].sum()
-        row = {k: pdf[k].iloc[0] for k in keys} | {"n": int(c.sum()), "mu": None, "sigma": None, "n_peak": 0.0, "bkg_per_bin": None, "bkg_frac": None}
-        if row["n"] >= 10:
-            a, nb = pdf["_a"].iloc[0], int(pdf["_nb"].iloc[0])
-            # sparse three-bin sums give the mode; only the bins around it are laid out
-            three = sum(c.rename(lambda k, d=d: k + d).reindex(range_of(c.index, nb), fill_value=0) for d in (-1, 0, 1))
-            mode, reach = int(three.index[three.to_numpy().argmax()]), int(half_range / width) + 1
-            local = np.arange(max(mode - reach, 0), min(mode + reach + 1, nb))
-            row |= peak_of_bins(c.reindex(local, fill_value=0).to_numpy(float), a + width * local[0], width, half_range)
-        return pd.DataFrame([row])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in h.schema.fields if f.name in keys)
-    return h.groupBy(*keys).applyInPandas(fit, f"{types}, {PEAK}")
+    h = b.withColumn("_k", uniform_bin(F.col("_x"), F.col("_a"), width, F.col("_nb"))).groupBy(*keys, "_k").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
+    three = (h.select(*keys, "_a", "_nb", "_n", F.explode(F.sequence(F.col("_k") - 1, F.col("_k") + 1)).alias("_k"))
+             .where("_k >= 0 and _k < _nb").groupBy(*keys, "_k").agg(F.sum("_n").alias("_s"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb")))
+    # every entry is counted three times, as the first and last bin are empty
+    top = three.groupBy(*keys).agg(F.min(F.struct((-F.col("_s")).alias("s"), "_k", "_a", "_nb")).alias("_t"), (F.sum("_s") / 3).cast("long").alias("n"))
+    top = top.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "n", F.col("_t._k").alias("_top"), F.col("_t._a").alias("_a"), F.col("_t._nb").alias("_nb"))
+    reach = int(half_range / width)
+    near = h.select(*keys, "_k", "_n").join(top, same).where(F.abs(F.col("_k") - F.col("_top")) <= reach)
+    rows = near.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_n"))).alias("_m"), *[F.first(c).alias(c) for c in ("n", "_top", "_a", "_nb")])
+    bins = F.transform(F.sequence(F.greatest(F.col("_top") - reach, F.lit(0)), F.least(F.col("_top") + reach, F.col("_nb") - 1)), lambda k: F.struct(
+        (F.col("_a") + width * (k + 0.5)).alias("x"), F.coalesce(F.try_element_at("_m", k), F.lit(0)).cast("double").alias("y")))
+    rows = rows.withColumn("_b", F.when(F.col("n") >= min_count, bins))
+    rows = rows.withColumn("_p", _searched(F.col("_b"), F.col("_a") + width * (F.col("_top") + 0.5), width, half_range, sigma))
+    rows = rows.withColumn("_f", _heights(F.col("_b"), F.col("_p.mu"), F.col("_p.sigma")))
+    fitted = F.col("n") >= min_count
+    inside = F.col("_f.height") * F.col("_p.sigma") * float(np.sqrt(2 * np.pi)) / width
+    below = F.col("_f.level") * 6 * F.col("_p.sigma") / width
+    return rows.select(*keys, "n", F.when(fitted, F.col("_p.mu")).alias("mu"), F.when(fitted, F.col("_p.sigma")).alias("sigma"),
+                       F.when(fitted, inside).otherwise(0.0).alias("n_peak"), F.when(fitted, F.col("_f.level")).alias("bkg_per_bin"),
+                       F.when(fitted, below / F.greatest(below + 0.997 * inside, F.lit(1e-9))).alias("bkg_frac"))

@@ -348,9 +348,46 @@ def decay_fit(spark, sf):
     return rounded(X.decay_fit(c, ["run"], minutes, 0.0, 720.0, 20.0))
 
 
-@query("peak_fit")
+#: sums, linear optimum and cost of a place (mu, sg) of ``src``, one row per ``by``
+def _heights_sql(src: str, by: str) -> str:
+    return f"""SELECT {by}, height, level, yy - 2 * height * uy - 2 * level * y1 + height * height * uu + 2 * height * level * u1 + level * level * one AS cost
+  FROM (SELECT *, CASE WHEN det <= 1e-12::DOUBLE * uu * one OR a < 0 THEN 0 WHEN b < 0 THEN uy / uu ELSE a END AS height,
+      CASE WHEN det <= 1e-12::DOUBLE * uu * one OR a < 0 THEN y1 / one WHEN b < 0 THEN 0 ELSE b END AS level
+    FROM (SELECT *, (one * uy - u1 * y1) / CASE WHEN det > 0 THEN det ELSE 1 END AS a, (uu * y1 - u1 * uy) / CASE WHEN det > 0 THEN det ELSE 1 END AS b
+      FROM (SELECT *, uu * one - u1 * u1 AS det
+        FROM (SELECT {by}, sum(w * u * u) AS uu, sum(w * u) AS u1, sum(w) AS one, sum(w * u * y) AS uy, sum(w * y) AS y1, sum(w * y * y) AS yy
+          FROM (SELECT s.*, l.y, 1 / greatest(l.y, 1.0) AS w, exp(-((l.x - s.mu) / s.sg) * ((l.x - s.mu) / s.sg) / 2) AS u FROM {src} s JOIN lb l ON l.run = s.run)
+          GROUP BY {by}))))"""
+
+
+PEAK_SQL = f"""{views.with_views('trig').replace('WITH ', 'WITH RECURSIVE ', 1)},
+lim AS (SELECT run, min(q17) - 10 AS a, max(q17) AS hi FROM trig WHERE q17 IS NOT NULL AND NOT isnan(q17) GROUP BY run),
+nbs AS (SELECT run, a, ceil((hi + 20 - a) / 10::DOUBLE) - 1 AS nb FROM lim),
+hb AS MATERIALIZED (SELECT t.run, CAST(floor((t.q17 - e.a) / 10::DOUBLE) AS BIGINT) AS k, count(*) AS c FROM trig t JOIN nbs e ON e.run = t.run WHERE t.q17 IS NOT NULL AND NOT isnan(t.q17) GROUP BY ALL),
+th AS (SELECT run, k + d AS k, sum(c) AS s FROM hb CROSS JOIN (SELECT unnest([-1, 0, 1]) AS d) GROUP BY run, k + d),
+tp AS (SELECT th.run, k AS top, a, nb FROM th JOIN nbs ON nbs.run = th.run WHERE k >= 0 AND k < nb QUALIFY row_number() OVER (PARTITION BY th.run ORDER BY s DESC, k) = 1),
+tot AS (SELECT run, CAST(sum(c) AS BIGINT) AS n FROM hb GROUP BY run),
+lb AS MATERIALIZED (SELECT tp.run, a + 10 * (g.k + 0.5::DOUBLE) AS x, coalesce(c, 0)::DOUBLE AS y
+  FROM tp JOIN tot ON tot.run = tp.run AND n >= 10, LATERAL (SELECT unnest(generate_series(CAST(greatest(top - 30, 0) AS BIGINT), CAST(least(top + 30, nb - 1) AS BIGINT))) AS k) g
+  LEFT JOIN hb ON hb.run = tp.run AND hb.k = g.k),
+st AS (SELECT * FROM (VALUES {', '.join(f'({o}, {i}, {j})' for o, (i, j) in enumerate(X.STENCIL))}) v(o, i, j)),
+it(run, turn, mu, sg, step) AS (
+  SELECT run, 0, a + 10 * (top + 0.5::DOUBLE), 30::DOUBLE, 10::DOUBLE FROM tp
+  UNION ALL
+  SELECT run, turn + 1, best.mu, best.sg, CASE WHEN best.o = 0 THEN step / 2 ELSE step END
+  FROM (SELECT run, turn, step, min(struct_pack(cost := cost, o := o, mu := mu, sg := sg)) AS best
+    FROM ({_heights_sql(f"""(SELECT it.run, it.turn, it.step, o, it.mu + i * it.step AS mu, least(greatest(it.sg + j * it.step, 3), 300)::DOUBLE AS sg
+      FROM it CROSS JOIN st WHERE it.turn < {X.PEAK_ROUNDS})""", 'run, turn, step, o, mu, sg')}) GROUP BY run, turn, step)),
+fin AS (SELECT run, mu, sg FROM it WHERE turn = {X.PEAK_ROUNDS}),
+ft AS ({_heights_sql('fin', 'run, mu, sg')}),
+ps AS (SELECT *, height * sg * sqrt(2 * pi()) / 10 AS n_peak, level * 6 * sg / 10 AS below FROM ft)
+SELECT tot.run, n, round(mu, 4) AS mu, round(sg, 4) AS sigma, round(coalesce(n_peak, 0), 4) AS n_peak, round(level, 4) AS bkg_per_bin,
+  round(below / greatest(below + 0.997::DOUBLE * n_peak, 1e-9), 4) AS bkg_frac FROM tot LEFT JOIN ps ON ps.run = tot.run"""
+
+
+@query("peak_fit", PEAK_SQL)
 def peak_fit(spark, sf):
-    return X.peak_fit(views.trig(spark, sf), ["run"], F.col("q17"))
+    return rounded(X.peak_fit(views.trig(spark, sf), ["run"], F.col("q17")), 4)
 
 
 def event_frame(spark, sf):
