@@ -157,10 +157,11 @@ def peak_fit(df: DataFrame, keys: list[str], x: Column, width: float = 10.0, hal
     b = b.withColumn("_nb", F.ceil((F.col("_hi") + 2 * width - F.col("_a")) / width) - 1)
     h = b.withColumn("_k", uniform_bin(F.col("_x"), F.col("_a"), width, F.col("_nb"))).groupBy(*keys, "_k").agg(
         F.count(F.lit(1)).alias("_n"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb"))
-    three = (h.select(*keys, "_a", "_nb", "_n", F.explode(F.sequence(F.col("_k") - 1, F.col("_k") + 1)).alias("_k"))
-             .where("_k >= 0 and _k < _nb").groupBy(*keys, "_k").agg(F.sum("_n").alias("_s"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb")))
-    # every entry is counted three times, as the first and last bin are empty
-    top = three.groupBy(*keys).agg(F.min(F.struct((-F.col("_s")).alias("s"), "_k", "_a", "_nb")).alias("_t"), (F.sum("_s") / 3).cast("long").alias("n"))
+    own = F.when(F.col("_k") == F.col("_own"), F.col("_n"))
+    three = (h.select(*keys, "_a", "_nb", "_n", F.col("_k").alias("_own"), F.explode(F.sequence(F.col("_k") - 1, F.col("_k") + 1)).alias("_k"))
+             .where("_k >= 0 and _k < _nb").groupBy(*keys, "_k")
+             .agg(F.sum("_n").alias("_s"), F.sum(own).alias("_n"), F.first("_a").alias("_a"), F.first("_nb").alias("_nb")))
+    top = three.groupBy(*keys).agg(F.min(F.struct((-F.col("_s")).alias("s"), "_k", "_a", "_nb")).alias("_t"), F.sum("_n").alias("n"))
     top = top.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "n", F.col("_t._k").alias("_top"), F.col("_t._a").alias("_a"), F.col("_t._nb").alias("_nb"))
     reach = int(half_range / width)
     near = h.select(*keys, "_k", "_n").join(top, same).where(F.abs(F.col("_k") - F.col("_top")) <= reach)
