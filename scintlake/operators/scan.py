@@ -88,9 +88,9 @@ def islands(df: DataFrame, part: list[str], order: str, cond: Column, name: str
 
 
 def group_starts(df: DataFrame, part: list[str], order: list[str], key: str, name: str = "is_start") -> DataFrame:
-    """True where ``key`` differs from the row before (short sequences)."""
-    prev = F.lag(key).over(Window.partitionBy(*part).orderBy(*order))
-    return df.withColumn(name, ~F.coalesce(prev.eqNullSafe(F.col(key)), F.lit(False)))
+    """True where ``key`` differs from the row before, and on the first row, also with a null key (short sequences)."""
+    prev = F.lag(F.struct(key)).over(Window.partitionBy(*part).orderBy(*order))
+    return df.withColumn(name, prev.isNull() | ~prev[key].eqNullSafe(F.col(key)))
 
 
 def last_marker(probe: DataFrame, marker: DataFrame, part: list[str], order: list[str], payload: list[str],

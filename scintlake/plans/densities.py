@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import views
@@ -9,7 +11,8 @@ from ..functions import geometry as G
 from ..operators import calib as C
 from ..operators import cube as U
 from ..operators.hist import gauss_kernel
-from ..session import stage
+from ..session import stage, stage_root
+from ..sources import tables as TB
 from . import sqlparts as P
 from .calibration import BASE, primary_showers
 from .registry import query, rounded
@@ -83,6 +86,17 @@ def density_cube(spark, sf):
     return rounded(U.density_cube(U.density_counts(centre_residuals(spark, sf), LO, HI, DT), LO, HI, DT))
 
 
+@query("stored_cube", DENSITY_SQL + f"""
+SELECT type, qbin, dbin, level, tbin, n, round(logp, 6) AS logp, round({LO} + {DT}::DOUBLE * (tbin + 0.5::DOUBLE), 6) AS tau FROM d1""")
+def stored_cube(spark, sf):
+    """The cube written with its range, and read again; bin centres come from the stored range."""
+    root = f"{stage_root(spark)}/cube-{uuid.uuid4().hex}"
+    meta = spark.range(1).select(F.lit(float(LO)).alias("lo"), F.lit(float(HI)).alias("hi"), F.lit(float(DT)).alias("dt"))
+    TB.write_cube(U.density_cube(U.density_counts(centre_residuals(spark, sf), LO, HI, DT), LO, HI, DT), meta, root)
+    cube, about = TB.load_cube(spark, root)
+    return rounded(cube.join(F.broadcast(about)).select("type", "qbin", "dbin", "level", "tbin", "n", "logp", (F.col("lo") + F.col("dt") * (F.col("tbin") + 0.5)).alias("tau")))
+
+
 @query("density_lookup", DENSITY_SQL + f""",
 lx AS (SELECT run, event, CASE WHEN cable >= 1325 THEN 1 ELSE 0 END AS type, CASE WHEN q < 1.5 THEN 0 WHEN q < 3 THEN 1 WHEN q < 6 THEN 2 ELSE 3 END AS qbin,
          CASE WHEN d < 400 THEN 0 WHEN d < 650 THEN 1 WHEN d < 900 THEN 2 ELSE 3 END AS dbin,

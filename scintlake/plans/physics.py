@@ -312,6 +312,32 @@ def track_scan(spark, sf):
     return S.rerank(S.od_terms(t, od)).select(*EV, "place", "rank", "score", "final", "impact", "od_term", "chimney", "n_hits")
 
 
+ENDS = ("ex", "ey", "ez", "xx", "xy", "xz")
+
+
+@query("distinct_tracks", f"""{views.with_views('hits', 'sensor').replace('WITH ', 'WITH RECURSIVE ', 1)},
+cand AS (SELECT run, event, CAST(adc AS DOUBLE) AS score, a.px AS ex, a.py AS ey, a.pz AS ez, b.px AS xx, b.py AS xy, b.pz AS xz
+  FROM hits h JOIN sensor a ON a.cable = h.cable JOIN sensor b ON b.cable = (h.cable * 7 + 13) % 1879 WHERE h.cable < 1879),
+rk AS (SELECT *, row_number() OVER (PARTITION BY run, event ORDER BY score DESC, ex, ey, ez, xx, xy, xz) AS rk FROM cand),
+it(run, event, rk, kept) AS (
+  SELECT run, event, 1::BIGINT, [struct_pack(score, ex, ey, ez, xx, xy, xz)] FROM rk WHERE rk = 1
+  UNION ALL
+  SELECT it.run, it.event, r.rk, CASE WHEN len(kept) >= 3 OR len(list_filter(kept, lambda k:
+      (k.ex - r.ex) ** 2 + (k.ey - r.ey) ** 2 + (k.ez - r.ez) ** 2 <= 810000 AND (k.xx - r.xx) ** 2 + (k.xy - r.xy) ** 2 + (k.xz - r.xz) ** 2 <= 810000)) > 0
+    THEN kept ELSE list_append(kept, struct_pack(score := r.score, ex := r.ex, ey := r.ey, ez := r.ez, xx := r.xx, xy := r.xy, xz := r.xz)) END
+  FROM it JOIN rk r ON r.run = it.run AND r.event = it.event AND r.rk = it.rk + 1),
+fin AS (SELECT run, event, arg_max(kept, rk) AS kept FROM it GROUP BY run, event),
+pl AS (SELECT run, event, CAST(p AS INTEGER) AS place, kept[p + 1] AS k FROM fin, LATERAL (SELECT unnest(range(0, len(kept))) AS p))
+SELECT run, event, place, round(k.score, 4) AS score, {', '.join(f'round(k.{c}, 4) AS {c}' for c in ENDS)} FROM pl""")
+def distinct_tracks(spark, sf):
+    """Best three candidates of an event, none with both ends within 900 cm of a better one's."""
+    s = G.sensors(spark)
+    at = lambda p: s.select(F.col("cable").alias(f"c_{p}"), *[F.col(f"p{c}").alias(f"{p}{c}") for c in "xyz"])
+    h = views.hits(spark, sf).where(F.col("cable") < K.N_ID)
+    c = h.join(at("e"), F.col("cable") == F.col("c_e")).join(at("x"), (F.col("cable") * 7 + 13) % K.N_ID == F.col("c_x"))
+    return rounded(S.greedy_distinct(c.select(*EV, F.col("adc").cast("double").alias("score"), *ENDS), EV, "score", 900.0, 3), 4)
+
+
 # ---- fits and summaries -------------------------------------------------------------------------------------------------
 DECAY_SQL = TAGGED_SQL + f""",
 cd AS (SELECT run, dt / {HOUR / 60.0}::DOUBLE AS m FROM tagged WHERE NOT is_tag AND dt <= {WINDOW}),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import text as X
 from ..functions import trigger as T
+from ..functions import constants as K
 from ..operators import hits as H
-from ..session import stage
+from ..operators import scan as S
+from ..session import stage, stage_root
 from ..sources import tables as TB
 from ..sources import text as TX
 from .registry import query, rounded
@@ -134,3 +138,34 @@ def cached_hits(spark, sf):
 FROM hits JOIN nation ON n_nationkey = run WHERE n_regionkey = 1 GROUP BY run, n_name, event""")
 def cache_hits(spark, sf):
     return rounded(cached_hits(spark, sf).groupBy("run", "shift", "event").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q")))
+
+
+@query("group_starts", """SELECT l_orderkey AS event, l_linenumber AS line, l_returnflag AS flag,
+  row_number() OVER w = 1 OR l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER w AS is_start FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag)""")
+def group_starts(spark, sf):
+    li = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    # lines can share a number
+    return S.group_starts(li, ["event"], ["line", "flag"], "flag")
+
+
+@query("distinct_paths", "SELECT DISTINCT url AS path FROM pages")
+def distinct_paths(spark, sf):
+    return TB.distinct_paths(views.table(spark, sf, "pages").select(F.col("url").alias("path")))
+
+
+@query("calibration_file", f"""{views.with_views('calib')},
+tube AS (SELECT p_partkey % 2126 AS cable, min(p_size) < 3 AS bad, max(p_retailprice) / 1000 AS eta FROM part GROUP BY 1),
+g AS (SELECT unnest(range(0, (SELECT max(cable) + 1 FROM calib))) AS cable), a AS (SELECT unnest(range(0, 2)) AS atwd)
+SELECT g.cable, a.atwd, round(coalesce(bin_ns, {K.DEFAULT_BIN_NS}), 6) AS bin_ns, round(coalesce(q1pe, {K.DEFAULT_Q1PE}), 6) AS q1pe, round(coalesce(t0, 0), 6) AS t0,
+  coalesce(bad, FALSE) AS bad, round(eta, 6) AS eta, NULL::DOUBLE AS dark
+FROM g CROSS JOIN a LEFT JOIN calib c ON c.cable = g.cable AND c.atwd = a.atwd LEFT JOIN tube ON tube.cable = g.cable""")
+def calibration_file(spark, sf):
+    """Channel and tube constants written as one calibration object and read again."""
+    p, none = views.table(spark, sf, "part"), F.lit(None).cast("double")
+    tube = p.groupBy((F.col("p_partkey") % 2126).alias("cable")).agg(
+        (F.min("p_size") < 3).alias("bad"), (F.max("p_retailprice") / 1000).alias("eta")).select("*", none.alias("eta_q"), none.alias("dark"))
+    gain = spark.range(3).select(F.col("id").alias("gain"), F.lit(1.0).alias("factor"))
+    path = f"{stage_root(spark)}/calibration-{uuid.uuid4().hex}"
+    TB.save_calibration(views.calibration(spark, sf), tube, gain, {"made": "query"}, path)
+    file = TB.load_calibration(spark, path)
+    return rounded(file["channel"].join(file["tube"].select("cable", "bad", "eta", "dark"), "cable"))

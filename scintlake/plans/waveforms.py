@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import waves as W
 from ..operators import calib as C
+from ..operators import scan as S
 from ..operators import waves as O
 from .registry import query, rounded
 
@@ -124,3 +125,22 @@ q AS (SELECT cable, atwd, CASE WHEN sd >= 5 THEN 1024 / (k + least(greatest(0.5
 SELECT cable, atwd, count(p) AS n, round(avg(p), 6) AS period, round(coalesce(25.0 / avg(p), 1.49), 6) AS bin_ns FROM q GROUP BY cable, atwd""")
 def clock_period(spark, sf):
     return rounded(O.sampling_period(views.waves(spark, sf)))
+
+
+def long_samples(spark, sf):
+    return views.waves(spark, sf).select("wf_id", F.posexplode("samples").alias("i", "w")).withColumn("i", F.col("i").cast("long"))
+
+
+@query("wave_cumsum", LONG + " SELECT wf_id, i, round(sum(w) OVER (PARTITION BY wf_id ORDER BY i), 6) AS cumsum FROM u")
+def wave_cumsum(spark, sf):
+    return rounded(S.running_sum(long_samples(spark, sf), ["wf_id"], "i", "w").select("wf_id", "i", "cumsum"))
+
+
+@query("wave_islands", LONG + """,
+g AS (SELECT wf_id, i, w, i - row_number() OVER (PARTITION BY wf_id ORDER BY i) AS g FROM u WHERE w > 0),
+o AS (SELECT wf_id, min(i) AS "start", max(i) AS "end", round(sum(w), 6) AS area FROM g GROUP BY wf_id, g)
+SELECT *, row_number() OVER (PARTITION BY wf_id ORDER BY "start") AS island FROM o""")
+def wave_islands(spark, sf):
+    """Stretches of positive samples, numbered within their waveform."""
+    d = S.islands(long_samples(spark, sf), ["wf_id"], "i", F.col("w") > 0).where("island is not null")
+    return rounded(d.groupBy("wf_id", "island").agg(F.min("i").alias("start"), F.max("i").alias("end"), F.sum("w").alias("area")))
