@@ -15,3 +15,24 @@ SF = "/root/testdata/sf0.001"
 def test_run_bins_sums_as_sql(spark):
     ok, message, _ = compare(spark, duck(SF), SF, entry.queries()["calibrated_hits_run_bins"], entry.oracle_sql()["calibrated_hits_run_bins"])
     assert ok, message
+
+
+def test_stream_reads_a_table_of_several_files(spark, tmp_path):
+    """A folder of files as a table streams like one file, whatever the files are called."""
+    from scintlake import views
+
+    t = spark.read.parquet(f"{SF}/events.parquet")
+    t.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    (tmp_path / "more_events.parquet").symlink_to(f"{SF}/events.parquet")
+    for sf in (SF, str(tmp_path)):
+        s = views.table_stream(spark, sf, "events")
+        q = s.writeStream.format("memory").queryName("several_files").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert spark.table("several_files").count() == t.count()
+
+
+def test_stream_channel_stats_of_several_files(spark, tmp_path):
+    spark.read.parquet(f"{SF}/embeddings.parquet").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = entry.queries()["stream_channel_stats"](spark, SF)
+    got = entry.queries()["stream_channel_stats"](spark, str(tmp_path))
+    assert want.count() > 0 and want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
