@@ -36,3 +36,12 @@ def test_stream_channel_stats_of_several_files(spark, tmp_path):
     want = entry.queries()["stream_channel_stats"](spark, SF)
     got = entry.queries()["stream_channel_stats"](spark, str(tmp_path))
     assert want.count() > 0 and want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+
+
+def test_sensor_positions_are_those_of_the_sql(spark):
+    """To the last digit: a hit on the edge of a bin must not move by the sine that was used."""
+    from scintlake import views
+    from scintlake.functions import geometry as G
+
+    want = duck(SF).execute(views.with_views("sensor") + " SELECT cable, px, py, pz FROM sensor").fetchall()
+    assert sorted(tuple(r) for r in G.sensors(spark).collect()) == sorted(want)
