@@ -2,8 +2,8 @@
 
 Rows may come late and out of order within the watermark's delay. State per run holds them until the watermark has passed
 their time; then they are tagged in time order, so the result doesn't depend on how the stream was cut. Only rows older
-than the watermark are dropped. A run's held rows span about the delay plus one micro-batch, which the source's rate
-options bound.
+than the watermark are dropped. Held rows stay in the state store as packed pieces in time order; a step has in memory those that overlap
+in time, so a large micro-batch or a long delay does not fill it.
 """
 
 from __future__ import annotations
@@ -64,7 +64,9 @@ def advance(pdf: pd.DataFrame, state: tuple, dead: int, keep: tuple = (), payloa
     return out, (int(ts[-1]), int(r_ts[-1]), int(r_ev[-1]), *last)
 
 
-HELD = ["event", "ts", "nhit", "tag", "hard"]
+HELD = {"event": "<i8", "ts": "<i8", "nhit": "<i8", "tag": "?", "hard": "?"}
+#: held rows are cut by time into pieces: a chunk of so many rows makes so many of them
+CHUNK, PIECES = 1 << 16, 16
 
 
 def _doubles(columns: tuple, prefix: str = "") -> str:
@@ -72,20 +74,22 @@ def _doubles(columns: tuple, prefix: str = "") -> str:
 
 
 class _Ordered(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then hands them on in one piece.
+    """Holds rows until the watermark has passed them, then hands them on in time order.
 
-    ``keep`` and ``payload`` are columns of doubles (missing values NaN): the first pass through, the second stay in the state with
-    the last real tag.
+    Held rows are packed arrays, each a short piece of time of what came in together, and are merged by their first times: a step has in memory
+    a chunk that comes in, or a chunk that goes out and one piece (1 / 16) of each chunk held. ``keep`` and ``payload`` are columns of doubles
+    (missing values NaN): the first pass through, the second stay in the state with the last real tag.
     """
 
     def __init__(self, dead: int, ticks_per_ms: int = 40_000, keep: tuple = (), payload: tuple = ()):
         self.dead, self.per_ms, self.keep, self.payload = dead, ticks_per_ms, tuple(keep), tuple(payload)
-        self.doubles = [*self.keep, *self.payload]
+        self.types = np.dtype([*HELD.items(), *[(c, "<f8") for c in dict.fromkeys([*self.keep, *self.payload])]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", STATE + _doubles(self.payload))
-        self.held = handle.getListState("held", "event long, ts long, nhit long, tag boolean, hard boolean" + _doubles(self.doubles))
+        self.parts = handle.getValueState("parts", "n long")
+        self.held = handle.getMapState("held", "first long, part long", "rows binary")
 
     def wake(self, *times: int) -> None:
         """One timer, at the earliest of the given milliseconds."""
@@ -94,34 +98,71 @@ class _Ordered(StatefulProcessor):
         if times:
             self.handle.registerTimer(min(times))
 
-    def released(self, run, rows, watermark: int) -> tuple[pd.DataFrame, tuple, tuple, list[int]]:
-        """Tagged rows that have become due, the state before and after them, and when the next held row is due."""
-        state = tuple(self.last.get()) if self.last.exists() else (NONE, NONE, NONE, *[float("nan")] * len(self.payload))
-        columns = [*HELD, *self.doubles]
-        types = {"event": "int64", "ts": "int64", "nhit": "int64", "tag": bool, "hard": bool} | dict.fromkeys(self.doubles, "float64")
-        parts = [pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=columns), *(r[columns] for r in rows)]
-        waiting = pd.concat([p.astype(types) for p in parts], ignore_index=True)
-        due = waiting["ts"] // self.per_ms < watermark
-        rest = waiting[~due]
-        if len(rest):
-            self.held.put([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rest.itertuples(index=False)])
-        else:
-            self.held.clear()
-        # rows before the last released one are older than the watermark was then
-        ready = waiting[due & (waiting["ts"] >= state[0])].assign(run=run)
-        out, new = advance(ready, state, self.dead, self.keep, self.payload) if len(ready) else (ready, state)
-        if len(ready):
-            self.last.update(new)
-        return out, state, new, [int(rest["ts"].min()) // self.per_ms] if len(rest) else []
-
-    def step(self, run, rows, watermark: int) -> Iterator[pd.DataFrame]:
+    def state(self) -> tuple:
+        return tuple(self.last.get()) if self.last.exists() else (NONE, NONE, NONE, *[float("nan")] * len(self.payload))
+
+    def hold(self, rows: np.ndarray, pieces: int = 1) -> None:
+        """Keeps rows as pieces of time."""
+        rows = np.sort(rows, order="ts", kind="stable") if pieces > 1 else rows
+        for piece in np.array_split(rows, pieces):
+            self.part += 1
+            self.held.updateValue((int(piece["ts"].min()), self.part), (piece.tobytes(),))
+
+    def take_in(self, rows: Iterator[pd.DataFrame]) -> None:
+        waiting, size = [], 0
+        for df in rows:
+            packed = np.empty(len(df), self.types)
+            for c in self.types.names:
+                packed[c] = df[c].to_numpy()
+            waiting.append(packed)
+            size += len(df)
+            if size >= CHUNK:
+                self.hold(np.concatenate(waiting), PIECES)
+                waiting, size = [], 0
+        if size:
+            self.hold(np.concatenate(waiting), max(1, size * PIECES // CHUNK))
+
+    def released(self, run, rows: Iterator[pd.DataFrame], watermark: int) -> Iterator[tuple[pd.DataFrame, tuple]]:
+        """Tagged rows that have become due and the state after them, in pieces of time order; ``due`` is then when the next held row is due."""
+        self.part = before = int(self.parts.get()[0]) if self.parts.exists() else 0
+        self.take_in(rows)
+        old = state = self.state()
+        limit = watermark * self.per_ms
+        keys = sorted(tuple(k) for k in self.held.keys())
+        ready = [k for k in keys if k[0] < limit]
+        self.due: list[int] = [k[0] // self.per_ms for k in keys[len(ready):len(ready) + 1]]
+        left, size = [], 0
+        for key, upto in zip(ready, [*[k[0] for k in ready[1:]], limit]):
+            left.append(np.frombuffer(bytes(self.held.getValue(key)[0]), self.types))
+            size += len(left[-1])
+            self.held.removeKey(key)
+            if size < CHUNK and key != ready[-1]:
+                continue
+            # nothing that is still held comes before the first time of the next piece
+            found = np.concatenate(left)
+            go = found["ts"] < upto
+            left, size = [found[~go]], 0
+            # rows before the last released one are older than the watermark was then
+            found = found[go & (found["ts"] >= state[0])]
+            if len(found):
+                out, state = advance(pd.DataFrame({c: found[c] for c in self.types.names}).assign(run=run), state, self.dead, self.keep, self.payload)
+                yield out, state
+        if left and len(left[0]):
+            self.hold(left[0])
+            self.due.append(int(left[0]["ts"].min()) // self.per_ms)
+        if state is not old:
+            self.last.update(state)
+        if self.part != before:
+            self.parts.update((self.part,))
+
+    def step(self, run, rows: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from self.step(key[0], list(rows), timerValues.getCurrentWatermarkInMs())
+        yield from self.step(key[0], rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.step(key[0], [], timerValues.getCurrentWatermarkInMs())
+        yield from self.step(key[0], iter(()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -130,11 +171,10 @@ class _Ordered(StatefulProcessor):
 class Tagger(_Ordered):
     """Per run: rows not yet due, last event time and last real tag (ST1)."""
 
-    def step(self, run, rows, watermark: int) -> Iterator[pd.DataFrame]:
-        out, _, _, times = self.released(run, rows, watermark)
-        self.wake(*times)
-        if len(out):
+    def step(self, run, rows: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        for out, _ in self.released(run, rows, watermark):
             yield out
+        self.wake(*self.due)
 
 
 class Followups(_Ordered):
@@ -152,29 +192,31 @@ class Followups(_Ordered):
         super().init(handle)
         self.count = handle.getValueState("count", "n long")
 
-    def step(self, run, rows, watermark: int) -> Iterator[pd.DataFrame]:
-        out, old, new, times = self.released(run, rows, watermark)
-        emitted: list[tuple] = []
-        counts: dict[int, int] = {old[2]: int(self.count.get()[0])} if self.count.exists() else {}
-        if len(out):
+    def step(self, run, rows: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
+        def counted(tags) -> pd.DataFrame:
+            return pd.DataFrame({"run": run, "kind": "n_after", "event": list(tags), "prev_event": NONE, "value": [counts.pop(t) for t in list(tags)]})
+
+        now = self.state()
+        counts: dict[int, int] = {now[2]: int(self.count.get()[0])} if self.count.exists() else {}
+        for out, now in self.released(run, rows, watermark):
             inside = out[~out["is_tag"] & (out["dt"].fillna(self.window + 1) <= self.window)]
-            emitted += [("cand", int(r.event), int(r.prev_event), int(r.dt)) for r in inside[inside["nhit"] >= self.min_mult].itertuples()]
             for tag in out[out["is_tag"] & ~out["retrigger"]]["event"]:
                 counts.setdefault(int(tag), 0)
             for tag, n in inside.groupby("prev_event").size().items():
                 counts[int(tag)] = counts.get(int(tag), 0) + int(n)
-        current, end = new[2], (new[1] + self.window) // self.per_ms
-        for tag in list(counts):
-            if tag != current or end < watermark:
-                emitted.append(("n_after", tag, NONE, counts.pop(tag)))
+            cand = inside[inside["nhit"] >= self.min_mult].rename(columns={"dt": "value"}).assign(kind="cand")
+            closed = counted([t for t in counts if t != now[2]])
+            if len(cand) or len(closed):
+                yield pd.concat([f[["run", "kind", "event", "prev_event", "value"]].astype({"value": "int64"}) for f in (cand, closed) if len(f)], ignore_index=True)
+        times, end = self.due, (now[1] + self.window) // self.per_ms
+        if counts and end < watermark:
+            yield counted(list(counts))
         if counts:
-            self.count.update((counts[current],))
-            times.append(end)
+            self.count.update((counts[now[2]],))
+            times = [*times, end]
         elif self.count.exists():
             self.count.clear()
         self.wake(*times)
-        if emitted:
-            yield pd.DataFrame(emitted, columns=["kind", "event", "prev_event", "value"]).assign(run=run)[["run", "kind", "event", "prev_event", "value"]]
 
 
 def _keyed(events: DataFrame, soft: float, hard: float) -> DataFrame:

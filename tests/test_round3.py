@@ -45,3 +45,43 @@ def test_sensor_positions_are_those_of_the_sql(spark):
 
     want = duck(SF).execute(views.with_views("sensor") + " SELECT cable, px, py, pz FROM sensor").fetchall()
     assert sorted(tuple(r) for r in G.sensors(spark).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 16])
+def test_held_rows_are_pieces_of_time(chunk, monkeypatch):
+    """Rows that come out of order are held packed and go out in time order, a part at a time, with the tags of the whole."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from scintlake.streaming import tagger as G
+
+    class Value:
+        def __init__(self): self.v = None
+        def exists(self): return self.v is not None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+
+    class Held(dict):
+        def updateValue(self, k, v): self[k] = v
+        def getValue(self, k): return self[k]
+        def removeKey(self, k): del self[k]
+
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    rng = random.Random(5)
+    rows = pd.DataFrame([(i, rng.randrange(40_000), 3, rng.random() < 0.2, rng.random() < 0.05) for i in range(1000)], columns=["event", "ts", "nhit", "tag", "hard"])
+    rows["hard"] &= rows["tag"]
+    want, end = G.advance(rows.assign(run=1), (G.NONE,) * 3, 500)
+    t = G.Tagger(500, ticks_per_ms=1)
+    t.last, t.parts, t.held = Value(), Value(), Held()
+    parts, sizes = [], []
+    for k, watermark in enumerate((0, 20_000, 20_001, 50_000)):
+        for out, _ in t.released(1, iter([rows[i::8] for i in range(8)] if k == 0 else []), watermark):
+            parts.append(out)
+        sizes.append(max((len(np.frombuffer(v[0], t.types)) for v in t.held.values()), default=0))
+        assert bool(t.due) == (k < 3) and all(d >= watermark for d in t.due)
+    got = pd.concat(parts, ignore_index=True)
+    assert got.astype(object).where(got.notna(), None).equals(want.astype(object).where(want.notna(), None))
+    assert not t.held and tuple(t.last.get()) == end
+    assert chunk > 64 or (sizes[0] <= 64 and len(parts) > 8)
