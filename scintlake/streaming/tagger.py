@@ -250,15 +250,23 @@ def stream_parents(tags: DataFrame, events: DataFrame, delay: str, window: int,
     """Events of one stream with the last real tag of another at most ``window`` ticks before them (ST2), for append mode.
 
     An interval join of two watermarked streams: ``tags`` has run, event, ts, time and the columns ``payload``, ``events`` run, event, ts,
-    time and any more. ``reach`` is the window as an interval of event time; it bounds what the join keeps of either stream. Of several tags in
+    time and any more. Both are joined on the run and a 256th of the window, which a tag has for as long as it lasts: the window, or up to the next tag where ``tags``
+    has its time as ``until`` (null after the last one); an event then meets one tag only. ``reach`` is the window as an interval of event time; it bounds what the join keeps of either stream. Of several tags in
     reach the last one counts, which is known once the watermark has passed the event. Gives the columns of ``events`` without time, prev_event, dt and
     ``prev_`` columns.
     """
-    t = tags.select(F.col("run").alias("tag_run"), F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts"), F.col("time").alias("tag_time"),
-                    *[F.col(c).alias(f"prev_{c}") for c in payload]).withWatermark("tag_time", delay)
-    e = events.withWatermark("time", delay)
-    near = (F.col("run") == F.col("tag_run")) & F.col("time").between(F.col("tag_time"), F.col("tag_time") + F.expr(f"INTERVAL {reach}"))
-    pairs = e.join(t, near & (F.col("ts") > F.col("prev_ts")) & (F.col("ts") - F.col("prev_ts") <= window)).drop("tag_run", "tag_time")
+    width = max(window // 256, 1)
+    block = lambda ts: F.expr(f"({ts} - pmod({ts}, {width}L)) div {width}L")
+    last = F.col("ts") + window
+    if "until" in tags.columns:
+        last = F.greatest(F.least(last, F.coalesce("until", last)), F.col("ts"))
+    t = tags.withColumn("tag_last", last).select(
+        F.col("run").alias("tag_run"), F.col("event").alias("prev_event"), F.col("ts").alias("prev_ts"), F.col("time").alias("tag_time"), "tag_last",
+        F.explode(F.sequence(block("ts"), block("tag_last"))).alias("tag_block"), *[F.col(c).alias(f"prev_{c}") for c in payload]).withWatermark("tag_time", delay)
+    e = events.withColumn("block", block("ts")).withWatermark("time", delay)
+    near = ((F.col("run") == F.col("tag_run")) & (F.col("block") == F.col("tag_block"))
+            & F.col("time").between(F.col("tag_time"), F.col("tag_time") + F.expr(f"INTERVAL {reach}")))
+    pairs = e.join(t, near & (F.col("ts") > F.col("prev_ts")) & (F.col("ts") <= F.col("tag_last"))).drop("tag_run", "tag_time", "tag_last", "block", "tag_block")
     rest = [c for c in events.columns if c not in ("run", "event", "time")]
     best = pairs.groupBy("time", "run", "event").agg(
         F.max_by(F.struct(*rest, "prev_event", "prev_ts", *[f"prev_{c}" for c in payload]), F.struct("prev_ts", "prev_event")).alias("r"))

@@ -85,3 +85,25 @@ def test_held_rows_are_pieces_of_time(chunk, monkeypatch):
     assert got.astype(object).where(got.notna(), None).equals(want.astype(object).where(want.notna(), None))
     assert not t.held and tuple(t.last.get()) == end
     assert chunk > 64 or (sizes[0] <= 64 and len(parts) > 8)
+
+
+def test_event_meets_one_tag_in_its_block(spark):
+    """The interval join deals a run's rows by time, and a tag lasts up to the next one."""
+    import random
+
+    from scintlake.plans.streams import timed
+    from scintlake.streaming import tagger as G
+
+    rng, ms, window = random.Random(3), 40_000, 512 * 40_000
+    at = sorted(rng.sample(range(5000), 200))
+    tags = [(1, 10_000 + i, t * ms, after * ms if after is not None else None) for i, (t, after) in enumerate(zip(at, [*at[1:], None]))]
+    rows = [(1, i, rng.randrange(7000) * ms) for i in range(1500)]
+    want = []
+    for _, e, ts in rows:
+        before = [t for t in tags if t[2] < ts]
+        if before and ts - before[-1][2] <= window:
+            want.append((1, e, before[-1][1], ts - before[-1][2]))
+    t = timed(spark.createDataFrame(tags, "run long, event long, ts long, until long"))
+    out = G.stream_parents(t, timed(spark.createDataFrame(rows, "run long, event long, ts long")), "50 milliseconds", window, "513 MILLISECONDS")
+    assert sorted(map(tuple, out.select("run", "event", "prev_event", "dt").collect())) == sorted(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("tag_block") > 1
