@@ -11,6 +11,7 @@ from scintlake.functions import geometry as G
 from scintlake.operators import calib as C
 from scintlake.operators import hist as B
 from scintlake.operators import segments as S
+from scintlake.operators import track_scan as TS
 
 
 def test_null_times_are_left_out_without_a_filter_on_the_whole_expression(spark):
@@ -48,3 +49,20 @@ def test_mode_works_out_its_input_once(spark, tmp_path):
     d = spark.createDataFrame(pd.DataFrame({"g": np.repeat([1, 2], 500), "x": np.arange(1000) % 377 / 7.0}))
     got = B.grouped_mode(d.mapInArrow(count, d.schema), ["g"], F.col("x"), 0.5, 5, 10).collect()
     assert len(got) == 2 and seen.value == 1000
+
+
+def test_track_scan_leaves_out_only_tracks_that_cannot_be_chosen():
+    grid, rng = TS.ScanGrid(40, 1.5), np.random.default_rng(3)
+    for q17, n in ((185000.0, 200), (3e6, 60), (500.0, 25), (None, 30)):
+        xyz = rng.normal(size=(n, 3))
+        xyz *= 850 / np.sqrt((xyz ** 2).sum(axis=1))[:, None]
+        t = np.round(rng.uniform(0, 400, n))
+        best, score, start = grid.best(t, xyz, q17, 12.0, 5000, 8)
+        to_points = np.sqrt(((grid.points[:, None] - xyz) ** 2).sum(axis=2))
+        offset = t - grid.delays(to_points, slice(None))
+        early = np.quantile(offset, 0.15, axis=1)
+        every = (np.abs(offset - early[:, None]) < 12.0).sum(axis=1) / n - grid.penalty(q17)
+        want = grid.distinct_best(every, 8)
+        assert best == want and (score[best] == every[want]).all() and (start[best] == early[want]).all()
+        if q17 == 185000.0:
+            assert np.isneginf(score).mean() > 0.3       # those were scored before
