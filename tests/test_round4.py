@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +14,7 @@ from scintlake.operators import calib as C
 from scintlake.operators import hist as B
 from scintlake.operators import segments as S
 from scintlake.operators import track_scan as TS
+from scintlake.plans import physics as PH
 
 
 def test_null_times_are_left_out_without_a_filter_on_the_whole_expression(spark):
@@ -66,3 +69,9 @@ def test_track_scan_leaves_out_only_tracks_that_cannot_be_chosen():
         assert best == want and (score[best] == every[want]).all() and (start[best] == early[want]).all()
         if q17 == 185000.0:
             assert np.isneginf(score).mean() > 0.3       # those were scored before
+
+
+def test_grid_likelihood_reads_its_residuals_from_a_written_stage():
+    """They were worked out anew for the cube, the event times and the energies."""
+    source = inspect.getsource(PH.grid_likelihood)
+    assert 'stage(centre_residuals(spark, sf), "residuals")' in source and source.count("centre_residuals(") == 1
