@@ -128,9 +128,10 @@ def _close(percent: int, m: int, r: int):
     def close(a, b, slot):
         small, large = F.least(a["n_shingles"], b["n_shingles"]), F.greatest(a["n_shingles"], b["n_shingles"])
         bits = reduce(lambda x, y: x + y, (F.bit_count(a[s].bitwiseXOR(b[s])) for s in SKETCH))
-        same = F.zip_with(a["bands"], b["bands"], lambda x, y: x == y)
-        left, right = F.array_position(F.slice(same, 1, m), F.lit(True)) - 1, F.array_position(F.slice(same, m + 1, m), F.lit(True)) - 1 + m
-        return (100 * small >= percent * large) & (bits <= bound) & (left * (2 * m) + right == slot)
+        first = lambda at: F.coalesce(*[F.when(F.get(a["bands"], F.lit(t)) == F.get(b["bands"], F.lit(t)), t) for t in at])
+        left, right = first(range(m)), first(range(m, 2 * m))
+        # compiled, unlike a lambda, since hot buckets work it out for all their pairs; tables are looked up for likely pairs only: a condition joined by "and" would have its repeated parts worked out for every pair
+        return slot == F.when((100 * small >= percent * large) & (bits <= bound), left * (2 * m) + right)
     return close
 
 
