@@ -4,7 +4,7 @@ Two small collections of ``m`` band hashes of ``r`` minhashes each are computed
 all pairs of one band from either collection. So 2 m r minhashes do the work of m * m * 2 r. A pair of Jaccard
 similarity J meets in some table with probability (1 - (1 - J**r)**m)**2: with r = 3 and m = 10 that is 0.99985 at 0.85,
 0.9999 and more above. Bucket mates whose sketches (4 bits of every minhash) are too unlike are not compared, with a
-chance below 1e-7 for a true pair. These are the only places where a link can be missed.
+chance below 1e-7 for a true pair, nor are those whose shared shingles are too few, which hides none. These are the only places where a link can be missed.
 
 Steps: equal shingle sets become one class, so copies never multiply pairs. Bands that occur once are dropped, and
 table keys are formed only for classes that keep bands of both collections (a key needs both, so no key shared by two
@@ -117,7 +117,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _close(percent: int, m: int, r: int):
-    """Sizes allow the similarity, sketches differ in no more bits than it makes likely, and the table is the first that both share.
+    """Sizes and shared shingles allow the similarity, sketches differ in no more bits than it makes likely, and the table is the first that both share.
 
     A minhash differs with probability 1 - J and then flips each of its bits with 1/2. The bound lies 5.5 standard
     deviations above the mean at the least similarity, so it hides a true pair with probability below 1e-7.
@@ -126,15 +126,29 @@ def _close(percent: int, m: int, r: int):
     bound = math.ceil(PLANES / 2 * d + 5.5 * math.sqrt((PLANES / 2) ** 2 * d * percent / 100 + PLANES / 4 * d)) + 1
 
     def close(a, b, slot):
-        small, large = F.least(a["n_shingles"], b["n_shingles"]), F.greatest(a["n_shingles"], b["n_shingles"])
+        # the intersection holds shared shingles only
+        most = F.least(a["n_shared"], b["n_shared"])
         bits = reduce(lambda x, y: x + y, (F.bit_count(a[s].bitwiseXOR(b[s])) for s in SKETCH))
         first = lambda at: F.coalesce(*[F.when(F.get(a["bands"], F.lit(t)) == F.get(b["bands"], F.lit(t)), t) for t in at])
         left, right = first(range(m)), first(range(m, 2 * m))
         # compiled, unlike a lambda, since hot buckets work it out for all their pairs; tables are looked up for likely pairs only: a condition joined by "and" would have its repeated parts worked out for every pair
-        return slot == F.when((100 * small >= percent * large) & (bits <= bound), left * (2 * m) + right)
+        return slot == F.when(((100 + percent) * most >= percent * (a["n_shingles"] + b["n_shingles"])) & (bits <= bound), left * (2 * m) + right)
     return close
 
 
+def _renewed(marks: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``marks`` of ``nodes`` with ``n_shared``, how many of a set's shingles stand in any other of their sets as well.
+
+    Near copies of one text that are too unlike to be linked are alike in all they share; what each has to itself rules out their pairs.
+    """
+    some = nodes.select(F.col("node").alias("w"))
+    each = sets.join(some, F.col("node") == F.col("w"), "left_semi").select("node", F.explode("shingles").alias("h"))
+    alone = (each.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("u")).filter("c = 1")
+             .groupBy("u").agg(F.count("*").alias("alone")))
+    return (marks.join(some, F.col("node") == F.col("w"), "left_semi").join(alone, F.col("node") == F.col("u"), "left")
+            .withColumn("n_shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).select(*marks.columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10, r: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row per row of ``docs``.
 
@@ -152,8 +166,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, m: int = 10,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stage(held_rows(texts, bitmap(wanted, F.col("w")), F.col("doc_id"))
                  .join(wanted, F.col("doc_id") == F.col("w"), "left_semi").mapInArrow(_setter(k), SETS).dropDuplicates(["node"]), "sets")
-    marks = stage(classes.drop("class").join(wanted, F.col("node") == F.col("w"), "left_semi"), "marks")
-    comp, _ = bucket_components(members, marks, lambda pairs: confirmed(pairs, sets, percent), _close(percent, m, r))
+    marks = stage(classes.drop("class").join(wanted, F.col("node") == F.col("w"), "left_semi").withColumn("n_shared", F.col("n_shingles")), "marks")
+    comp, _ = bucket_components(members, marks, lambda pairs: confirmed(pairs, sets, percent), _close(percent, m, r),
+                                lambda nodes: _renewed(marks, sets, nodes))
     of_class = (prof.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("class").alias("cl")).agg(F.min("doc_id").alias("rep")))
     named = (of_class.join(comp, F.col("rep") == F.col("node"), "left")
              .select("cl", F.coalesce("component", "rep").alias("component_id")))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scintlake.llm import graph
+from scintlake.llm import graph, minhash
 
 
 def _run(spark, buckets: dict[int, list[int]], linked):
@@ -58,3 +58,17 @@ def test_hot_bucket_of_unlike_nodes_needs_two_comparisons(spark):
     """Its members were written and compared with one pivot after the other for eight rounds."""
     got, calls = _run(spark, {1: list(range(100)), 2: [1, 2, 3]}, {(7, 50), (50, 99)})
     assert len(calls) == 2 and got == {7: 7, 50: 7, 99: 7}
+
+
+def test_near_copies_too_unlike_to_link_are_not_paired(spark, monkeypatch):
+    """40 texts of one core, each with own words: no two reach 85 %, and what each has to itself rules their pairs out."""
+    core = " ".join(f"w{i}" for i in range(92))                   # 88 shingles
+    texts = [(d, core + "".join(f" d{d}x{i}" for i in range(12))) for d in range(40)]
+    seen, confirmed = [], minhash.confirmed
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), percent=85).collect()}
+    assert sum(seen) < 2 * len(texts) and got == {d: d for d, _ in texts}
