@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scintlake.functions import geometry as G
 from scintlake.operators import energy as E
 from scintlake.operators import locate as L
+from scintlake.operators import track_scan as S
 
 
 def test_light_sums_equal_the_rows_light(spark):
@@ -32,3 +33,27 @@ def test_flights_of_all_positions():
         flight, _, dist = L._flight(np.repeat(pos, 30, 0), np.tile(p, (9, 1)), 17.6, v_bo)
         got = L._flights(pos, p, 17.6, v_bo)
         assert np.array_equal(got[0], flight.reshape(9, 30)) and np.array_equal(got[1], dist.reshape(9, 30))
+
+
+def test_tracks_are_scored_in_small_pieces(monkeypatch):
+    """100,000 delays at once left the cache at every step; the tracks found are those of scoring them at once."""
+    rng = np.random.default_rng(5)
+    grid = S.ScanGrid(40, 1.5)
+    xyz = S.grid_points(300)[rng.permutation(300)[:90]]
+    t = rng.uniform(0, 300, 90)
+    seen, delays = [], S.ScanGrid.delays
+
+    def counted(self, to_points, part, work):
+        out = delays(self, to_points, part, work)
+        seen.append(out.size)
+        return out
+    monkeypatch.setattr(S.ScanGrid, "delays", counted)
+    best, score, start = grid.best(t, xyz, 4e4, 12.0, 100_000, 5)
+    assert max(seen) <= S.CACHED
+    to_points = np.sqrt(((grid.points[:, None] - xyz) ** 2).sum(axis=2))
+    offset = t - delays(grid, to_points, slice(None))
+    first = np.quantile(offset, 0.15, axis=1)
+    whole = (np.abs(offset - first[:, None]) < 12.0).sum(axis=1) / 90 - grid.penalty(4e4)
+    assert best == grid.distinct_best(whole, 5)
+    some = np.isfinite(score)
+    assert np.array_equal(score[some], whole[some]) and np.array_equal(start[some], first[some])
